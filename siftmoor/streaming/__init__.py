@@ -1,0 +1 @@
+"""Empty on purpose: scores need whole files and whole repositories, so scans are batch jobs."""
