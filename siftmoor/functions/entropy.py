@@ -10,13 +10,12 @@ def _characters(text: Column) -> Column:
 
 
 def _bits(text: Column, characters: Column) -> Column:
-    size = F.length(text)
+    def count(ch):
+        rest = F.replace(text, ch, F.lit(""))
+        return (F.octet_length(text) - F.octet_length(rest)) / F.octet_length(ch)
 
-    def add(total, ch):
-        share = (size - F.length(F.replace(text, ch, F.lit("")))) / size
-        return total - share * F.log2(share)
-
-    return F.aggregate(characters, F.lit(0.0), add)
+    shares = let(F.length(text), lambda size: F.transform(characters, lambda ch: count(ch) / size))
+    return F.aggregate(shares, F.lit(0.0), lambda bits, share: bits - share * F.log2(share))
 
 
 def shannon(text: Column) -> Column:

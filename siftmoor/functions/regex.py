@@ -58,6 +58,7 @@ class Prepared:
 
     java: str
     anchors: tuple[str, ...]   # lower-case ASCII texts; a match contains at least one of them; () = unknown
+    parts: tuple               # further such groups of texts
     always: bool               # matches every line, the empty one included
     spans_lines: bool          # could run across line ends when searched in a whole text
 
@@ -72,7 +73,10 @@ def prepare(pattern: str, kind: str) -> Prepared | None:
         return None
     java = to_java(pattern) if kind == "regex" else literal_to_java(pattern)
     always = tree.getwidth()[0] == 0 and not _has_assertion(tree)
-    return Prepared(java, () if always else _anchors(tree), always, _spans_lines(tree))
+    groups = [] if always else _required(tree)
+    anchors = _best(groups)
+    parts = tuple(dict.fromkeys(group for group in groups if group != anchors))
+    return Prepared(java, anchors, parts, always, _spans_lines(tree))
 
 
 _LOOPS = (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT)
@@ -109,25 +113,37 @@ def _spans_lines(tree) -> bool:
     return False
 
 
-def _anchors(tree) -> tuple[str, ...]:
-    """The longest texts of which every match must contain one."""
-    found, run = [], ""
+def _required(tree) -> list[tuple[str, ...]]:
+    """Groups of texts; every match contains at least one text of each group."""
+    groups, run = [], ""
     for op, arg in tree:
         if op is sre.LITERAL and arg < 128:
             run += chr(arg).lower()
             continue
         if op is sre.AT:
             continue
-        found.append((run,))
+        groups.append((run,))
         run = ""
         if op is sre.SUBPATTERN and not arg[1] and not arg[2]:
-            found.append(_anchors(arg[3]))
+            groups.extend(_required(arg[3]))
         elif op in _LOOPS and arg[0] >= 1:
-            found.append(_anchors(arg[2]))
+            groups.extend(_required(arg[2]))
         elif op is sre.BRANCH:
-            options = [_anchors(branch) for branch in arg[1]]
+            options = [_best(_required(branch)) for branch in arg[1]]
             if all(options):
-                found.append(tuple(sorted({text for option in options for text in option})))
-    found.append((run,))
-    found = [texts for texts in found if texts and all(texts)]
-    return max(found, key=lambda texts: (min(map(len, texts)), -len(texts)), default=())
+                groups.append(tuple(sorted({text for option in options for text in option})))
+    groups.append((run,))
+    return [group for group in groups if all(group)]
+
+
+def _best(groups) -> tuple[str, ...]:
+    return max(groups, key=lambda texts: (min(map(len, texts)), -len(texts)), default=())
+
+
+_COMMON_FIRST = "etaoinsrhldcumfpgwybvk "     # letters of prose and code, most frequent first
+
+
+def rare_start(anchor: str, keep: int = 4) -> str:
+    """The anchor cut to begin at its rarest character: substring tests compare first characters first."""
+    starts = range(max(1, len(anchor) - keep + 1))
+    return anchor[max(starts, key=lambda i: (_COMMON_FIRST.find(anchor[i]) % 99, -i)):]

@@ -46,10 +46,6 @@ def sql_array(values) -> str:
     return "array(" + ", ".join(sql_text(v) if isinstance(v, str) else str(v) for v in values) + ")"
 
 
-def sql_contains_any(column: str, needles) -> str:
-    return "(" + (" OR ".join(f"contains({column}, {sql_text(n)})" for n in needles) or "true") + ")"
-
-
 def fold_case(lowered: Column) -> Column:
     """Lower-cased text with the non-ASCII letters that case-insensitively equal an ASCII one replaced.
 
@@ -62,7 +58,7 @@ def fold_case(lowered: Column) -> Column:
 
 
 def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once per row."""
+    """``body(value)`` with the value computed once, also where ``body`` uses it in loops over lines."""
     return F.transform(F.array(value), body)[0]
 
 

@@ -7,13 +7,13 @@ from siftmoor.functions.entropy import shannon, shannon_at_least
 from siftmoor.functions.regex import to_java
 from siftmoor.functions.text import let
 from siftmoor.operators.hits import ENTROPY, hit
-from siftmoor.operators.lines import with_lines
 from siftmoor.operators.rulebook import ENTROPY_HIGH_ID, ENTROPY_MED_ID
 
-_RUN = r"[A-Za-z0-9+/=]{30}"       # inside every token candidate (hex tokens included)
+# the start of a run of token characters long enough for any token candidate (hex tokens included)
+_RUN = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{30}"
 
 
-def strings_of_line(line: Column, may_have_token: Column | None = None) -> Column:
+def strings_of_line(line: Column, may_have_token: Column) -> Column:
     """Candidates of a stripped line: quoted strings, base64 and hex tokens, else a long line itself."""
     none = F.array().cast("array<string>")
     quoted = F.when(
@@ -24,9 +24,8 @@ def strings_of_line(line: Column, may_have_token: Column | None = None) -> Colum
     tokens = F.concat(
         F.regexp_extract_all(line, F.lit(to_java(fx.BASE64_TOKEN, "")), F.lit(0)),
         F.regexp_extract_all(line, F.lit(to_java(fx.HEX_TOKEN, "")), F.lit(0)))
-    has_run = line.rlike(_RUN) if may_have_token is None else may_have_token & line.rlike(_RUN)
     return let(
-        F.concat(quoted, F.when(has_run, tokens).otherwise(none)),
+        F.concat(quoted, F.when(may_have_token & line.rlike(_RUN), tokens).otherwise(none)),
         lambda found: F.when(F.size(found) > 0, found)
         .when(F.length(line) >= fx.WHOLE_LINE_LENGTH, F.array(line))
         .otherwise(none))
@@ -37,21 +36,23 @@ def is_scanned(line: Column) -> Column:
     return (F.length(line) >= fx.ENTROPY_MIN_LENGTH) & ~line.startswith(fx.ENTROPY_COMMENT)
 
 
-def _strings(code: Column, may_have_token: Column | None) -> Column:
-    """``array<struct<n, i, s, line>>`` of the candidates of a file."""
-    def of_line(x):
-        line = x["s"]
-        return F.transform(strings_of_line(line, may_have_token), lambda text, k: F.struct(
-            x["n"].alias("n"), k.alias("i"), text.alias("s"),
-            F.substring(line, 1, fx.RULE_LINE_CHARS).alias("line")))
+def _strings() -> Column:
+    """``array<struct<n, i, s, line>>`` of the candidates of a file; needs the columns of ``with_lines``."""
+    def of_file(may_have_token):
+        def of_line(x):
+            line = x["s"]
+            return F.transform(strings_of_line(line, may_have_token), lambda text, k: F.struct(
+                x["n"].alias("n"), k.alias("i"), text.alias("s"),
+                F.substring(line, 1, fx.RULE_LINE_CHARS).alias("line")))
 
-    return F.flatten(F.transform(F.filter(code, lambda x: is_scanned(x["s"])), of_line))
+        return F.flatten(F.transform(F.filter("code", lambda x: is_scanned(x["s"])), of_line))
 
+    return let(F.col("text").rlike(_RUN), of_file)
 
-def candidates(file_text: DataFrame) -> DataFrame:
-    """One row per candidate string with its entropy."""
-    found = with_lines(file_text).select(
-        "repo_id", "path", F.inline(_strings(F.col("code"), None)))
+
+def candidates(shared: DataFrame) -> DataFrame:
+    """One row per candidate string with its entropy, from the output of ``with_lines``."""
+    found = shared.select("repo_id", "path", F.inline(_strings()))
     return found.select("repo_id", "path", F.col("n").alias("line_number"), F.col("i").alias("candidate"),
                         F.col("s").alias("string"), shannon(F.col("s")).alias("entropy"))
 
@@ -59,7 +60,7 @@ def candidates(file_text: DataFrame) -> DataFrame:
 def elevated_strings() -> Column:
     """``array<struct<n, i, line, e>>`` of the candidates at or above the lower threshold."""
     measured = F.transform(
-        _strings(F.col("code"), F.col("text").rlike(_RUN)),
+        _strings(),
         lambda x: F.struct(x["n"].alias("n"), x["i"].alias("i"), x["line"].alias("line"),
                            shannon_at_least(x["s"], fx.ENTROPY_HIGH).alias("e")))
     return F.filter(measured, lambda x: x["e"] >= fx.ENTROPY_HIGH)

@@ -4,21 +4,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siftmoor.fixed import detectors as fx
 from siftmoor.functions.text import fold_case, split_lines, starts_with_any, strip
+from siftmoor.operators.anchors import Anchors
 
 
-def with_lines(file_text: DataFrame) -> DataFrame:
+def with_lines(file_text: DataFrame, anchors: Anchors) -> DataFrame:
     """Adds the columns all detectors read, computed once per file.
 
-    ``lines``, ``lowered`` (lower-case text), ``folded`` (for case-insensitive
-    substring tests) and ``code``: ``array<struct<n, s>>`` of the stripped lines that
-    are neither empty nor a comment, with their numbers.
+    ``lines``; ``code``, the ``array<struct<n, s>>`` of the stripped lines that are
+    neither empty nor a comment, with their numbers; ``lowered``, the lower-case
+    text; ``folded``, for substring tests without regard to case; ``found``, the
+    anchors that occur.
     """
-    base = file_text.withColumns({"lines": split_lines(F.col("text")), "lowered": F.lower("text")})
+    split = file_text.withColumns({"lines": split_lines(F.col("text")), "lowered": F.lower("text")})
     numbered = F.transform("lines", lambda line, i: F.struct((i + 1).alias("n"), strip(line).alias("s")))
-    return base.withColumns({
-        "folded": fold_case(F.col("lowered")),
+    return split.withColumns({
         "code": F.filter(numbered, lambda x: is_code(x["s"])),
-    })
+        "folded": fold_case(F.col("lowered")),
+    }).withColumn("found", anchors.found(F.col("folded")))
 
 
 def is_code(line: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, functions as F
 
 from siftmoor.fixed import detectors as fx
 from siftmoor.functions.regex import to_java
-from siftmoor.functions.text import let, sql_array, sql_contains_any, sql_text
+from siftmoor.functions.text import let, sql_array, sql_text
+from siftmoor.operators.anchors import HTTP, SCHEME, Anchors
 from siftmoor.operators.hits import NETWORK, hit, no_hits
 from siftmoor.operators.rulebook import DOMAIN_ID, PORT_BASE, PUBLIC_IP_ID
 
@@ -71,7 +72,7 @@ def suspicion(host: Column) -> Column:
     return F.when(ends(fx.RISKY_TLDS), "tld").when(ends(fx.DYNAMIC_DNS), "dynamic dns").otherwise("unknown")
 
 
-def network_items() -> Column:
+def network_items(anchors: Anchors) -> Column:
     """``array<struct<n, kind, i, value, line, bad>>``: every indicator of a file, in detector order.
 
     kind 0 = address, 1 = port (value is the place in the port list), 2 = domain;
@@ -92,14 +93,20 @@ def network_items() -> Column:
         return F.concat(ips, ports, hosts)
 
     text = F.col("text")
-    has_dots = text.rlike(_DOTTED)
-    any_port = "|".join(str(port) for port, _ in fx.PORTS)
-    has_port = F.expr(sql_contains_any("text", [str(port) for port, _ in fx.PORTS]))
-    has_url = F.col("folded").contains("http") & text.contains("://")
-    candidates = F.filter("code", lambda x: (
-        (has_dots & x["s"].rlike(_DOTTED)) | (has_port & x["s"].rlike(any_port)) | (has_url & x["s"].contains("://"))))
+    port_texts_any = "|".join(str(port) for port, _ in fx.PORTS)
+    hints = F.struct(
+        text.rlike(_DOTTED).alias("dots"),
+        F.expr(anchors.any_of([str(port) for port, _ in fx.PORTS])).alias("port"),
+        F.expr(f"{anchors.any_of([HTTP])} AND {anchors.any_of([SCHEME])}").alias("url"))
+
+    def of_file(hint):
+        lines = F.filter("code", lambda x: (
+            (hint["dots"] & x["s"].rlike(_DOTTED)) | (hint["port"] & x["s"].rlike(port_texts_any))
+            | (hint["url"] & x["s"].contains("://"))))
+        return F.when(hint["dots"] | hint["port"] | hint["url"], F.flatten(F.transform(lines, of_line))).otherwise(none)
+
     none = F.array().cast("array<struct<n:int,kind:int,i:int,value:string,line:string,bad:boolean>>")
-    return F.when(has_dots | has_port | has_url, F.flatten(F.transform(candidates, of_line))).otherwise(none)
+    return F.coalesce(let(hints, of_file), none)
 
 
 def network_hits(items: Column) -> Column:

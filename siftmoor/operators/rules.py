@@ -15,7 +15,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftmoor.fixed import detectors as fx
-from siftmoor.functions.text import sql_contains_any, sql_text
+from siftmoor.functions.text import sql_text
+from siftmoor.operators.anchors import Anchors
 from siftmoor.operators.hits import HIT, RULES, no_hits
 from siftmoor.operators.lines import lines as explode_lines
 from siftmoor.sources.catalogue import RulePattern
@@ -33,24 +34,23 @@ def _list_ord(languages: tuple[str, ...]) -> str:
     return f"CASE WHEN language IN ({', '.join(map(sql_text, own))}) THEN 0 ELSE 1 END" if own else "1"
 
 
-def _first_line(p: RulePattern) -> str:
+def _first_line(p: RulePattern, anchors: Anchors) -> str:
     """SQL for the number of the first matching line; null or 0 without one."""
     if p.prepared.always:
         return "CASE WHEN size(lines) > 0 THEN 1 END"
-    guards = [sql_contains_any("folded", p.prepared.anchors)]
+    guard = anchors.may_match(p.prepared)
     if min(map(len, p.prepared.anchors), default=0) < SHORT_ANCHOR and not p.prepared.spans_lines:
-        guards.append(f"text RLIKE {sql_text('(?m)' + p.prepared.java)}")
-    guard = " AND ".join(guards)
+        guard += f" AND text RLIKE {sql_text('(?m)' + p.prepared.java)}"
     first = f"array_position(transform(lines, l -> l RLIKE {sql_text(p.prepared.java)}), true)"
     return f"CASE WHEN {guard} THEN CAST({first} AS INT) END"
 
 
-def _group_hits(members: list[RulePattern]) -> Column:
+def _group_hits(members: list[RulePattern], anchors: Anchors) -> Column:
     """Hits of patterns whose rules share a language list."""
     languages = members[0].rule.languages
     applies = "true" if "all" in languages else f"language IN ({', '.join(map(sql_text, languages))})"
     tries = ", ".join(
-        f"named_struct('i', {i}, 'n', coalesce({_first_line(p)}, 0))" for i, p in enumerate(members))
+        f"named_struct('i', {i}, 'n', coalesce({_first_line(p, anchors)}, 0))" for i, p in enumerate(members))
     rows = ", ".join(
         f"named_struct('rule_ord', {p.rule.rule_ord}, 'pattern_ord', {p.pattern_ord}, 'pattern', {sql_text(p.pattern)})"
         for p in members)
@@ -63,12 +63,12 @@ def _group_hits(members: list[RulePattern]) -> Column:
         f"ELSE CAST(array() AS array<{HIT}>) END")
 
 
-def rule_hits(patterns: list[RulePattern]) -> Column:
+def rule_hits(patterns: list[RulePattern], anchors: Anchors) -> Column:
     """``array<hit>`` of a file; needs the columns of ``with_lines``."""
     groups = defaultdict(list)
     for p in patterns:
         groups[p.rule.languages].append(p)
-    return F.concat(*[_group_hits(members) for members in groups.values()]) if groups else no_hits()
+    return F.concat(*[_group_hits(members, anchors) for members in groups.values()]) if groups else no_hits()
 
 
 def matches_by_join(file_text: DataFrame, patterns: list[RulePattern]) -> DataFrame:

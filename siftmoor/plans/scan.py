@@ -4,6 +4,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from siftmoor.operators.anchors import Anchors
 from siftmoor.operators.combos import combo_hits
 from siftmoor.operators.entropy import elevated_strings, entropy_hits, obfuscation_score
 from siftmoor.operators.hits import no_hits
@@ -29,19 +30,20 @@ def analyze(file_text: DataFrame, rules: list[Rule] | None = None, deep: bool =
     """
     patterns = rule_patterns(default_rules() if rules is None else rules, literal_mode)
     in_plan = len(patterns) <= MAX_PLAN_PATTERNS
+    anchors = Anchors(patterns if in_plan else [])
     if deep:
         file_text = file_text.withColumn("facts", syntax_facts(F.col("language"), F.col("text")))
     keep = [*FILE, "language", "file_size", "scan_error"]
-    detected = with_lines(file_text).select(
+    detected = with_lines(file_text, anchors).select(
         *keep,
         F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).alias("line_count"),
-        (rule_hits(patterns) if in_plan else no_hits()).alias("rule_hits"),
-        combo_hits().alias("combo_hits"),
+        (rule_hits(patterns, anchors) if in_plan else no_hits()).alias("rule_hits"),
+        combo_hits(anchors).alias("combo_hits"),
         (syntax_hits(F.col("facts")) if deep else no_hits()).alias("syntax_hits"),
         F.coalesce(elevated_strings(), F.array().cast(
             "array<struct<n:int,i:int,line:string,e:double>>")).alias("elevated"),
-        permission_hits().alias("permission_hits"),
-        network_items().alias("network_items"),
+        permission_hits(anchors).alias("permission_hits"),
+        network_items(anchors).alias("network_items"),
     )
     analysis = detected.select(
         *keep, "line_count",
