@@ -29,9 +29,8 @@ def unix_newlines(text: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines of a text with unix newlines; a trailing newline opens no further line."""
-    parts = F.split(text, "\n", -1)
     open_end = F.when(text.endswith("\n") | (text == ""), 1).otherwise(0)
-    return F.slice(parts, 1, F.size(parts) - open_end)
+    return let(F.split(text, "\n", -1), lambda parts: F.slice(parts, 1, F.size(parts) - open_end))
 
 
 def starts_with_any(text: Column, prefixes: list[str]) -> Column:

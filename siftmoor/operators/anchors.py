@@ -61,7 +61,10 @@ class Anchors:
     @staticmethod
     def any_of(texts) -> str:
         """SQL: one of the texts may occur in the file."""
-        return f"arrays_overlap(found, {sql_array(sorted({rare_start(t) for t in texts}))})"
+        anchors = sorted({rare_start(t) for t in texts})
+        if len(anchors) == 1:
+            return f"array_contains(found, {sql_text(anchors[0])})"
+        return f"arrays_overlap(found, {sql_array(anchors)})"
 
     @classmethod
     def may_match(cls, p: Prepared) -> str:

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftmoor.fixed import detectors as fx
+from siftmoor.functions.plan import computed_once
 from siftmoor.functions.text import fold_case, split_lines, starts_with_any, strip
 from siftmoor.operators.anchors import Anchors
 
@@ -15,12 +16,11 @@ def with_lines(file_text: DataFrame, anchors: Anchors) -> DataFrame:
     text; ``folded``, for substring tests without regard to case; ``found``, the
     anchors that occur.
     """
-    split = file_text.withColumns({"lines": split_lines(F.col("text")), "lowered": F.lower("text")})
+    split = computed_once(file_text, {"lines": split_lines(F.col("text")), "lowered": F.lower("text")})
     numbered = F.transform("lines", lambda line, i: F.struct((i + 1).alias("n"), strip(line).alias("s")))
-    return split.withColumns({
-        "code": F.filter(numbered, lambda x: is_code(x["s"])),
-        "folded": fold_case(F.col("lowered")),
-    }).withColumn("found", anchors.found(F.col("folded")))
+    shared = computed_once(split, {
+        "code": F.filter(numbered, lambda x: is_code(x["s"])), "folded": fold_case(F.col("lowered"))})
+    return computed_once(shared, {"found": anchors.found(F.col("folded"))})
 
 
 def is_code(line: Column) -> Column:

@@ -29,14 +29,12 @@ def weigh(hits: DataFrame, book: DataFrame) -> DataFrame:
     """
     thin = book.select("def_id", "rule_id", "category", "severity", "weight",
                        F.col("confidence").alias("book_confidence"), "context_multiplier")
-    sure = F.coalesce("confidence", "book_confidence")
-    return (
-        hits.join(F.broadcast(thin), "def_id", "left")
-        .withColumn("confidence", sure)
-        .withColumn("effective_weight", effective_weight(F.col("weight"), F.col("confidence"),
-                                                         F.col("context_multiplier")))
-        .drop("book_confidence")
-    )
+    confidence = F.coalesce("confidence", "book_confidence")
+    weight = effective_weight(F.col("weight"), confidence, F.col("context_multiplier"))
+    joined = hits.join(F.broadcast(thin), "def_id", "left")
+    return joined.select(
+        *[c for c in hits.columns if c != "confidence"], "rule_id", "category", "severity", "weight",
+        "context_multiplier", confidence.alias("confidence"), weight.alias("effective_weight"))
 
 
 def line_key() -> Column:
@@ -52,28 +50,20 @@ def rank(weighed: DataFrame) -> DataFrame:
     findings that are otherwise equal.  ``occurrence`` counts the kept findings of
     a rule in the file from the heaviest on.
     """
-    per_file = weighed.repartition(*FILE)
-    seq = F.struct(*SEQ)
-    key = Window.partitionBy(*FILE, "line_key", "category").orderBy(F.desc("effective_weight"), *SEQ)
+    key = Window.partitionBy(*FILE, line_key(), "category").orderBy(F.desc("effective_weight"), *SEQ)
     whole = key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    merged = (
-        per_file.withColumn("line_key", line_key())
-        .withColumn("place", F.row_number().over(key))
-        .withColumn("key_seq", F.min(seq).over(whole))
-        .withColumn("kept", (F.col("place") == 1) & F.col("rule_id").isNotNull())
-        .drop("place", "line_key")
-    )
-    rule = Window.partitionBy(*FILE, "kept", "rule_id").orderBy(F.desc("effective_weight"), "line_number", "key_seq")
-    return merged.withColumn("occurrence", F.row_number().over(rule))
+    placed = weighed.repartition(*FILE).withColumns({
+        "place": F.row_number().over(key), "key_seq": F.min(F.struct(*SEQ)).over(whole)})
+    kept = (F.col("place") == 1) & F.col("rule_id").isNotNull()
+    rule = Window.partitionBy(*FILE, kept, "rule_id").orderBy(F.desc("effective_weight"), "line_number", "key_seq")
+    return placed.withColumns({"kept": kept, "occurrence": F.row_number().over(rule)})
 
 
 def with_texts(weighed: DataFrame, book: DataFrame) -> DataFrame:
     """The full finding columns of weighed hits."""
     texts = book.select("def_id", "name", "subcategory", "description", "user_message", "mitre_attack")
-    joined = weighed.join(F.broadcast(texts), "def_id")
-    for column in ("name", "description", "user_message"):
-        joined = joined.withColumn(column, fill(F.col(column), F.col("detail"), F.col("detail2")))
-    return joined.withColumn("file_path", F.col("path"))
+    filled = {c: fill(F.col(c), F.col("detail"), F.col("detail2")) for c in ("name", "description", "user_message")}
+    return weighed.join(F.broadcast(texts), "def_id").withColumns({**filled, "file_path": F.col("path")})
 
 
 def raw_findings(analysis: DataFrame, book: DataFrame) -> DataFrame:
@@ -84,6 +74,6 @@ def raw_findings(analysis: DataFrame, book: DataFrame) -> DataFrame:
 
 def findings(analysis: DataFrame, book: DataFrame) -> DataFrame:
     """Merged findings.  Order within a file: line_number, effective_weight descending, key_seq."""
-    hits = analysis.where(F.size("hits") > 0).select(*FILE, F.inline("hits"))
+    hits = analysis.select(*FILE, F.inline("hits"))
     kept = rank(weigh(hits, book)).where("kept")
     return with_texts(kept, book).select(*FINDING_COLUMNS, "key_seq", "occurrence")

@@ -49,9 +49,9 @@ def file_results(analysis: DataFrame, book: DataFrame) -> DataFrame:
     hits), so hits and files need no join.
     """
     rows = analysis.select(*FILE, F.struct(*FILE_FIELDS).alias("file"),
-                           F.posexplode_outer("hits").alias("pos", "hit"))
-    rows = rows.select(*FILE, F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("file")).alias("file"),
-                       "hit.a", "hit.k1", "hit.k2", "hit.k3", "hit.def_id", "hit.line_number", "hit.confidence")
+                           F.posexplode_outer("hits").alias("pos", "hit")).select(
+        *FILE, F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("file")).alias("file"),
+        "hit.a", "hit.k1", "hit.k2", "hit.k3", "hit.def_id", "hit.line_number", "hit.confidence")
     ranked = rank(weigh(rows, book))
     counted = F.col("effective_weight") * frequency_factor(F.col("occurrence"))
     scored = ranked.groupBy(*FILE).agg(

@@ -37,7 +37,7 @@ def _list_ord(languages: tuple[str, ...]) -> str:
 def _first_line(p: RulePattern, anchors: Anchors) -> str:
     """SQL for the number of the first matching line; null or 0 without one."""
     if p.prepared.always:
-        return "CASE WHEN size(lines) > 0 THEN 1 END"
+        return "least(size(lines), 1)"
     guard = anchors.may_match(p.prepared)
     if min(map(len, p.prepared.anchors), default=0) < SHORT_ANCHOR and not p.prepared.spans_lines:
         guard += f" AND text RLIKE {sql_text('(?m)' + p.prepared.java)}"
@@ -50,14 +50,12 @@ def _group_hits(members: list[RulePattern], anchors: Anchors) -> Column:
     languages = members[0].rule.languages
     applies = "true" if "all" in languages else f"language IN ({', '.join(map(sql_text, languages))})"
     tries = ", ".join(
-        f"named_struct('i', {i}, 'n', coalesce({_first_line(p, anchors)}, 0))" for i, p in enumerate(members))
-    rows = ", ".join(
-        f"named_struct('rule_ord', {p.rule.rule_ord}, 'pattern_ord', {p.pattern_ord}, 'pattern', {sql_text(p.pattern)})"
+        f"named_struct('rule_ord', {p.rule.rule_ord}, 'pattern_ord', {p.pattern_ord}, 'pattern', {sql_text(p.pattern)}, "
+        f"'n', {_first_line(p, anchors)})"
         for p in members)
-    row, line = f"get(array({rows}), x.i)", f"substring(get(lines, x.n - 1), 1, {fx.RULE_LINE_CHARS})"
     as_hit = (
-        f"CAST(struct({RULES}, {_list_ord(languages)}, {row}.rule_ord, {row}.pattern_ord, {row}.rule_ord, x.n, "
-        f"{line}, {row}.pattern, null, null, null) AS {HIT})")
+        f"CAST(struct({RULES}, {_list_ord(languages)}, x.rule_ord, x.pattern_ord, x.rule_ord, x.n, "
+        f"substring(get(lines, x.n - 1), 1, {fx.RULE_LINE_CHARS}), x.pattern, null, null, null) AS {HIT})")
     return F.expr(
         f"CASE WHEN {applies} THEN transform(filter(array({tries}), x -> x.n > 0), x -> {as_hit}) "
         f"ELSE CAST(array() AS array<{HIT}>) END")

@@ -4,6 +4,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from siftmoor.functions.plan import computed_once
 from siftmoor.operators.anchors import Anchors
 from siftmoor.operators.combos import combo_hits
 from siftmoor.operators.entropy import elevated_strings, entropy_hits, obfuscation_score
@@ -34,17 +35,16 @@ def analyze(file_text: DataFrame, rules: list[Rule] | None = None, deep: bool =
     if deep:
         file_text = file_text.withColumn("facts", syntax_facts(F.col("language"), F.col("text")))
     keep = [*FILE, "language", "file_size", "scan_error"]
-    detected = with_lines(file_text, anchors).select(
-        *keep,
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).alias("line_count"),
-        (rule_hits(patterns, anchors) if in_plan else no_hits()).alias("rule_hits"),
-        combo_hits(anchors).alias("combo_hits"),
-        (syntax_hits(F.col("facts")) if deep else no_hits()).alias("syntax_hits"),
-        F.coalesce(elevated_strings(), F.array().cast(
-            "array<struct<n:int,i:int,line:string,e:double>>")).alias("elevated"),
-        permission_hits(anchors).alias("permission_hits"),
-        network_items(anchors).alias("network_items"),
-    )
+    detected = computed_once(with_lines(file_text, anchors), {
+        "line_count": F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")),
+        "rule_hits": rule_hits(patterns, anchors) if in_plan else no_hits(),
+        "combo_hits": combo_hits(anchors),
+        "syntax_hits": syntax_hits(F.col("facts")) if deep else no_hits(),
+        "elevated": F.coalesce(elevated_strings(), F.array().cast(
+            "array<struct<n:int,i:int,line:string,e:double>>")),
+        "permission_hits": permission_hits(anchors),
+        "network_items": network_items(anchors),
+    })
     analysis = detected.select(
         *keep, "line_count",
         obfuscation_score(F.col("elevated"), F.col("line_count")).alias("obfuscation_score"),
