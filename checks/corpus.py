@@ -7,7 +7,7 @@ The same snippets stand in the oracle SQL.
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftmoor.sources.tables import file_text
+from siftmoor.sources.tables import file_text, spread
 
 LANGUAGES = ["python", "shell", "javascript", "powershell", "config"]
 
@@ -90,13 +90,13 @@ def repo_id() -> F.Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    table = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
     return file_text(table, repo_id(), F.col("doc_id"), language(), F.col("text"))
 
 
 def _with_snippets(table: DataFrame) -> DataFrame:
-    snippets = table.sparkSession.createDataFrame(list(SNIPPETS.items()), "slot int, snippet string")
-    return table.join(F.broadcast(snippets), F.col("doc_id") % len(SNIPPETS) == F.col("slot"))   # 60 rows
+    snippets = table.sparkSession.createDataFrame(list(SNIPPETS.items()), "slot int, snippet string").coalesce(1)
+    return spread(table, "doc_id").join(F.broadcast(snippets), F.col("doc_id") % len(SNIPPETS) == F.col("slot"))   # 60 rows
 
 
 def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,12 +112,12 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    table = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "turn")
     return file_text(table, F.col("conv_id"), F.col("turn"), F.lit("shell"), F.col("text"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    table = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id")
     host = F.regexp_extract("url", "^https?://([^/]+)", 1)
     return file_text(table, host, F.col("page_id"), language("page_id"),
                      F.concat_ws("\n", F.concat(F.lit("url = "), F.col("url")), "html"))

@@ -43,19 +43,15 @@ def _book(spark):
     return rule_book(spark, default_rules())
 
 
-def _shared(table: DataFrame) -> DataFrame:
-    return with_lines(table, Anchors(rule_patterns(default_rules())))
-
-
 def _detected(table: DataFrame, **columns) -> DataFrame:
     """The files with the results of single detectors; each is a function of the anchors."""
     anchors = Anchors(rule_patterns(default_rules()))
     return computed_once(with_lines(table, anchors), {name: make(anchors) for name, make in columns.items()})
 
 
-def _detector_findings(table: DataFrame, hits) -> DataFrame:
+def _detector_findings(detected: DataFrame) -> DataFrame:
     """The findings of one detector, before any merge."""
-    return raw_findings(_detected(table, hits=hits), _book(table.sparkSession))
+    return raw_findings(detected, _book(detected.sparkSession))
 
 
 def _files(spark, sf_dir, source=corpus.seeded, **options) -> DataFrame:
@@ -75,7 +71,7 @@ def document_lines(spark, sf_dir):
 
 @query(o.DOCUMENTS + o.LINES, "SELECT repo_id, path, n AS line_number, md5(s) AS digest FROM code")
 def code_lines(spark, sf_dir):
-    shared = _shared(corpus.documents(spark, sf_dir))
+    shared = with_lines(corpus.documents(spark, sf_dir))
     return shared.select("repo_id", "path", F.inline("code")).select(
         "repo_id", "path", F.col("n").alias("line_number"), F.md5("s").alias("digest"))
 
@@ -195,7 +191,7 @@ def matches_per_rule(spark, sf_dir):
 @query(o.SEEDED + o.COMBO_HITS, "SELECT repo_id, path, rule_id, name, weight, confidence, multiplier AS "
        "context_multiplier, line_number, line_content, matched_pattern FROM combo_hits")
 def combinations(spark, sf_dir):
-    return _detector_findings(corpus.seeded(spark, sf_dir), combo_hits).select(
+    return _detector_findings(_detected(corpus.seeded(spark, sf_dir), hits=combo_hits)).select(
         "repo_id", "path", "rule_id", "name", "weight", "confidence", "context_multiplier", "line_number",
         "line_content", "matched_pattern")
 
@@ -204,7 +200,7 @@ def combinations(spark, sf_dir):
 @query(o.SEEDED + o.LINES + o.CANDIDATES, "SELECT repo_id, path, n AS line_number, i AS candidate, length(string) AS chars, "
        "md5(string) AS digest, round(e, 6) AS entropy FROM measured")
 def entropy_candidates(spark, sf_dir):
-    return entropy.candidates(_shared(corpus.seeded(spark, sf_dir))).select(
+    return entropy.candidates(with_lines(corpus.seeded(spark, sf_dir))).select(
         "repo_id", "path", "line_number", "candidate", F.length("string").alias("chars"),
         F.md5("string").alias("digest"), six("entropy"))
 
@@ -212,8 +208,9 @@ def entropy_candidates(spark, sf_dir):
 @query(o.SEEDED + o.LINES + o.ENTROPY_HITS, "SELECT repo_id, path, line_number, rule_id, severity, weight, "
        "round(confidence, 6) AS confidence, matched_pattern, line_content FROM entropy_hits")
 def entropy_findings(spark, sf_dir):
-    found = _detector_findings(corpus.seeded(spark, sf_dir), lambda _: entropy.entropy_hits(entropy.elevated_strings()))
-    return found.select(
+    shared = with_lines(corpus.seeded(spark, sf_dir))
+    hits = entropy.entropy_hits(entropy.elevated_strings())
+    return _detector_findings(computed_once(shared, {"hits": hits})).select(
         "repo_id", "path", "line_number", "rule_id", "severity", "weight", six("confidence"), "matched_pattern",
         "line_content")
 
@@ -221,7 +218,7 @@ def entropy_findings(spark, sf_dir):
 @query(o.SEEDED + o.LINES + o.ENTROPY_HITS, "SELECT f.repo_id, f.path, round(coalesce(score, 0), 6) AS obfuscation_score "
        "FROM file_text f LEFT JOIN obfuscation USING (repo_id, path)")
 def obfuscation_scores(spark, sf_dir):
-    found = _detected(corpus.seeded(spark, sf_dir), elevated=lambda _: entropy.elevated_strings())
+    found = computed_once(with_lines(corpus.seeded(spark, sf_dir)), {"elevated": entropy.elevated_strings()})
     score = entropy.obfuscation_score(F.col("elevated"), F.size("lines"))
     return found.select("repo_id", "path", F.round(score, 6).alias("obfuscation_score"))
 
@@ -230,7 +227,7 @@ def obfuscation_scores(spark, sf_dir):
 @query(o.SEEDED + o.LINES + o.PERMISSION_HITS, "SELECT repo_id, path, line_number, rule_id, name, severity, weight, "
        "line_content, matched_pattern FROM permission_hits")
 def permission_requests(spark, sf_dir):
-    return _detector_findings(corpus.seeded(spark, sf_dir), permission_hits).select(
+    return _detector_findings(_detected(corpus.seeded(spark, sf_dir), hits=permission_hits)).select(
         "repo_id", "path", "line_number", "rule_id", "name", "severity", "weight", "line_content", "matched_pattern")
 
 
@@ -310,7 +307,8 @@ def syntax_facts(spark, sf_dir):
 def syntax_findings(spark, sf_dir):
     table = corpus.programs(spark, sf_dir)
     facts = table.withColumn("facts", syntax.syntax_facts(F.col("language"), F.col("text")))
-    return _detector_findings(facts, lambda _: syntax.syntax_hits(F.col("facts"))).select(
+    hits = syntax.syntax_hits(F.col("facts"))
+    return _detector_findings(computed_once(with_lines(facts), {"hits": hits})).select(
         "repo_id", "path", "k1", "k2", "rule_id", "name", "category", "severity", "weight", "confidence",
         "line_number", "line_content", "matched_pattern")
 

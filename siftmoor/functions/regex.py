@@ -9,6 +9,7 @@ on the driver, while the plan is built.
 import re
 import re._parser as sre
 from dataclasses import dataclass
+from functools import lru_cache
 
 FLAGS = "(?iudU)"          # ignore case (Unicode), "\n" is the only line end, Unicode classes
 SPACE = r"\s\x1c-\x1f"
@@ -63,6 +64,7 @@ class Prepared:
     spans_lines: bool          # could run across line ends when searched in a whole text
 
 
+@lru_cache(maxsize=10_000)
 def prepare(pattern: str, kind: str) -> Prepared | None:
     """None for a pattern that does not compile."""
     source = pattern if kind == "regex" else re.escape(pattern)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F
 
 from siftmoor.fixed import detectors as fx
 from siftmoor.functions.regex import Prepared, prepare, rare_start
-from siftmoor.functions.text import let, sql_array, sql_text
+from siftmoor.functions.text import sql_array, sql_text
 
 SCHEME = "://"
 HTTP = "http"
@@ -44,19 +44,15 @@ class Anchors:
         self.by_language = {
             language: {rare_start(a) for a in anchors} - self.everywhere for language, anchors in by_language.items()}
 
-    def found(self, folded: Column) -> Column:
-        """The anchors that occur in a folded text (see ``fold_case``)."""
+    def found(self) -> Column:
+        """The anchors that occur in the file's ``folded`` text (see ``with_lines``)."""
         pieces = _gated("true", self.everywhere)
         for language, anchors in sorted(self.by_language.items()):
             pieces += _gated(f"language = {sql_text(language)}", anchors)
-
-        def search(text):
-            candidates = F.concat(*[
-                F.when(F.expr(applies) & text.contains(gate), F.expr(sql_array(anchors))).otherwise(F.array())
-                for applies, gate, anchors in pieces])
-            return F.filter(candidates, lambda anchor: text.contains(anchor))
-
-        return let(folded, search)
+        candidates = ", ".join(
+            f"CASE WHEN {applies} AND contains(folded, {sql_text(gate)}) THEN {sql_array(anchors)} ELSE array() END"
+            for applies, gate, anchors in pieces)
+        return F.expr(f"filter(concat({candidates}), anchor -> contains(folded, anchor))")
 
     @staticmethod
     def any_of(texts) -> str:
