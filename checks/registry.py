@@ -10,7 +10,7 @@ from checks import corpus, oracle as o
 from siftmoor.fixed import detectors as fx
 from siftmoor.functions import urls
 from siftmoor.functions.plan import computed_once
-from siftmoor.functions.text import human_size
+from siftmoor.functions.numbers import human_size
 from siftmoor.operators import admission, entropy, network, report, risk, syntax
 from siftmoor.operators.anchors import Anchors
 from siftmoor.operators.combos import combo_hits
@@ -478,7 +478,7 @@ def indicator_preview(spark, sf_dir):
     return shown.withColumn("preview", F.array_join("preview", "; "))
 
 
-@query(o.SEEDED + o.SCAN, "SELECT repo_id, round(score, 1) AS score, verdict, risk_level, total_files_scanned AS files_scanned, "
+@query(o.SEEDED + o.SCAN, "SELECT repo_id, format('{:.1f}', score)::DOUBLE AS score, verdict, risk_level, total_files_scanned AS files_scanned, "
        "0 AS files_skipped, total_findings, (SELECT string_agg(language || '=' || files, ',' ORDER BY language) "
        "FROM file_types t WHERE t.repo_id = r.repo_id) AS types FROM repos r")
 def report_summary(spark, sf_dir):

@@ -63,15 +63,3 @@ def let(value: Column, body) -> Column:
 
 def shorten_path(path: Column, width: int = 40) -> Column:
     return F.when(F.length(path) > width, F.concat(F.lit("..."), F.right(path, F.lit(width - 3)))).otherwise(path)
-
-
-def human_size(size: Column) -> Column:
-    def scaled(unit: str, power: int) -> Column:
-        return F.format_string(f"%.1f {unit}", size / F.lit(float(1024 ** power)))
-
-    return (
-        F.when(size < 1024, F.format_string("%d B", size.cast("long")))
-        .when(size < 1024 ** 2, scaled("KB", 1))
-        .when(size < 1024 ** 3, scaled("MB", 2))
-        .otherwise(scaled("GB", 3))
-    )

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftmoor.fixed import files as fx
+from siftmoor.functions.numbers import round_one
 from siftmoor.functions.text import sql_array, strip, unix_newlines
 
 # after the last dot of a name, leading dots not counted
@@ -70,7 +71,7 @@ def skip_reason(path: Column, size: Column, content: Column, language: Column) -
         .when(name.isin(fx.SKIP_FILES), "excluded file")
         .when(name.startswith(".") & ~name.isin(list(fx.FILENAME_LANGUAGE)), "hidden file")
         .when(size.isNull(), "cannot read file")
-        .when(size > fx.MAX_FILE_BYTES, F.format_string("file too large (%.1fMB)", size / F.lit(1e6)))
+        .when(size > fx.MAX_FILE_BYTES, F.format_string("file too large (%.1fMB)", round_one(size / F.lit(1e6))))
         .when(size == 0, "empty file")
         .when(is_binary(content), "binary file")
         .when(language.isNull(), "unsupported file type")

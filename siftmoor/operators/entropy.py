@@ -78,8 +78,8 @@ def entropy_hits(elevated: Column) -> Column:
         return hit(
             ENTROPY, x["n"], x["i"], 0,
             F.when(e >= fx.ENTROPY_VERY_HIGH, ENTROPY_HIGH_ID).otherwise(ENTROPY_MED_ID),
-            x["n"], x["line"], F.format_string("entropy=%.2f", e),
-            F.format_string("%.2f", e), F.format_string("%.1f", e), confidence(e))
+            x["n"], x["line"], F.format_string("entropy=%.2f", F.bround(e, 2)),
+            F.format_string("%.2f", F.bround(e, 2)), F.format_string("%.1f", F.bround(e, 1)), confidence(e))
 
     return F.transform(elevated, as_hit)
 

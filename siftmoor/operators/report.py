@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from siftmoor.functions.numbers import round_one
 from siftmoor.functions.text import shorten_path
 from siftmoor.operators.merge import FILE
 
@@ -46,7 +47,7 @@ def repo_records(repos: DataFrame, timestamp: Column | None = None, duration: Co
             (F.col("repo_id") if name is None else name).alias("target_name"),
             F.round(F.lit(0.0) if duration is None else duration, 2).alias("duration_seconds")).alias("metadata"),
         F.struct(
-            F.bround("overall_risk_score", 1).alias("overall_risk_score"), "risk_level", "verdict",
+            round_one(F.col("overall_risk_score")).alias("overall_risk_score"), "risk_level", "verdict",
             F.col("summary_message").alias("verdict_message"), F.col("total_files_scanned").alias("files_scanned"),
             F.lit(0).alias("files_skipped"), "total_findings", "critical_findings", "high_findings",
             "all_permissions").alias("summary"),

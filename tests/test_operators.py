@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from siftmoor.fixed import detectors as fx
 from siftmoor.functions import urls
 from siftmoor.functions.entropy import shannon, shannon_at_least
+from siftmoor.functions.numbers import human_size, round_one
 from siftmoor.functions.regex import prepare, rare_start, to_java
-from siftmoor.functions.text import WHITESPACE, fold_case, human_size, shorten_path, split_lines, strip, unix_newlines
+from siftmoor.functions.text import WHITESPACE, fold_case, shorten_path, split_lines, strip, unix_newlines
 from siftmoor.operators import admission, network
 from siftmoor.operators.anchors import Anchors
 from siftmoor.operators.lines import with_lines
@@ -44,6 +45,11 @@ def test_strip_follows_python(spark):
     assert column(spark, values, strip) == [v.strip() for v in values]
 
 
+def test_rounding_follows_python(spark):
+    values = [k / 20 for k in range(0, 2001)] + [k / 1024 for k in range(0, 9000, 7)] + [k * 50_000 / 1e6 for k in range(20, 99)]
+    assert column(spark, values, round_one, "double") == [round(v, 1) for v in values]
+
+
 def test_sizes_and_paths(spark):
     sizes = [0, 1023, 1024, 1536, 1024 ** 2, 5 * 1024 ** 3]
     assert column(spark, sizes, human_size, "bigint") == ["0 B", "1023 B", "1.0 KB", "1.5 KB", "1.0 MB", "5.0 GB"]
