@@ -138,12 +138,10 @@ def skipped_pages(spark, sf_dir):
        "JOIN patterns USING (rule_ord) GROUP BY ALL")
 def applicable_rules(spark, sf_dir):
     table = rules_table(spark, default_rules())
-    by_language = table.select("rule_ord", F.size("match_patterns").alias("n"), F.explode("languages").alias("rule_language"))
-    files = corpus.seeded(spark, sf_dir).select("repo_id", "path", "language")
-    per_language = F.broadcast(by_language)          # the default catalogue: one row per rule and language
-    own = files.join(per_language, F.col("language") == F.col("rule_language"))
-    every = files.crossJoin(F.broadcast(by_language.where("rule_language = 'all'")))
-    return own.unionByName(every).groupBy("repo_id", "path").agg(
+    by_list = table.select("rule_ord", F.size("match_patterns").alias("n"), F.explode("languages").alias("list"))
+    lists = corpus.seeded(spark, sf_dir).select(
+        "repo_id", "path", F.explode(F.array("language", F.lit("all"))).alias("list"))
+    return lists.join(F.broadcast(by_list), "list").groupBy("repo_id", "path").agg(    # a row per rule and language
         F.count_distinct("rule_ord").alias("rules"), F.sum("n").alias("patterns"))
 
 

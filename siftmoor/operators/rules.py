@@ -15,7 +15,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftmoor.fixed import detectors as fx
-from siftmoor.functions.text import sql_text
+from siftmoor.functions.text import fold_case, sql_text
 from siftmoor.operators.anchors import Anchors
 from siftmoor.operators.hits import HIT, RULES, no_hits
 from siftmoor.operators.lines import lines as explode_lines
@@ -70,25 +70,25 @@ def rule_hits(patterns: list[RulePattern], anchors: Anchors) -> Column:
 
 
 def matches_by_join(file_text: DataFrame, patterns: list[RulePattern]) -> DataFrame:
-    """(repo_id, path, hit) by a join of lines and patterns."""
-    spark = file_text.sparkSession
-    per_line = explode_lines(file_text)
-    schema = "language string, list_ord int, rule_ord int, pattern_ord int, pattern string, regex string"
-    every, own = [], []
-    for p in patterns:
-        for name in dict.fromkeys(p.rule.languages):
-            row = (p.rule.rule_ord, p.pattern_ord, p.pattern, p.prepared.java)
-            (every if name == "all" else own).append((name, 1 if name == "all" else 0, *row))
-    parts = []
-    for rows, condition in ((own, F.col("l.language") == F.col("p.language")), (every, F.lit(True))):
-        for start in range(0, len(rows), JOIN_PATTERNS):
-            table = F.broadcast(spark.createDataFrame(rows[start:start + JOIN_PATTERNS], schema))   # <= JOIN_PATTERNS rows
-            parts.append(per_line.alias("l").join(
-                table.alias("p"), condition & F.expr("l.line rlike p.regex")
-            ).select("repo_id", "path", "list_ord", "rule_ord", "pattern_ord", "pattern", "line_number", "line"))
-    matched = parts[0]
-    for part in parts[1:]:
-        matched = matched.unionByName(part)
+    """(repo_id, path, hit) by a join of lines and patterns.
+
+    A line meets the rules of its language and those for all languages; the regular
+    expression is tried only where one of the pattern's anchors is in the line.
+    """
+    schema = ("list string, list_ord int, rule_ord int, pattern_ord int, pattern string, regex string, "
+              "anchors array<string>")
+    rows = [
+        (name, int(name == "all"), p.rule.rule_ord, p.pattern_ord, p.pattern, p.prepared.java, list(p.prepared.anchors))
+        for p in patterns for name in dict.fromkeys(p.rule.languages)
+    ]
+    per_line = explode_lines(file_text).select(
+        "*", fold_case(F.lower("line")).alias("folded"), F.explode(F.array("language", F.lit("all"))).alias("list"))
+    matches = F.expr("(size(anchors) = 0 OR exists(anchors, a -> contains(folded, a))) AND line RLIKE regex")
+    matched = None
+    for start in range(0, max(len(rows), 1), JOIN_PATTERNS):
+        table = file_text.sparkSession.createDataFrame(rows[start:start + JOIN_PATTERNS], schema)
+        part = per_line.join(F.broadcast(table), "list").where(matches)      # at most JOIN_PATTERNS rows
+        matched = part if matched is None else matched.unionByName(part)
     first = matched.groupBy("repo_id", "path", "list_ord", "rule_ord", "pattern_ord", "pattern").agg(
         F.min_by(F.struct("line_number", F.substring("line", 1, fx.RULE_LINE_CHARS).alias("line")),
                  "line_number").alias("m"))
