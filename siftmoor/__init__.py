@@ -1 +1,8 @@
 """Source-code security scanning as Spark DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few functions that run in Python workers travel with their jobs, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftmoor.fixed import detectors as fx
+from siftmoor.operators.hits import HIT
 from siftmoor.operators.merge import FILE, rank, weigh
 
 FILE_FIELDS = ["language", "file_size", "line_count", "scan_error", "obfuscation_score",
@@ -45,13 +46,15 @@ def verdict_message(key: Column, critical: Column, permissions: Column) -> Colum
 def file_results(analysis: DataFrame, book: DataFrame) -> DataFrame:
     """One row per file: score, counts, top finding and the file's own columns.
 
-    Each file travels once, as the companion of its first hit (or alone, without
-    hits), so hits and files need no join.
+    A file's own columns travel once, as a row next to the rows of its hits, so hits
+    and files need no join.
     """
-    rows = analysis.select(*FILE, F.struct(*FILE_FIELDS).alias("file"),
-                           F.posexplode_outer("hits").alias("pos", "hit")).select(
-        *FILE, F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("file")).alias("file"),
-        "hit.a", "hit.k1", "hit.k2", "hit.k3", "hit.def_id", "hit.line_number", "hit.confidence")
+    own = F.struct(*FILE_FIELDS)
+    file_row = F.struct(own.alias("file"), F.lit(None).cast(HIT).alias("hit"))
+    no_file = F.when(F.lit(False), own)
+    hit_rows = F.transform("hits", lambda hit: F.struct(no_file.alias("file"), hit.alias("hit")))
+    rows = analysis.select(*FILE, F.inline_outer(F.concat(F.array(file_row), hit_rows))).select(
+        *FILE, "file", "hit.a", "hit.k1", "hit.k2", "hit.k3", "hit.def_id", "hit.line_number", "hit.confidence")
     ranked = rank(weigh(rows, book))
     counted = F.col("effective_weight") * frequency_factor(F.col("occurrence"))
     scored = ranked.groupBy(*FILE).agg(
