@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftmoor.llm import chat, nearest, url_rules
+from siftmoor.llm import chat, language, nearest, substrings, toxicity, url_rules
+from siftmoor.llm.common import fold
 
 QUERIES, ORACLE = {}, {}
 
@@ -26,6 +27,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 4) == 2
+    model = language.fit(docs.where(~held_out))
+    return language.identify(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
+@query
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE["op4_substrings"] = r"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS passage
+  FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 12)) AS i FROM split)),
+seen AS (SELECT passage, min(doc_id) AS least FROM windows GROUP BY passage),
+covered AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS i
+  FROM windows JOIN seen USING (passage) WHERE least < doc_id),
+kept AS (
+  SELECT s.doc_id, s.word, s.i, c.i IS NULL AS stays
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS i FROM split) s
+  LEFT JOIN covered c ON s.doc_id = c.doc_id AND s.i = c.i),
+told AS (SELECT doc_id, count(*) FILTER (NOT stays) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (stays) AS text FROM kept GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN told USING (doc_id)"""
+
+
 @query
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.createDataFrame(ADDED_TURNS, "conv_id long, turn long, role string, text string")
@@ -74,3 +105,11 @@ judged AS (
     WHEN '.' || host LIKE '%.net' AND path LIKE '/fr/%' THEN 'net/fr/' END AS rule FROM parsed)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict
 FROM judged"""
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 4) == 2
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})

@@ -64,14 +64,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the texts of one piece have `limit` bytes at most, or are a single text."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a piece has `rows` rows at most and `limit` bytes of text, or is a single text."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         upto, start = np.cumsum(sizes, dtype=np.int64), 0
         while start < batch.num_rows:
             before = upto[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(upto, before + limit, "right")))
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(upto, before + limit, "right"))))
             yield batch.slice(start, stop - start)
             start = stop
 
