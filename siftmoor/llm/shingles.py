@@ -4,8 +4,9 @@ A document is the set of its distinct shingles; equal sets are one node.  Two no
 sets reaches 4/5 (`NEAR` parts of `OF`).  Steps, each a Spark job:
 
 1. Sets are counted, and a fixed table of counters says roughly how frequent shingles are.
-2. Nodes that link share a shingle among the rarest fifth of each (prefix filter).  Each such shingle is a block of the forest.
-   Shingles meet as packed arrays; a key that one node alone has is gone after this step.
+2. Nodes that link share a shingle among the rarest fifth of each (prefix filter) and have similar sizes.  The nodes of each such
+   shingle, parted at gaps of size, are a block of the forest.  Shingles meet as packed arrays; a key that one node alone has is
+   gone after this step.
 3. In each block the node of smallest hash is compared with the others: most blocks of copies are one component then.
 4. Blocks that hold several components still become R-trees: shingles are hashed into GROUPS groups, the counts of each group
    are a node's coordinates, leaves are tiles of nodes of similar size.  Two nodes share at most the sum of the smaller of
@@ -64,21 +65,27 @@ class Sets:
             sums = np.add.reduceat(w.mixed(self.values ^ np.uint64(0x5851F42D4C957F2D)), self.first[:-1][full])
             self.nodes[full] = np.maximum(w.mixed(sums + self.sizes[full].astype(np.uint64)), np.uint64(1))
 
+    def points(self) -> np.ndarray:
+        """Shingles of each text by group: the coordinates of its node."""
+        counts = np.bincount(self.owner * GROUPS + (self.values % np.uint64(GROUPS)).astype(np.int64), minlength=len(self.sizes) * GROUPS)
+        return counts.astype(np.int32).reshape(-1, GROUPS)
+
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     loads = np.zeros(1 << COUNTER_BITS, np.int64)
 
-    def rows(ids, sizes, nodes, pieces, counters):
-        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in ((ids, pa.int64()), (sizes, pa.int64()), (nodes, pa.int64()), (pieces, pa.int32()), (counters, pa.binary()))],
-                                          ["id", "n", "node", "piece", "loads"])
+    def rows(ids, sizes, nodes, points, pieces, counters):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, kind) for x, kind in zip((ids, sizes, nodes, points, pieces, counters), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()))],
+            ["id", "n", "node", "point", "piece", "loads"])
 
     for batch in w.slices(batches, "text"):
         sets = Sets(batch["text"])
         loads += np.bincount((sets.values >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(loads))
         none = [None] * batch.num_rows
-        yield rows(batch["id"], sets.sizes, pa.array(sets.nodes.view(np.int64), mask=sets.sizes == 0), none, none)
+        yield rows(batch["id"], sets.sizes, pa.array(sets.nodes.view(np.int64), mask=sets.sizes == 0), w.binary(list(sets.points())), none, none)
     none = [None] * PIECES
-    yield rows(none, none, none, range(PIECES), [x.tobytes() for x in np.split(loads, PIECES)])
+    yield rows(none, none, none, none, range(PIECES), [x.tobytes() for x in np.split(loads, PIECES)])
 
 
 def _total(key: tuple, table: pa.Table) -> pa.Table:
@@ -106,55 +113,63 @@ def _prefix_keys(rank: np.ndarray, count: int):
             sets = Sets(batch["text"])
             # The counter's number gives way to its rank: the same shingles under other names, rare ones first.
             named = (rank[sets.values >> low_bits] << low_bits) | (sets.values & np.uint64((1 << (64 - COUNTER_BITS)) - 1))
-            found, owners, seen = [], [], set()
+            found, owners, sizes, seen = [], [], [], set()
             for i, size in enumerate(sets.sizes.tolist()):
                 if size and (node := sets.nodes[i]) not in seen:
                     seen.add(node)
                     prefix = size - -(-NEAR * size // OF) + 1
                     found.append(np.partition(named[sets.first[i] : sets.first[i + 1]], prefix - 1)[:prefix])
                     owners.append(np.full(prefix, node, np.uint64))
+                    sizes.append(np.full(prefix, size, np.uint32))
             if not found:
                 continue
-            found, owners = np.concatenate(found), np.concatenate(owners)
+            found, owners, sizes = np.concatenate(found), np.concatenate(owners), np.concatenate(sizes)
             order, upto = w.by_bucket(w.mixed(found) % np.uint64(count), count)
             buckets = np.flatnonzero(np.diff(upto))
-            found, owners = found[order], owners[order]
+            found, owners, sizes = found[order], owners[order], sizes[order]
             cut = lambda x: pa.array([x[upto[b] : upto[b + 1]].tobytes() for b in buckets], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), cut(found), cut(owners)], ["bucket", "keys", "nodes"])
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), cut(found), cut(owners), cut(sizes)], ["bucket", "keys", "nodes", "sizes"])
 
     return keys
 
 
 def _blocks(key: tuple, table: pa.Table) -> pa.Table:
-    """Pairs of a block's first node with the others (block null), and members of blocks of three nodes or more."""
-    keys, nodes = w.joined(table["keys"], np.uint64), w.joined(table["nodes"], np.uint64)
+    """Pairs of a block's first node with the others (block null), and members of blocks of three nodes or more.
+
+    The nodes of a key, by size, part into blocks wherever a size is too large to be near the one before.
+    """
+    keys, nodes, sizes = w.joined(table["keys"], np.uint64), w.joined(table["nodes"], np.uint64), w.joined(table["sizes"], np.uint32).astype(np.int64)
     order = np.argsort(keys)
-    keys, nodes = keys[order], nodes[order]
+    keys, nodes, sizes = keys[order], nodes[order], sizes[order]
     shared = np.zeros(len(keys), bool)
     shared[1:] = keys[1:] == keys[:-1]
     shared[:-1] |= shared[1:]
-    keys, nodes = keys[shared], nodes[shared]
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-    keys, nodes = keys[new], nodes[new]
+    keys, nodes, sizes = keys[shared], nodes[shared], sizes[shared]
+    order = np.lexsort((nodes, sizes, keys))
+    keys, nodes, sizes = keys[order], nodes[order], sizes[order]
     if not len(keys):
         return pa.table({c: pa.array([], pa.int64()) for c in ("block", "a", "b")})
-    opens = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    sizes = np.diff(np.append(opens, len(keys)))
-    first, names = np.repeat(nodes[opens], sizes), np.repeat(w.mixed(np.add.reduceat(w.mixed(nodes), opens)), sizes)
-    pairs = np.unique(np.stack([first, nodes], axis=1)[first != nodes], axis=0).view(np.int64)
-    members = np.unique(np.stack([names, nodes], axis=1)[np.repeat(sizes, sizes) > 2], axis=0).view(np.int64)
+    new = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1]))
+    keys, nodes, sizes = keys[new], nodes[new], sizes[new]
+    opens = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (OF * sizes[:-1] < NEAR * sizes[1:])))
+    members = np.diff(np.append(opens, len(keys)))
+    block = np.repeat(np.arange(len(opens)), members)
+    order = np.lexsort((nodes, block))
+    nodes, sizes = nodes[order], sizes[order]
+    first, names = np.repeat(nodes[opens], members), np.repeat(w.mixed(np.add.reduceat(w.mixed(nodes), opens)), members)
+    size = np.repeat(sizes[opens], members)
+    near = (first != nodes) & (OF * np.minimum(size, sizes) >= NEAR * np.maximum(size, sizes))
+    pairs = np.unique(np.stack([first, nodes], axis=1)[near], axis=0).view(np.int64)
+    members = np.unique(np.stack([names, nodes], axis=1)[np.repeat(members, members) > 2], axis=0).view(np.int64)
     return pa.table({
         "block": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(members[:, 0])]),
         "a": np.concatenate([pairs[:, 0], members[:, 1]]), "b": np.concatenate([pairs[:, 1], members[:, 1]])})
 
 
-def _points(bits: np.ndarray):
-    """Sets with their count vectors, of the texts whose id may be wanted."""
+def _whole_sets(bits: np.ndarray):
+    """The sets of the texts whose id may be wanted."""
 
-    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in w.slices(batches, "text"):
             at = batch["bit"].to_numpy()
             wanted = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
@@ -162,34 +177,52 @@ def _points(bits: np.ndarray):
                 continue
             batch = batch.take(pa.array(wanted))
             sets = Sets(batch["text"])
-            groups = np.bincount(sets.owner * GROUPS + (sets.values % np.uint64(GROUPS)).astype(np.int64), minlength=len(wanted) * GROUPS).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(sets.nodes.view(np.int64)), batch["id"], pa.array(sets.sizes), w.binary(list(groups.reshape(-1, GROUPS))),
-                w.binary(np.split(sets.values, sets.first[1:-1]))], ["node", "id", "n", "point", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(sets.nodes.view(np.int64)), batch["id"], w.binary(np.split(sets.values, sets.first[1:-1]))], ["node", "id", "shingles"])
 
-    return points
+    return whole_sets
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose coordinates allow them to be near."""
+    for batch in batches:
+        if batch.num_rows:
+            sizes = batch["n_a"].to_numpy() + batch["n_b"].to_numpy()
+            good = np.minimum(*[w.joined(batch[c], np.int32).reshape(-1, GROUPS) for c in ("point_a", "point_b")]).sum(axis=1) * (NEAR + OF) >= NEAR * sizes
+            yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(good)) for c in "ab"], ["a", "b"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sets are near enough: sizes, then the bound of the coordinates, then the sets themselves."""
+    """Pairs whose sets are near enough."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        sizes = batch["n_a"].to_numpy() + batch["n_b"].to_numpy()
-        need = -(-NEAR * sizes // (NEAR + OF))
-        points = [w.joined(batch[c], np.int32).reshape(-1, GROUPS) for c in ("point_a", "point_b")]
-        good = np.minimum(*points).sum(axis=1) >= need
-        for i in np.flatnonzero(good).tolist():
+        good = np.zeros(batch.num_rows, bool)
+        for i in range(batch.num_rows):
             a, b = (np.frombuffer(batch[c][i].as_buffer(), np.uint64) for c in ("shingles_a", "shingles_b"))
             both = np.concatenate([a, b])
             both.sort()
-            good[i] = (both[1:] == both[:-1]).sum() >= need[i]
-        yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(good)), batch["b"].filter(pa.array(good))], ["a", "b"])
+            good[i] = (both[1:] == both[:-1]).sum() * (NEAR + OF) >= NEAR * len(both)
+        yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(good)) for c in "ab"], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    sides = [points.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "point", "shingles")]) for s in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").where(f"{OF} * least(n_a, n_b) >= {NEAR} * greatest(n_a, n_b)").mapInArrow(_linked, "a long, b long")
+def _sides(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """The pairs (a, b) with columns of both nodes."""
+    for s in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns]), s)
+    return pairs
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs that link.  Sets are made again for the nodes concerned only; a bitmap of fixed size keeps other texts out."""
+    wanted = nodes.select("node", "id").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    parts = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in parts:  # part 0 holds bit 0 alone, the others count bits from 1
+        low = max(0, row.part - 1) * 4096
+        bits[low : low + 4096] |= np.frombuffer(row.bits, np.uint8)
+    place = F.when(bit == 0, F.lit(0)).otherwise((F.bitmap_bucket_number(bit) - 1) * 32768 + F.bitmap_bit_position(bit))
+    sets = rows.select("id", "text", place.alias("bit")).mapInArrow(_whole_sets(bits), "node long, id long, shingles binary")
+    sets = stage(sets.join(wanted, ["node", "id"], "left_semi"), "shingles")
+    return stage(_sides(pairs, sets, ["shingles"]).mapInArrow(_linked, "a long, b long"), "near")
 
 
 def _leaf(key: tuple, table: pa.Table) -> pa.Table:
@@ -219,12 +252,12 @@ def _near_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(nodes[i], other)), pa.array(np.maximum(nodes[i], other))], ["a", "b"])
 
 
-def _tree_pairs(members: DataFrame, points: DataFrame, found: DataFrame) -> DataFrame:
+def _tree_pairs(members: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     """Candidate pairs between components that share a block, by a join of R-tree leaves."""
     labelled = members.join(found, "node", "left").select("block", "node", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("block")
     band = F.floor(F.log("n") / F.log(F.lit(OF / NEAR))).cast("int")
-    placed = labelled.join(mixed, "block").join(points.select("node", "n", "point"), "node").withColumn("band", band)
+    placed = labelled.join(mixed, "block").join(nodes.select("node", "n", "point"), "node").withColumn("band", band)
     tiles = placed.groupBy("block", "band").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("leaves"))
     leaves = placed.join(tiles, ["block", "band"]).withColumn("leaf", F.pmod(F.xxhash64("node"), F.col("leaves")).cast("int")).groupBy("block", "band", "leaf").applyInArrow(_leaf, _LEAF)
     leaves = stage(leaves, "leaves")
@@ -240,31 +273,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole sequence as the one shingle.  Null texts and texts without words have none and link with nothing.  Rows with a null
     id are kept apart: their component is null.  Repeated rows give a row each.  Other columns are ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    counted = stage(rows.mapInArrow(_count, "id long, n long, node long, piece int, loads binary"), "sets")
-    seen = counted.where("piece is null").select("id", "n", "node")
-    rank = _rarity(counted)
+    counted = stage(rows.mapInArrow(_count, "id long, n long, node long, point binary, piece int, loads binary"), "sets")
+    seen = counted.where("piece is null").select("id", "n", "node", "point")
+    nodes = stage(seen.where("id is not null and node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("point").alias("point")), "nodes")
     known = rows.where("id is not null")
-    keys = known.mapInArrow(_prefix_keys(rank, count := buckets_for(6 * text_size(docs, text_col) // 10, BUCKET_BYTES)), "bucket int, keys binary, nodes binary")
+    count = buckets_for(6 * text_size(docs, text_col) // 10, BUCKET_BYTES)
+    keys = known.mapInArrow(_prefix_keys(_rarity(counted), count), "bucket int, keys binary, nodes binary, sizes binary")
     met = stage(keys.groupBy("bucket").applyInArrow(_blocks, "block long, a long, b long"), "blocks")
     stars = met.where("block is null").select("a", "b").distinct()
     members = met.where("block is not null").select("block", F.col("a").alias("node")).distinct()
-    wanted = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = seen.where("id is not null").groupBy("node").agg(F.min("id").alias("id")).join(wanted, "node")
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    bitmap = chosen.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
-    for row in bitmap:  # parts count from 1 for bits from 1, from 0 for bit 0
-        bits[max(0, row.part - 1) * 4096 : max(0, row.part - 1) * 4096 + 4096] |= np.frombuffer(row.bits, np.uint8)
-    place = F.when(bit == 0, F.lit(0)).otherwise((F.bitmap_bucket_number(bit) - 1) * 32768 + F.bitmap_bit_position(bit))
-    points = known.select("id", "text", place.alias("bit")).mapInArrow(_points(bits), "node long, id long, n long, point binary, shingles binary")
-    points = stage(points.join(chosen, ["node", "id"], "left_semi"), "points")
-    links = stage(_verified(stars, points), "near")
+    near = stage(_sides(stars, nodes, ["n", "point"]).mapInArrow(_possible, "a long, b long"), "pairs")
+    links = _verified(near, nodes, known)
     found = components(links)
-    more = stage(_verified(_tree_pairs(members, points, found), points), "near")
-    if more.head(1):
-        found = components(links.union(more))
+    rest = stage(_tree_pairs(members, nodes, found), "pairs")
+    if rest.head(1):
+        found = components(links.union(_verified(rest, nodes, known)))
     labelled = seen.join(found, "node", "left").select("id", "n", F.coalesce("component", "node").alias("c"))
     least = labelled.where("c is not null").groupBy("c").agg(F.min("id").alias("least"))
     return labelled.join(least, "c", "left").select(

@@ -133,7 +133,7 @@ def runs(words: np.ndarray, length: int) -> np.ndarray:
     count = max(0, len(words) - length + 1)
     total = np.zeros(count, np.uint64)
     for i in range(length):
-        total += words[i : i + count] * np.uint64((_FIRST * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF)
+        total += words[i : i + count] * np.uint64(pow(_SECOND, i + 1, 1 << 64))
     return mixed(total)
 
 
