@@ -7,8 +7,9 @@ sets reaches 4/5 (`NEAR` parts of `OF`).  Steps, each a Spark job:
 2. Nodes that link share a shingle among the rarest fifth of each (prefix filter) and have similar sizes.  The nodes of each such
    shingle, parted at gaps of size, are a block of the forest.  Shingles meet as packed arrays; a key that one node alone has is
    gone after this step.
-3. In each block the node of smallest hash is compared with the others: most blocks of copies are one component then.
-4. Blocks that hold several components still become R-trees: shingles are hashed into GROUPS groups, the counts of each group
+3. In each block the node of smallest hash is compared with the others, then, where components differ, a node drawn by a hash of
+   node and block: most blocks of copies are one component then.
+4. Blocks that hold several components still become R-trees: shingles are hashed into groups, the counts of each group
    are a node's coordinates, leaves are tiles of nodes of similar size.  Two nodes share at most the sum of the smaller of
    their coordinates, two leaves at most that of their upper corners; pairs of leaves, then of nodes, below the need are cut.
 5. Surviving pairs are verified on the whole sets; linked nodes give connected components.
@@ -31,9 +32,9 @@ from siftmoor.llm.substrings import _sequences
 
 LENGTH = 5
 NEAR, OF = 4, 5
-GROUPS = 32
+LEAST_GROUPS = 32
 LEAF = 256
-COUNTER_BITS, PIECES, SALTS = 18, 256, 64
+COUNTER_BITS, PIECES, SALTS = 20, 256, 64
 FILTER_BITS = 1 << 23
 BUCKET_BYTES = 12 << 20
 
@@ -65,14 +66,32 @@ class Sets:
             sums = np.add.reduceat(w.mixed(self.values ^ np.uint64(0x5851F42D4C957F2D)), self.first[:-1][full])
             self.nodes[full] = np.maximum(w.mixed(sums + self.sizes[full].astype(np.uint64)), np.uint64(1))
 
-    def points(self) -> np.ndarray:
-        """Shingles of each text by group: the coordinates of its node."""
-        counts = np.bincount(self.owner * GROUPS + (self.values % np.uint64(GROUPS)).astype(np.int64), minlength=len(self.sizes) * GROUPS)
-        return counts.astype(np.int32).reshape(-1, GROUPS)
+    def points(self) -> list[np.ndarray]:
+        """Shingles of each text by group, the coordinates of its node: a power of two near the size, so that counts stay small."""
+        return [np.bincount((self.values[a:b] & np.uint64(groups_for(b - a) - 1)).astype(np.int64), minlength=groups_for(b - a)).astype(np.uint16)
+                for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist())]
+
+
+def groups_for(size: int) -> int:
+    """The number of groups of a set."""
+    return max(LEAST_GROUPS, 1 << (max(2, size) - 1).bit_length() - 1)
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """The counts of fewer groups: shingles of groups that agree in the low bits of their number go together."""
+    return point.astype(np.int32).reshape(-1, groups).sum(axis=0)
+
+
+def most_shared(a: np.ndarray, b: np.ndarray) -> int:
+    """No two sets with these coordinates share more shingles."""
+    if len(a) == len(b):
+        return int(np.minimum(a, b).sum(dtype=np.int64))
+    groups = min(len(a), len(b))
+    return int(np.minimum(folded(a, groups), folded(b, groups)).sum())
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    loads = np.zeros(1 << COUNTER_BITS, np.int64)
+    loads = np.zeros(1 << COUNTER_BITS, np.uint32)
 
     def rows(ids, sizes, nodes, points, pieces, counters):
         return pa.RecordBatch.from_arrays(
@@ -81,15 +100,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in w.slices(batches, "text"):
         sets = Sets(batch["text"])
-        loads += np.bincount((sets.values >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(loads))
+        loads += np.bincount((sets.values >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(loads)).astype(np.uint32)
         none = [None] * batch.num_rows
-        yield rows(batch["id"], sets.sizes, pa.array(sets.nodes.view(np.int64), mask=sets.sizes == 0), w.binary(list(sets.points())), none, none)
+        yield rows(batch["id"], sets.sizes, pa.array(sets.nodes.view(np.int64), mask=sets.sizes == 0), w.binary(sets.points()), none, none)
     none = [None] * PIECES
     yield rows(none, none, none, none, range(PIECES), [x.tobytes() for x in np.split(loads, PIECES)])
 
 
 def _total(key: tuple, table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table["loads"])
+    width = (1 << COUNTER_BITS) // PIECES
+    kinds = {4 * width: np.uint32, 8 * width: np.int64}
+    total = np.zeros(width, np.int64)
+    for part in table["loads"]:
+        total += np.frombuffer(part.as_buffer(), kinds[part.as_buffer().size])
     return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "loads": pa.array([total.tobytes()], pa.binary())})
 
 
@@ -100,8 +123,8 @@ def _rarity(counted: DataFrame) -> np.ndarray:
     total = np.zeros((PIECES, (1 << COUNTER_BITS) // PIECES), np.int64)
     for row in rows:
         total[row.piece] = np.frombuffer(row.loads, np.int64)
-    rank = np.empty(1 << COUNTER_BITS, np.uint64)
-    rank[np.argsort(total.ravel(), kind="stable")] = np.arange(1 << COUNTER_BITS, dtype=np.uint64)
+    rank = np.empty(1 << COUNTER_BITS, np.uint32)
+    rank[np.argsort(total.ravel(), kind="stable")] = np.arange(1 << COUNTER_BITS, dtype=np.uint32)
     return rank
 
 
@@ -112,7 +135,7 @@ def _prefix_keys(rank: np.ndarray, count: int):
         for batch in w.slices(batches, "text"):
             sets = Sets(batch["text"])
             # The counter's number gives way to its rank: the same shingles under other names, rare ones first.
-            named = (rank[sets.values >> low_bits] << low_bits) | (sets.values & np.uint64((1 << (64 - COUNTER_BITS)) - 1))
+            named = (rank[sets.values >> low_bits].astype(np.uint64) << low_bits) | (sets.values & np.uint64((1 << (64 - COUNTER_BITS)) - 1))
             found, owners, sizes, seen = [], [], [], set()
             for i, size in enumerate(sets.sizes.tolist()):
                 if size and (node := sets.nodes[i]) not in seen:
@@ -185,10 +208,10 @@ def _whole_sets(bits: np.ndarray):
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose coordinates allow them to be near."""
     for batch in batches:
-        if batch.num_rows:
-            sizes = batch["n_a"].to_numpy() + batch["n_b"].to_numpy()
-            good = np.minimum(*[w.joined(batch[c], np.int32).reshape(-1, GROUPS) for c in ("point_a", "point_b")]).sum(axis=1) * (NEAR + OF) >= NEAR * sizes
-            yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(good)) for c in "ab"], ["a", "b"])
+        sizes = (batch["n_a"].to_numpy() + batch["n_b"].to_numpy()).tolist()
+        points = [[np.frombuffer(x.as_buffer(), np.uint16) for x in batch[c]] for c in ("point_a", "point_b")]
+        good = pa.array([most_shared(x, y) * (NEAR + OF) >= NEAR * size for x, y, size in zip(*points, sizes)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch[c].filter(good) for c in "ab"], ["a", "b"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,10 +249,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _leaf(key: tuple, table: pa.Table) -> pa.Table:
-    corner = w.joined(table["point"], np.int32).reshape(-1, GROUPS).max(axis=0)
+    """A leaf: nodes of one block and band with the coordinates they all have, and the upper corner of its box."""
+    points = [np.frombuffer(x.as_buffer(), np.uint16) for x in table["point"]]
+    groups = min(map(len, points))
+    points = np.array([folded(x, groups) for x in points], np.int32)
     arrays = {c: table[c].to_numpy() for c in ("node", "component", "n")}
-    row = {"block": key[0].as_py(), "band": key[1].as_py(), "leaf": key[2].as_py(), "least": int(arrays["n"].min()), "corner": corner.tobytes(),
-           "points": w.joined(table["point"], np.int32).tobytes(), **{f"{c}s": x.tobytes() for c, x in arrays.items()}}
+    row = {"block": key[0].as_py(), "band": key[1].as_py(), "leaf": key[2].as_py(), "least": int(arrays["n"].min()), "corner": points.max(axis=0).tobytes(),
+           "points": points.tobytes(), **{f"{c}s": x.tobytes() for c, x in arrays.items()}}
     return pa.Table.from_pylist([row], schema=pa.schema([(c, k) for c, k in zip(row, [pa.int64(), pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 5)]))
 
 
@@ -241,23 +267,38 @@ def _near_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             get = lambda name, kind: np.frombuffer(batch[name][row].as_buffer(), kind)
-            if np.minimum(get("corner", np.int32), get("corner_2", np.int32)).sum() * (NEAR + OF) < NEAR * (batch["least"][row].as_py() + batch["least_2"][row].as_py()):
+            if most_shared(get("corner", np.int32), get("corner_2", np.int32)) * (NEAR + OF) < NEAR * (batch["least"][row].as_py() + batch["least_2"][row].as_py()):
                 continue
             (nodes, comps, sizes, points), (nodes_2, comps_2, sizes_2, points_2) = (
-                (get(f"nodes{s}", np.int64), get(f"components{s}", np.int64), get(f"ns{s}", np.int64), get(f"points{s}", np.int32).reshape(-1, GROUPS)) for s in ("", "_2"))
+                (get(f"nodes{s}", np.int64), get(f"components{s}", np.int64), get(f"ns{s}", np.int64), get(f"points{s}", np.int32)) for s in ("", "_2"))
+            groups = min(len(points) // len(nodes), len(points_2) // len(nodes_2))
+            points, points_2 = (x.reshape(count, -1, groups).sum(axis=1) for x, count in ((points, len(nodes)), (points_2, len(nodes_2))))
             for i in range(len(nodes)):
-                good = (comps_2 != comps[i]) & (np.minimum(points[i], points_2).sum(axis=1) * (NEAR + OF) >= NEAR * (sizes[i] + sizes_2))
-                if good.any():
+                maybe = np.flatnonzero((comps_2 != comps[i]) & (OF * np.minimum(sizes_2, sizes[i]) >= NEAR * np.maximum(sizes_2, sizes[i])))
+                good = maybe[np.minimum(points[i], points_2[maybe]).sum(axis=1) * (NEAR + OF) >= NEAR * (sizes[i] + sizes_2[maybe])]
+                if len(good):
                     other = nodes_2[good]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(nodes[i], other)), pa.array(np.maximum(nodes[i], other))], ["a", "b"])
 
 
-def _tree_pairs(members: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Candidate pairs between components that share a block, by a join of R-tree leaves."""
+def _mixed_blocks(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of blocks that hold several components, with their component."""
     labelled = members.join(found, "node", "left").select("block", "node", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("block")
+    several = labelled.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("block")
+    return labelled.join(several, "block")
+
+
+def _second_stars(mixed: DataFrame) -> DataFrame:
+    """Each member of a block with a member drawn by a hash of node and block, if their components differ."""
+    drawn = mixed.groupBy("block").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", "block")).alias("drawn"))
+    pairs = mixed.join(drawn, "block").where("component <> drawn.component")
+    return pairs.select(F.least("node", "drawn.node").alias("a"), F.greatest("node", "drawn.node").alias("b")).distinct()
+
+
+def _tree_pairs(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Candidate pairs between components that share a block, by a join of R-tree leaves."""
     band = F.floor(F.log("n") / F.log(F.lit(OF / NEAR))).cast("int")
-    placed = labelled.join(mixed, "block").join(nodes.select("node", "n", "point"), "node").withColumn("band", band)
+    placed = mixed.join(nodes.select("node", "n", "point"), "node").withColumn("band", band)
     tiles = placed.groupBy("block", "band").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("leaves"))
     leaves = placed.join(tiles, ["block", "band"]).withColumn("leaf", F.pmod(F.xxhash64("node"), F.col("leaves")).cast("int")).groupBy("block", "band", "leaf").applyInArrow(_leaf, _LEAF)
     leaves = stage(leaves, "leaves")
@@ -283,12 +324,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = stage(keys.groupBy("bucket").applyInArrow(_blocks, "block long, a long, b long"), "blocks")
     stars = met.where("block is null").select("a", "b").distinct()
     members = met.where("block is not null").select("block", F.col("a").alias("node")).distinct()
-    near = stage(_sides(stars, nodes, ["n", "point"]).mapInArrow(_possible, "a long, b long"), "pairs")
-    links = _verified(near, nodes, known)
+    possible = lambda pairs: stage(_sides(_sides(pairs, nodes, ["n"]).where(f"{OF} * least(n_a, n_b) >= {NEAR} * greatest(n_a, n_b)"), nodes, ["point"]).mapInArrow(_possible, "a long, b long"), "pairs")
+    links = _verified(possible(stars), nodes, known)
     found = components(links)
-    rest = stage(_tree_pairs(members, nodes, found), "pairs")
-    if rest.head(1):
-        found = components(links.union(_verified(rest, nodes, known)))
+    for candidates in (lambda mixed: possible(_second_stars(mixed)), lambda mixed: stage(_tree_pairs(mixed, nodes), "pairs")):
+        mixed = stage(_mixed_blocks(members, found), "mixed")
+        if (pairs := candidates(mixed)).head(1):
+            links = links.union(_verified(pairs, nodes, known))
+            found = components(links)
     labelled = seen.join(found, "node", "left").select("id", "n", F.coalesce("component", "node").alias("c"))
     least = labelled.where("c is not null").groupBy("c").agg(F.min("id").alias("least"))
     return labelled.join(least, "c", "left").select(
