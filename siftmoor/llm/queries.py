@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftmoor.llm import chat, language, nearest, shingles, substrings, toxicity, url_rules
+from siftmoor.llm import chat, decontamination, language, mixing, nearest, shingles, substrings, toxicity, url_rules
 from siftmoor.llm.common import fold
 
 QUERIES, ORACLE = {}, {}
@@ -35,6 +35,11 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
 
 
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 @query
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.near_duplicates(table(spark, sf_dir, "documents"))
@@ -79,6 +84,11 @@ SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha25
 FROM split LEFT JOIN told USING (doc_id)"""
 
 
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.createDataFrame(ADDED_TURNS, "conv_id long, turn long, role string, text string")
