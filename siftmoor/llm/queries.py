@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftmoor.llm import chat, decontamination, language, mixing, nearest, shingles, substrings, toxicity, url_rules
+from siftmoor.llm import chat, decontamination, language, mixing, nearest, shingles, substrings, suffix_tree, toxicity, url_rules
 from siftmoor.llm.common import fold
 
 QUERIES, ORACLE = {}, {}
@@ -145,3 +145,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 4) == 2
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
     return toxicity.score(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
+@query
+def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 7) == 2
+    model = suffix_tree.fit(docs.where(~held_out))
+    return suffix_tree.score(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})

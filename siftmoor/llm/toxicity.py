@@ -175,3 +175,13 @@ def score(docs: DataFrame, model: Classifier, keep: dict[str, Column], text: str
                                              [*names_kept, "score", "predicted"])
 
     return rows.mapInArrow(judge, kept.add("score", "double").add("predicted", "integer"))
+
+
+def without_toxic(docs: DataFrame, model: Classifier, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all columns, whose text scores under `threshold`."""
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in w.slices(batches, text):
+            yield batch.filter(pa.array(model.scores(batch[text]) < threshold))
+
+    return docs.mapInArrow(clean, docs.schema)

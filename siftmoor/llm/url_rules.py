@@ -44,12 +44,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     """
     spark = pages.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hosts = pages.select(F.col(id_col).alias("id"), url_host(url_col).alias("host"), url_path(url_col).alias("path"), F.xxhash64(id_col, url_col).alias("salt"))
+    hosts = pages.select(F.col(id_col).cast("string").alias("id"), url_host(url_col).alias("host"), url_path(url_col).alias("path"), F.xxhash64(id_col, url_col).alias("salt"))
     keyed = hosts.select("id", "host", "path", F.concat_ws("\0", reversed_host("host"), "path", F.hex("salt")).alias("key"))
     sample = sorted(r.key for r in keyed.orderBy(F.xxhash64("key")).limit(SAMPLE_PER_RANGE * parts).select("key").collect())
     bounds = sorted(set(sample[SAMPLE_PER_RANGE::SAMPLE_PER_RANGE]))
     id_type = pages.schema[id_col].dataType.simpleString()
-    schema = f"part int, key string, kind int, id {id_type}, host string, path string, verdict string"
+    schema = "part int, key string, kind int, id string, host string, path string, verdict string"
 
     def place_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -63,7 +63,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     intervals = rules.where("host is not null and path is not null and verdict is not null").select(
         "host", "path", "verdict", reversed_host("host").alias("key"))
     events = keyed.mapInPandas(place_pages, schema).union(intervals.mapInPandas(place_rules, schema))
-    ordered = events.repartition(parts, "part").sortWithinPartitions("part", "key", "kind", "path", F.col("verdict").desc())
+    ordered = events.repartition(parts, "part").sortWithinPartitions("part", "key", "kind", "path", "verdict")
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stack, part = [], None
@@ -82,10 +82,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
                 else:
                     stack.append((row.key, {row.path: (row.host + row.path, row.verdict)}, {len(row.path)}))
             found = pd.DataFrame(out, columns=["host", "path", "rule", "verdict"])
-            found.insert(0, id_col, batch.loc[batch["kind"] == 1, "id"].to_numpy())
+            found.insert(0, "id", batch.loc[batch["kind"] == 1, "id"].to_numpy())
             yield found
 
-    return ordered.mapInPandas(sweep, f"`{id_col}` {id_type}, host string, path string, rule string, verdict string")
+    judged = ordered.mapInPandas(sweep, "id string, host string, path string, rule string, verdict string")
+    return judged.select(F.col("id").cast(id_type).alias(id_col), "host", "path", "rule", "verdict")
 
 
 def _longest(stack: list, path: str, default: str) -> tuple[str | None, str]:

@@ -33,6 +33,13 @@ def not_letters() -> np.ndarray:
     return table
 
 
+def not_alphanumeric() -> np.ndarray:
+    """True for every ASCII byte that is neither a letter nor a digit."""
+    table = not_letters()
+    table[ord("0") : ord("9") + 1] = False
+    return table
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z, other bytes as they are."""
     table = np.arange(256, dtype=np.uint8)
