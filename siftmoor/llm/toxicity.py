@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftmoor.llm import words as w
 
-SAMPLE_ROWS = 3000
-MOST_FEATURES = 2048
+SAMPLE_ROWS = 2000
+MOST_FEATURES = 1024
 LEAST_Z, LEAST_TEXTS = 3.0, 3
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
@@ -91,17 +91,21 @@ def fit_rows(texts: list[np.ndarray], swapped: list[np.ndarray | None], toxic: n
     positive, negative = int((toxic == 1).sum()), int((toxic == 0).sum())
     if not positive or not negative:
         return Classifier(np.zeros(0, np.uint64), np.zeros(0), float(np.log((positive + 0.5) / (negative + 0.5))))
-    every = np.concatenate(texts)
-    label = np.repeat(toxic, [len(x) for x in texts])
-    features, place = np.unique(every, return_inverse=True)
-    a = np.bincount(place[label == 1], minlength=len(features)) + 0.5
-    b = np.bincount(place[label == 0], minlength=len(features)) + 0.5
+    # Only features that are LEAST_TEXTS times in texts of one label can part the labels clearly.
+    both = []
+    for label in (1, 0):
+        found, count = np.unique(np.concatenate([x for x, mark in zip(texts, toxic) if mark == label]), return_counts=True)
+        both.append((found[count >= LEAST_TEXTS], count[count >= LEAST_TEXTS]))
+    features = np.union1d(both[0][0], both[1][0])
+    a, b = np.full((2, len(features)), 0.5)
+    for total, (found, count) in zip((a, b), both):
+        total[np.searchsorted(features, found)] += count
     c, d = positive + 1 - a, negative + 1 - b
     z = np.log(a * d / (b * c)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    good = np.flatnonzero((np.abs(z) >= LEAST_Z) & (a + b >= LEAST_TEXTS + 1))
+    good = np.flatnonzero(np.abs(z) >= LEAST_Z)
     good = good[np.argsort(-np.abs(z[good]), kind="stable")][:MOST_FEATURES]
     named = np.fromiter({f for pair in _terms().values() for f in pair[0]}, np.uint64)
-    features = np.unique(np.concatenate([features[good], np.intersect1d(features, named)]))
+    features = np.unique(np.concatenate([features[good], named]))
     x = _matrix(texts, features)
     pairs = [i for i, other in enumerate(swapped) if other is not None]
     change = x[pairs] - _matrix([swapped[i] for i in pairs], features)
