@@ -262,23 +262,52 @@ def _leaf(key: tuple, table: pa.Table) -> pa.Table:
 _LEAF = "block long, band int, leaf int, least long, corner binary, points binary, nodes binary, components binary, ns binary"
 
 
-def _near_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes of two leaves, in different components, that the coordinates allow to be near."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            get = lambda name, kind: np.frombuffer(batch[name][row].as_buffer(), kind)
-            if most_shared(get("corner", np.int32), get("corner_2", np.int32)) * (NEAR + OF) < NEAR * (batch["least"][row].as_py() + batch["least_2"][row].as_py()):
-                continue
-            (nodes, comps, sizes, points), (nodes_2, comps_2, sizes_2, points_2) = (
-                (get(f"nodes{s}", np.int64), get(f"components{s}", np.int64), get(f"ns{s}", np.int64), get(f"points{s}", np.int32)) for s in ("", "_2"))
-            groups = min(len(points) // len(nodes), len(points_2) // len(nodes_2))
-            points, points_2 = (x.reshape(count, -1, groups).sum(axis=1) for x, count in ((points, len(nodes)), (points_2, len(nodes_2))))
-            for i in range(len(nodes)):
-                maybe = np.flatnonzero((comps_2 != comps[i]) & (OF * np.minimum(sizes_2, sizes[i]) >= NEAR * np.maximum(sizes_2, sizes[i])))
-                good = maybe[np.minimum(points[i], points_2[maybe]).sum(axis=1) * (NEAR + OF) >= NEAR * (sizes[i] + sizes_2[maybe])]
-                if len(good):
-                    other = nodes_2[good]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(nodes[i], other)), pa.array(np.maximum(nodes[i], other))], ["a", "b"])
+def _near_points(buckets: int):
+    """Pairs of nodes of two leaves, in different components, that the coordinates allow to be near.
+
+    The same pair comes from every block that its nodes share, so a task leaves out repetitions and packs pairs by bucket.
+    """
+
+    def emit(found: list) -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate(found), axis=0)
+        order, upto = w.by_bucket(w.mixed(w.mixed(pairs[:, 0].view(np.uint64)) ^ pairs[:, 1].view(np.uint64)) % np.uint64(buckets), buckets)
+        pairs, full = pairs[order], np.flatnonzero(np.diff(upto))
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), w.binary([pairs[upto[i] : upto[i + 1]] for i in full])], ["bucket", "pairs"])
+
+    def near_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+        for batch in batches:
+            for row in range(batch.num_rows):
+                pairs = _leaf_pairs(lambda name, kind: np.frombuffer(batch[name][row].as_buffer(), kind), batch["least"][row].as_py() + batch["least_2"][row].as_py())
+                found, held = [*found, *pairs], held + sum(map(len, pairs))
+                if held > 1 << 20:
+                    yield emit(found)
+                    found, held = [], 0
+        if held:
+            yield emit(found)
+
+    return near_points
+
+
+def _leaf_pairs(get, least: int) -> list[np.ndarray]:
+    if most_shared(get("corner", np.int32), get("corner_2", np.int32)) * (NEAR + OF) < NEAR * least:
+        return []
+    (nodes, comps, sizes, points), (nodes_2, comps_2, sizes_2, points_2) = (
+        (get(f"nodes{s}", np.int64), get(f"components{s}", np.int64), get(f"ns{s}", np.int64), get(f"points{s}", np.int32)) for s in ("", "_2"))
+    groups = min(len(points) // len(nodes), len(points_2) // len(nodes_2))
+    points, points_2 = (x.reshape(count, -1, groups).sum(axis=1) for x, count in ((points, len(nodes)), (points_2, len(nodes_2))))
+    out = []
+    for i in range(len(nodes)):
+        maybe = np.flatnonzero((comps_2 != comps[i]) & (OF * np.minimum(sizes_2, sizes[i]) >= NEAR * np.maximum(sizes_2, sizes[i])))
+        other = nodes_2[maybe[np.minimum(points[i], points_2[maybe]).sum(axis=1) * (NEAR + OF) >= NEAR * (sizes[i] + sizes_2[maybe])]]
+        if len(other):
+            out.append(np.stack([np.minimum(nodes[i], other), np.maximum(nodes[i], other)], axis=1))
+    return out
+
+
+def _distinct_pairs(key: tuple, table: pa.Table) -> pa.Table:
+    pairs = np.unique(w.joined(table["pairs"], np.int64).reshape(-1, 2), axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def _mixed_blocks(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -304,7 +333,9 @@ def _tree_pairs(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
     leaves = stage(leaves, "leaves")
     other = leaves.select("block", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("band").alias("band_2"), F.col("leaf").alias("leaf_2"),
                           *[F.col(c).alias(f"{c}_2") for c in ("least", "corner", "points", "nodes", "components", "ns")])
-    return leaves.join(other, ["block", "band"]).where("band < band_2 or leaf <= leaf_2").mapInArrow(_near_points, "a long, b long").distinct()
+    buckets = 4 * int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = leaves.join(other, ["block", "band"]).where("band < band_2 or leaf <= leaf_2").mapInArrow(_near_points(buckets), "bucket int, pairs binary")
+    return packed.groupBy("bucket").applyInArrow(_distinct_pairs, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
