@@ -492,11 +492,10 @@ def report_summary(spark, sf_dir):
        "string_agg(path || ':' || coalesce(top_finding_id, '-'), ' ' ORDER BY path) AS tops FROM files GROUP BY repo_id")
 def nested_report(spark, sf_dir):
     files = _files(spark, sf_dir)
-    records = report.nested_records(risk.repo_results(files), files, _findings(spark, sf_dir))
-    tops = F.transform("results", lambda f: F.concat(f["relative_path"], F.lit(":"), F.coalesce(f["top_finding_id"], F.lit("-"))))
-    found = F.aggregate("results", F.lit(0), lambda n, f: n + F.size(f["findings"]))
-    return records.select("repo_id", F.size("results").alias("files"), found.alias("findings"),
-                          F.array_join(tops, " ").alias("tops"))
+    rows = report.nested_rows(risk.repo_results(files), files, _findings(spark, sf_dir)).where("place = 1")
+    top = F.struct("relative_path", F.concat("relative_path", F.lit(":"), F.coalesce("result.top_finding_id", F.lit("-"))).alias("text"))
+    return rows.groupBy("repo_id").agg(F.count("*").alias("files"), F.sum(F.size("result.findings")).alias("findings"),
+                                       F.array_join(F.sort_array(F.collect_list(top))["text"], " ").alias("tops"))
 
 
 # --- repository URLs ---------------------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Reports: nested records, JSON output and the top-k views."""
+"""Reports: nested rows, JSON output and the top-k views."""
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -7,7 +7,6 @@ from siftmoor.functions.text import shorten_path
 from siftmoor.operators.merge import FILE
 
 TOP_FILES, TOP_FINDINGS, PREVIEW = 15, 4, 5
-NESTED_FILES = 10_000          # largest repository written as one nested record
 
 FINDING_FIELDS = ["rule_id", "name", "category", "subcategory", "severity", "weight", "description", "user_message",
                   "file_path", "line_number", "line_content", "matched_pattern", "mitre_attack", "confidence",
@@ -54,17 +53,17 @@ def repo_records(repos: DataFrame, timestamp: Column | None = None, duration: Co
         "file_type_breakdown")
 
 
-def nested_records(repos: DataFrame, files: DataFrame, findings: DataFrame, **metadata) -> DataFrame:
-    """One record per repository with all its files, for repositories of up to ``NESTED_FILES`` files.
+def nested_rows(repos: DataFrame, files: DataFrame, findings: DataFrame, **metadata) -> DataFrame:
+    """The nested report as rows: one with the summary of each repository, then one per file with its findings.
 
-    Larger ones would not fit in one row; all files of all repositories are in ``file_records``.
+    Sorted by ``repo_id, place, relative_path`` they read as the nested record; no repository is held in one row, so it may
+    have any number of files.  ``result`` is null in summary rows, the other records are null in file rows.
     """
-    small = repos.where(F.col("total_files_scanned") <= NESTED_FILES)
-    records = file_records(files.join(small.select("repo_id"), "repo_id", "left_semi"), findings)
+    records = file_records(files, findings)
     fields = [c for c in records.columns if c not in ("repo_id", "relative_path")]
-    per_repo = records.groupBy("repo_id").agg(
-        F.sort_array(F.collect_list(F.struct("relative_path", *fields))).alias("results"))
-    return repo_records(small, **metadata).join(per_repo, "repo_id", "left")
+    results = records.select("repo_id", F.lit(1).alias("place"), "relative_path", F.struct(*fields).alias("result"))
+    summaries = repo_records(repos, **metadata).withColumn("place", F.lit(0))
+    return summaries.unionByName(results, allowMissingColumns=True)
 
 
 def write_json(repos: DataFrame, files: DataFrame, findings: DataFrame, target: str, **metadata) -> None:

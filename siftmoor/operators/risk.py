@@ -149,8 +149,12 @@ def repo_results(files: DataFrame, repos: DataFrame | None = None) -> DataFrame:
 
 
 def with_all_repos(results: DataFrame, repos: DataFrame) -> DataFrame:
-    """Adds the repositories of ``repos(repo_id, error)`` that have no result of their own."""
-    joined = repos.select("repo_id", "error").join(results, "repo_id", "left")
+    """All results, and the repositories of ``repos(repo_id, error)`` that have none; an error replaces a result.
+
+    A repository that is listed several times counts once, with an error if any row has one.
+    """
+    listed = repos.groupBy("repo_id").agg(F.max("error").alias("error"))
+    joined = listed.join(results, "repo_id", "full")
     failed, empty = F.col("error").isNotNull(), F.col("verdict").isNull()
     joined = (
         joined.withColumn("summary_message", F.when(failed, F.concat(F.lit("Scan failed: "), "error"))

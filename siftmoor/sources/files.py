@@ -7,8 +7,10 @@ read, so one huge repository does not sit in one task.  Roots and archives must
 be reachable from every executor (a shared mount).
 """
 
+import lzma
 import os
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -59,7 +61,7 @@ def _archive(repo_id: str, root: str) -> Iterator[tuple]:
     try:
         with zipfile.ZipFile(root) as archive:
             infos = archive.infolist()
-    except (zipfile.BadZipFile, OSError) as error:
+    except (zipfile.BadZipFile, OSError, NotImplementedError, ValueError) as error:
         text = "Downloaded file is not a valid ZIP archive" if isinstance(error, zipfile.BadZipFile) else str(error)
         yield repo_id, root, None, None, None, text
         return
@@ -93,23 +95,23 @@ def _read_archive(root: str, members) -> Iterator[bytes | None]:
         for member in members:
             try:
                 yield archive.read(member)
-            except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError):
+            except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, EOFError, OSError, RuntimeError, ValueError):
                 yield None
 
 
 def _contents(names: DataFrame, read) -> DataFrame:
-    """Contents of the named files; those over the size bound keep a null content and are never read."""
+    """Contents of the named files; empty ones and those over the size bound are never opened."""
     def run(batches):
         for batch in batches:
             def rows():
                 for root, group in batch.groupby("root", sort=False):
-                    wanted = group["size_bytes"].notna() & (group["size_bytes"] <= fx.MAX_FILE_BYTES)
+                    wanted = group["size_bytes"].notna() & (group["size_bytes"] > 0) & (group["size_bytes"] <= fx.MAX_FILE_BYTES)
                     small, other = group[wanted], group[~wanted]
                     for row, content in zip(small.itertuples(), read(root, small["member"])):
                         yield row.repo_id, row.path, int(row.size_bytes), content
                     for row in other.itertuples():
                         size = None if pd.isna(row.size_bytes) else int(row.size_bytes)
-                        yield row.repo_id, row.path, size, None
+                        yield row.repo_id, row.path, size, b"" if size == 0 else None
 
             yield from _frames(rows(), _FILE_COLUMNS, lambda row: (1000 + len(row[3] or b"")) / BYTES_PER_BATCH)
 

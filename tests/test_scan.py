@@ -135,7 +135,7 @@ def test_repositories_without_files_and_with_errors(spark, plain):
     repos = spark.createDataFrame([("F1", None), ("empty", None), ("broken", "no such branch")],
                                   "repo_id string, error string")
     rows = {r.repo_id: r for r in risk.repo_results(plain.files, repos).collect()}
-    assert set(rows) == {"F1", "empty", "broken"}
+    assert set(rows) == {r.repo_id for r in plain.repos.collect()} | {"empty", "broken"}
     assert rows["empty"].verdict == "safe" and rows["empty"].total_files_scanned == 0
     assert rows["empty"].summary_message == "No scannable source code files found."
     assert rows["broken"].verdict == "critical" and rows["broken"].overall_risk_score == 0
@@ -161,12 +161,28 @@ def test_one_repository_over_many_salts(file_text):
 
 
 def test_report_records(plain):
-    records = {r.repo_id: r for r in report.nested_records(plain.repos, plain.files, plain.findings).collect()}
-    f11 = records["F11"]
-    assert f11.summary.overall_risk_score == 100.0 and f11.summary.files_skipped == 0
-    assert [f.rule_id for f in f11.results[0].findings] == ["COMBO-REVERSESH", "PY-DUP-001"]
-    assert f11.results[0].top_finding_id == "COMBO-REVERSESH"
-    assert records["unread"].results[0].findings == []
+    rows = report.nested_rows(plain.repos, plain.files, plain.findings).orderBy("repo_id", "place", "relative_path").collect()
+    f11, first = [r for r in rows if r.repo_id == "F11"][:2]
+    assert f11.summary.overall_risk_score == 100.0 and f11.summary.files_skipped == 0 and f11.result is None
+    assert [f.rule_id for f in first.result.findings] == ["COMBO-REVERSESH", "PY-DUP-001"]
+    assert first.result.top_finding_id == "COMBO-REVERSESH"
+    assert next(r for r in rows if r.repo_id == "unread" and r.place == 1).result.findings == []
+
+
+def test_report_of_a_large_repository(spark, file_text):
+    table = file_text([("big", "x.py", "python", "eval(a)")])
+    many = spark.range(10_001).select(F.concat(F.lit("f"), "id", F.lit(".py")).alias("path"))
+    result = scan(table.drop("path").crossJoin(many).select(table.columns))
+    rows = report.nested_rows(result.repos, result.files, result.findings)
+    assert rows.where("place = 1").count() == 10_001 and rows.where("place = 0").count() == 1
+
+
+def test_repositories_without_files_are_added(spark, plain):
+    listed = spark.createDataFrame([("gone", None), ("gone", "no such archive"), ("bare", None), ("bare", None)], "repo_id string, error string")
+    found = {r.repo_id: r for r in risk.with_all_repos(plain.repos, listed).collect()}
+    assert set(found) == {r.repo_id for r in plain.repos.collect()} | {"gone", "bare"}
+    assert found["gone"].verdict == "critical" and found["gone"].summary_message == "Scan failed: no such archive"
+    assert found["bare"].verdict == "safe" and found["F11"].overall_risk_score == 100.0
 
 
 def test_json_report(spark, plain, tmp_path):
