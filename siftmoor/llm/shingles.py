@@ -67,14 +67,14 @@ class Sets:
             self.nodes[full] = np.maximum(w.mixed(sums + self.sizes[full].astype(np.uint64)), np.uint64(1))
 
     def points(self) -> list[np.ndarray]:
-        """Shingles of each text by group, the coordinates of its node: a power of two near the size, so that counts stay small."""
+        """Shingles of each text by group, the coordinates of its node: the next power of two to the size, so that counts stay small."""
         return [np.bincount((self.values[a:b] & np.uint64(groups_for(b - a) - 1)).astype(np.int64), minlength=groups_for(b - a)).astype(np.uint16)
                 for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist())]
 
 
 def groups_for(size: int) -> int:
     """The number of groups of a set."""
-    return max(LEAST_GROUPS, 1 << (max(2, size) - 1).bit_length() - 1)
+    return max(LEAST_GROUPS, 1 << (max(1, size) - 1).bit_length())
 
 
 def folded(point: np.ndarray, groups: int) -> np.ndarray:
