@@ -25,7 +25,7 @@ def stage(table: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: later steps neither recompute it nor lose it with an executor."""
     spark = table.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    table.write.parquet(path)
+    table.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(table.schema).parquet(path)
 
 

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from siftmoor.llm import words as w
@@ -248,14 +249,23 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return stage(_sides(pairs, sets, ["shingles"]).mapInArrow(_linked, "a long, b long"), "near")
 
 
+def packed(array: np.ndarray) -> bytes:
+    """Small counts, most of them 0 or 1: a fraction of their bytes on disk."""
+    return zstandard.ZstdCompressor().compress(array.tobytes())
+
+
+def unpacked(value: pa.Scalar, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(value.as_buffer()), kind)
+
+
 def _leaf(key: tuple, table: pa.Table) -> pa.Table:
     """A leaf: nodes of one block and band with the coordinates they all have, and the upper corner of its box."""
     points = [np.frombuffer(x.as_buffer(), np.uint16) for x in table["point"]]
     groups = min(map(len, points))
     points = np.array([folded(x, groups) for x in points], np.int32)
     arrays = {c: table[c].to_numpy() for c in ("node", "component", "n")}
-    row = {"block": key[0].as_py(), "band": key[1].as_py(), "leaf": key[2].as_py(), "least": int(arrays["n"].min()), "corner": points.max(axis=0).tobytes(),
-           "points": points.tobytes(), **{f"{c}s": x.tobytes() for c, x in arrays.items()}}
+    row = {"block": key[0].as_py(), "band": key[1].as_py(), "leaf": key[2].as_py(), "least": int(arrays["n"].min()), "corner": packed(points.max(axis=0)),
+           "points": packed(points), **{f"{c}s": packed(x) for c, x in arrays.items()}}
     return pa.Table.from_pylist([row], schema=pa.schema([(c, k) for c, k in zip(row, [pa.int64(), pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 5)]))
 
 
@@ -278,7 +288,7 @@ def _near_points(buckets: int):
         found, held = [], 0
         for batch in batches:
             for row in range(batch.num_rows):
-                pairs = _leaf_pairs(lambda name, kind: np.frombuffer(batch[name][row].as_buffer(), kind), batch["least"][row].as_py() + batch["least_2"][row].as_py())
+                pairs = _leaf_pairs(lambda name, kind: unpacked(batch[name][row], kind), batch["least"][row].as_py() + batch["least_2"][row].as_py())
                 found, held = [*found, *pairs], held + sum(map(len, pairs))
                 if held > 1 << 20:
                     yield emit(found)
