@@ -63,14 +63,21 @@ def is_binary(content: Column) -> Column:
                       F.lit(True))
 
 
-def skip_reason(path: Column, size: Column, content: Column, language: Column) -> Column:
-    """The first reason not to scan a file; null for files to scan."""
+def name_reason(path: Column) -> Column:
+    """The first reason in a file's path not to scan it; null without one."""
     name = basename(path)
     return (
         F.when(in_skipped_directory(path), "skipped directory")
         .when(name.isin(fx.SKIP_FILES), "excluded file")
         .when(name.startswith(".") & ~name.isin(list(fx.FILENAME_LANGUAGE)), "hidden file")
-        .when(size.isNull(), "cannot read file")
+    )
+
+
+def skip_reason(path: Column, size: Column, content: Column, language: Column) -> Column:
+    """The first reason not to scan a file; null for files to scan."""
+    return F.coalesce(
+        name_reason(path),
+        F.when(size.isNull(), "cannot read file")
         .when(size > fx.MAX_FILE_BYTES, F.format_string("file too large (%.1fMB)", round_one(size / F.lit(1e6))))
         .when(size == 0, "empty file")
         .when(is_binary(content), "binary file")

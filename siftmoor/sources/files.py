@@ -2,13 +2,15 @@
 
 Spark's own listing drops names that begin with "_" or ".", which include
 ``__init__.py`` and ``.env``, so Python lists and reads.  Listing yields names
-and sizes only; the names are then spread over all tasks before any content is
-read, so one huge repository does not sit in one task.  Roots and archives must
-be reachable from every executor (a shared mount).
+and sizes only: folders are handed on for some levels, so one root is listed by
+many tasks, and names are spread over a stated number of tasks before any content
+is read.  Names that admission turns away are never opened.  Roots and archives
+must be reachable from every executor (a shared mount).
 """
 
 import lzma
 import os
+import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -17,11 +19,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from siftmoor.fixed import files as fx
+from siftmoor.operators.admission import name_reason
 
-NAMES = "repo_id string, root string, member string, path string, size_bytes bigint, error string"
-FILES = "repo_id string, path string, size_bytes bigint, content binary"
+NAMES = "repo_id string, root string, member string, path string, size_bytes bigint, chunk bigint, error string"
+FILES = "repo_id string, path string, size_bytes bigint, content binary, error string"
 NAMES_PER_BATCH = 10_000
 BYTES_PER_BATCH = 32_000_000
+CHUNK_BYTES = 16_000_000       # members of an archive that are read together
+LEVELS = 3                     # steps of listing a tree; the last one walks all that is below
+
+_ZIP_ERRORS = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, struct.error, EOFError, OSError, RuntimeError, ValueError)
 
 
 def _skipped(directory: str) -> bool:
@@ -44,8 +51,14 @@ _NAME_COLUMNS = [c.split()[0] for c in NAMES.split(", ")]
 _FILE_COLUMNS = [c.split()[0] for c in FILES.split(", ")]
 
 
-def _tree(repo_id: str, root: str) -> Iterator[tuple]:
-    for directory, below, names in os.walk(root):
+def _spread(table: DataFrame, *keys) -> DataFrame:
+    """As many tasks as the session shuffles to: names are too thin to be dealt by their own bytes."""
+    return table.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _folder(repo_id: str, root: str, folder: str, whole: bool) -> Iterator[tuple]:
+    """Files of a folder as rows, and its subfolders as rows without a path, or if ``whole`` the files below them."""
+    for directory, below, names in os.walk(folder):
         below[:] = [name for name in below if not _skipped(name)]
         for name in names:
             full = os.path.join(directory, name)
@@ -53,7 +66,13 @@ def _tree(repo_id: str, root: str) -> Iterator[tuple]:
                 size = os.path.getsize(full)
             except OSError:
                 size = None
-            yield repo_id, root, full, os.path.relpath(full, root).replace(os.sep, "/"), size, None
+            yield repo_id, root, full, os.path.relpath(full, root).replace(os.sep, "/"), size, None, None
+        if not whole:
+            for name in below:
+                full = os.path.join(directory, name)
+                if not os.path.islink(full):
+                    yield repo_id, root, full, None, None, None, None
+            return
 
 
 def _archive(repo_id: str, root: str) -> Iterator[tuple]:
@@ -61,83 +80,108 @@ def _archive(repo_id: str, root: str) -> Iterator[tuple]:
     try:
         with zipfile.ZipFile(root) as archive:
             infos = archive.infolist()
-    except (zipfile.BadZipFile, OSError, NotImplementedError, ValueError) as error:
+    except _ZIP_ERRORS as error:
         text = "Downloaded file is not a valid ZIP archive" if isinstance(error, zipfile.BadZipFile) else str(error)
-        yield repo_id, root, None, None, None, text
+        yield repo_id, root, None, None, None, None, text
         return
     tops = {info.filename.split("/")[0] for info in infos if "/" in info.filename}
     prefix = f"{tops.pop()}/" if len(tops) == 1 else ""
+    upto = 0
     for info in infos:
         if info.filename.startswith(prefix) and not info.is_dir():
-            yield repo_id, root, info.filename, info.filename[len(prefix):], info.file_size, None
+            upto += info.file_size if info.file_size <= fx.MAX_FILE_BYTES else 0
+            yield repo_id, root, info.filename, info.filename[len(prefix):], info.file_size, upto // CHUNK_BYTES, None
 
 
-def _names(roots: DataFrame, list_one) -> DataFrame:
+def _listed(rows: DataFrame, of_row) -> DataFrame:
     def run(batches):
         for batch in batches:
-            rows = (row for repo_id, root in zip(batch["repo_id"], batch["root"]) for row in list_one(repo_id, root))
+            rows = (found for row in batch.itertuples(index=False) for found in of_row(row))
             yield from _frames(rows, _NAME_COLUMNS, lambda row: 1 / NAMES_PER_BATCH)
 
-    return roots.select("repo_id", "root").repartition("repo_id", "root").mapInPandas(run, NAMES)
+    return rows.mapInPandas(run, NAMES)
 
 
-def _read_plain(root: str, members) -> Iterator[bytes | None]:
+def _read_plain(root: str, members) -> Iterator[tuple]:
     for member in members:
         try:
             with open(member, "rb") as handle:
-                yield handle.read()
+                yield handle.read(), None
         except OSError:
-            yield None
+            yield None, None
 
 
-def _read_archive(root: str, members) -> Iterator[bytes | None]:
-    with zipfile.ZipFile(root) as archive:
+def _read_archive(root: str, members) -> Iterator[tuple]:
+    try:
+        archive = zipfile.ZipFile(root)
+    except _ZIP_ERRORS as error:
+        yield from ((None, str(error)) for _ in members)
+        return
+    with archive:
         for member in members:
             try:
-                yield archive.read(member)
-            except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, EOFError, OSError, RuntimeError, ValueError):
-                yield None
+                yield archive.read(member), None
+            except (KeyError, *_ZIP_ERRORS) as error:
+                yield None, str(error) or type(error).__name__
 
 
 def _contents(names: DataFrame, read) -> DataFrame:
-    """Contents of the named files; empty ones and those over the size bound are never opened."""
+    """Contents of the named files; those that admission knows by name or size to skip are never opened."""
     def run(batches):
         for batch in batches:
             def rows():
                 for root, group in batch.groupby("root", sort=False):
-                    wanted = group["size_bytes"].notna() & (group["size_bytes"] > 0) & (group["size_bytes"] <= fx.MAX_FILE_BYTES)
-                    small, other = group[wanted], group[~wanted]
-                    for row, content in zip(small.itertuples(), read(root, small["member"])):
-                        yield row.repo_id, row.path, int(row.size_bytes), content
+                    wanted, other = group[group["wanted"]], group[~group["wanted"]]
+                    for row, (content, error) in zip(wanted.itertuples(), read(root, wanted["member"])):
+                        yield row.repo_id, row.path, int(row.size_bytes), content, error
                     for row in other.itertuples():
                         size = None if pd.isna(row.size_bytes) else int(row.size_bytes)
-                        yield row.repo_id, row.path, size, b"" if size == 0 else None
+                        yield row.repo_id, row.path, size, b"" if size == 0 else None, None
 
             yield from _frames(rows(), _FILE_COLUMNS, lambda row: (1000 + len(row[3] or b"")) / BYTES_PER_BATCH)
 
-    spread = names.where(F.col("path").isNotNull()).repartition("repo_id", "path")
-    return spread.mapInPandas(run, FILES)
+    readable = F.coalesce(F.col("size_bytes").between(1, fx.MAX_FILE_BYTES), F.lit(False))
+    named = names.where(F.col("path").isNotNull()).withColumn("wanted", readable & name_reason(F.col("path")).isNull())
+    together = F.coalesce(F.col("chunk").cast("string"), F.col("path"))
+    return _spread(named, "repo_id", "root", together).sortWithinPartitions("root", "chunk").mapInPandas(run, FILES)
 
 
 def tree_names(roots: DataFrame) -> DataFrame:
     """Names and sizes below ``roots(repo_id, root)``; skipped directories are not entered."""
-    return _names(roots, _tree)
+    names = roots.select("repo_id", "root", F.col("root").alias("member"), *[
+        F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in NAMES.split(", ")[3:])])
+    for level in range(1, LEVELS + 1):
+        def step(row, whole=level == LEVELS):
+            return [row] if row.path is not None else _folder(row.repo_id, row.root, row.member, whole)
+
+        names = _listed(_spread(names, "repo_id", "member"), step)
+    return names
 
 
 def tree_files(roots: DataFrame) -> DataFrame:
-    """``files(repo_id, path, size_bytes, content)`` of directory trees."""
+    """``files(repo_id, path, size_bytes, content, error)`` of directory trees."""
     return _contents(tree_names(roots), _read_plain)
 
 
 def archive_names(archives: DataFrame) -> DataFrame:
     """Members of ``archives(repo_id, root)``; an archive that cannot be read is one row with its ``error``."""
-    return _names(archives, _archive)
+    return _listed(_spread(archives.select("repo_id", "root"), "repo_id", "root"), lambda row: _archive(row.repo_id, row.root))
 
 
 def archive_files(names: DataFrame) -> DataFrame:
-    """``files(repo_id, path, size_bytes, content)`` of the members listed by ``archive_names``."""
+    """``files(repo_id, path, size_bytes, content, error)`` of the members listed by ``archive_names``.
+
+    A member that cannot be unpacked has no content and an ``error``; ``archive_errors`` fails its repository.
+    """
     return _contents(names, _read_archive)
 
 
-def archive_errors(names: DataFrame) -> DataFrame:
-    return names.where(F.col("error").isNotNull()).select("repo_id", "error")
+def archive_errors(names: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """``(repo_id, error)`` of archives that cannot be listed, with ``files`` also of members that cannot be unpacked.
+
+    Members that are never opened (skipped by name or size) cannot be found damaged.
+    """
+    found = names.where(F.col("error").isNotNull()).select("repo_id", "error")
+    if files is None:
+        return found
+    return found.union(files.where(F.col("error").isNotNull()).select("repo_id", "error"))

@@ -261,6 +261,24 @@ def test_directory_rule_without_walking(spark):
     assert outcome(files) == {path: expected or "skipped directory" for path, (_, expected) in TREE.items()}
 
 
+def test_many_tasks_list_and_read(spark, tmp_path):
+    """40 roots with 2,000 files in all: listing and reading use many tasks although names are thin."""
+    for r in range(40):
+        for d in range(5):
+            folder = tmp_path / f"r{r}" / f"d{d}" / "a" / "b" / "c"
+            folder.mkdir(parents=True)
+            for k in range(10):
+                (folder / f"f{k}.py").write_text(f"x = {r * 1000 + d * 100 + k}\n")
+    (tmp_path / "r0" / "loop").symlink_to(tmp_path / "r0", target_is_directory=True)
+    roots = spark.createDataFrame([(f"r{r}", str(tmp_path / f"r{r}")) for r in range(40)], "repo_id string, root string")
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    for made in (sources.tree_names(roots), sources.tree_files(roots)):
+        rows = made.select("repo_id", "path", F.spark_partition_id().alias("task")).collect()
+        assert len({r.task for r in rows}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert Counter((r.repo_id, r.path) for r in rows) == Counter(
+            (f"r{r}", f"d{d}/a/b/c/f{k}.py") for r in range(40) for d in range(5) for k in range(10))
+
+
 def archive(members) -> bytes:
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
@@ -288,3 +306,34 @@ def test_archives(spark, tmp_path):
     verdicts = {r.repo_id: r for r in scan(admission.admitted(files), repos=repos, stage=False).repos.collect()}
     assert verdicts["one"].verdict == "high" and verdicts["broken"].verdict == "critical"
     assert verdicts["broken"].summary_message == "Scan failed: Downloaded file is not a valid ZIP archive"
+
+
+def test_damaged_archives_fail_their_repository(spark, tmp_path):
+    """A damaged stream, a wrong checksum, an encrypted member and a broken directory: one error row, no failed job."""
+    content = b"import pickle  # " + b"0123456789abcdef" * 40
+    deflated, stored = io.BytesIO(), io.BytesIO()
+    for data, kind in ((deflated, zipfile.ZIP_DEFLATED), (stored, zipfile.ZIP_STORED)):
+        with zipfile.ZipFile(data, "w", kind) as z:
+            z.writestr("a.py", content)
+            z.writestr("ok.sh", "echo")
+    stream, checksum, encrypted, directory, skipped = (bytearray(x.getvalue()) for x in (deflated, stored, stored, stored, stored))
+    stream[36:44] = b"\xff" * 8
+    checksum[60] ^= 1
+    encrypted[6] |= 1
+    encrypted[encrypted.index(b"PK\x01\x02") + 8] |= 1
+    at = directory.index(b"PK\x01\x02")
+    directory[at : at + 4] = b"\0\0\0\0"
+    skipped = bytearray(bytes(skipped).replace(b"a.py", b".x.y"))
+    skipped[60] ^= 1
+    shapes = {"stream": stream, "checksum": checksum, "encrypted": encrypted, "directory": directory, "skipped": skipped}
+    for name, data in shapes.items():
+        (tmp_path / f"{name}.zip").write_bytes(data)
+    table = spark.createDataFrame([(name, str(tmp_path / f"{name}.zip")) for name in shapes], "repo_id string, root string")
+    names = sources.archive_names(table)
+    files = sources.archive_files(names)
+    errors = sources.archive_errors(names, files)
+    assert Counter(r.repo_id for r in errors.collect()) == Counter(["stream", "checksum", "encrypted", "directory"])
+    verdicts = {r.repo_id: r for r in scan(admission.admitted(files), repos=errors, stage=False).repos.collect()}
+    for name in ("stream", "checksum", "encrypted", "directory"):
+        assert verdicts[name].verdict == "critical" and verdicts[name].summary_message.startswith("Scan failed: ")
+    assert verdicts["skipped"].total_files_scanned == 1   # a member that is skipped by name is never opened
