@@ -91,6 +91,18 @@ def most_shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(folded(a, groups), folded(b, groups)).sum())
 
 
+def packed(arrays: list[np.ndarray]) -> list[bytes]:
+    """Arrays for a shuffle, all first bytes of their numbers before all second ones: small counts take a fraction of their bytes."""
+    zstd = zstandard.ZstdCompressor()
+    return [zstd.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()) for x in arrays]
+
+
+def unpacked(column, kind) -> list[np.ndarray]:
+    """The arrays of `packed`, from a column or several values."""
+    zstd, width = zstandard.ZstdDecompressor(), np.dtype(kind).itemsize
+    return [np.frombuffer(zstd.decompress(x.as_buffer()), np.uint8).reshape(width, -1).T.copy().view(kind).ravel() for x in column]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     loads = np.zeros(1 << COUNTER_BITS, np.uint32)
 
@@ -103,18 +115,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(batch["text"])
         loads += np.bincount((sets.values >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(loads)).astype(np.uint32)
         none = [None] * batch.num_rows
-        yield rows(batch["id"], sets.sizes, pa.array(sets.nodes.view(np.int64), mask=sets.sizes == 0), w.binary(sets.points()), none, none)
+        yield rows(batch["id"], sets.sizes, pa.array(sets.nodes.view(np.int64), mask=sets.sizes == 0), packed(sets.points()), none, none)
     none = [None] * PIECES
-    yield rows(none, none, none, none, range(PIECES), [x.tobytes() for x in np.split(loads, PIECES)])
+    yield rows(none, none, none, none, range(PIECES), packed(np.split(loads.astype(np.int64), PIECES)))
 
 
 def _total(key: tuple, table: pa.Table) -> pa.Table:
-    width = (1 << COUNTER_BITS) // PIECES
-    kinds = {4 * width: np.uint32, 8 * width: np.int64}
-    total = np.zeros(width, np.int64)
+    total = np.zeros((1 << COUNTER_BITS) // PIECES, np.int64)
     for part in table["loads"]:
-        total += np.frombuffer(part.as_buffer(), kinds[part.as_buffer().size])
-    return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "loads": pa.array([total.tobytes()], pa.binary())})
+        total += unpacked([part], np.int64)[0]
+    return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "loads": pa.array(packed([total]), pa.binary())})
 
 
 def _rarity(counted: DataFrame) -> np.ndarray:
@@ -123,7 +133,7 @@ def _rarity(counted: DataFrame) -> np.ndarray:
     rows = loads.groupBy("piece", "salt").applyInArrow(_total, "piece int, loads binary").groupBy("piece").applyInArrow(_total, "piece int, loads binary").collect()
     total = np.zeros((PIECES, (1 << COUNTER_BITS) // PIECES), np.int64)
     for row in rows:
-        total[row.piece] = np.frombuffer(row.loads, np.int64)
+        total[row.piece] = unpacked([pa.scalar(row.loads, pa.binary())], np.int64)[0]
     rank = np.empty(1 << COUNTER_BITS, np.uint32)
     rank[np.argsort(total.ravel(), kind="stable")] = np.arange(1 << COUNTER_BITS, dtype=np.uint32)
     return rank
@@ -210,8 +220,11 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose coordinates allow them to be near."""
     for batch in batches:
         sizes = (batch["n_a"].to_numpy() + batch["n_b"].to_numpy()).tolist()
-        points = [[np.frombuffer(x.as_buffer(), np.uint16) for x in batch[c]] for c in ("point_a", "point_b")]
-        good = pa.array([most_shared(x, y) * (NEAR + OF) >= NEAR * size for x, y, size in zip(*points, sizes)], pa.bool_())
+        good = []
+        for i, size in enumerate(sizes):
+            a, b = unpacked([batch["point_a"][i], batch["point_b"][i]], np.uint16)
+            good.append(most_shared(a, b) * (NEAR + OF) >= NEAR * size)
+        good = pa.array(good, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch[c].filter(good) for c in "ab"], ["a", "b"])
 
 
@@ -249,23 +262,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return stage(_sides(pairs, sets, ["shingles"]).mapInArrow(_linked, "a long, b long"), "near")
 
 
-def packed(array: np.ndarray) -> bytes:
-    """Small counts, most of them 0 or 1: a fraction of their bytes on disk."""
-    return zstandard.ZstdCompressor().compress(array.tobytes())
-
-
-def unpacked(value: pa.Scalar, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(value.as_buffer()), kind)
-
-
 def _leaf(key: tuple, table: pa.Table) -> pa.Table:
     """A leaf: nodes of one block and band with the coordinates they all have, and the upper corner of its box."""
-    points = [np.frombuffer(x.as_buffer(), np.uint16) for x in table["point"]]
-    groups = min(map(len, points))
-    points = np.array([folded(x, groups) for x in points], np.int32)
+    table = table.sort_by([("component", "ascending"), ("node", "ascending")])
+    groups = min(map(groups_for, table["n"].to_pylist()))
+    points = np.array([folded(x, groups) for x in unpacked(table["point"], np.uint16)], np.int32)
     arrays = {c: table[c].to_numpy() for c in ("node", "component", "n")}
-    row = {"block": key[0].as_py(), "band": key[1].as_py(), "leaf": key[2].as_py(), "least": int(arrays["n"].min()), "corner": packed(points.max(axis=0)),
-           "points": packed(points), **{f"{c}s": packed(x) for c, x in arrays.items()}}
+    arrays = dict(zip(("corner", "points", "nodes", "components", "ns"), packed([points.max(axis=0), points, *arrays.values()])))
+    row = {"block": key[0].as_py(), "band": key[1].as_py(), "leaf": key[2].as_py(), "least": min(table["n"].to_pylist()), **arrays}
     return pa.Table.from_pylist([row], schema=pa.schema([(c, k) for c, k in zip(row, [pa.int64(), pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 5)]))
 
 
@@ -288,7 +292,7 @@ def _near_points(buckets: int):
         found, held = [], 0
         for batch in batches:
             for row in range(batch.num_rows):
-                pairs = _leaf_pairs(lambda name, kind: unpacked(batch[name][row], kind), batch["least"][row].as_py() + batch["least_2"][row].as_py())
+                pairs = _leaf_pairs(lambda name, kind: unpacked([batch[name][row]], kind)[0], batch["least"][row].as_py() + batch["least_2"][row].as_py())
                 found, held = [*found, *pairs], held + sum(map(len, pairs))
                 if held > 1 << 20:
                     yield emit(found)
