@@ -15,8 +15,10 @@ FLAGS = "(?iudU)"          # ignore case (Unicode), "\n" is the only line end, U
 SPACE = r"\s\x1c-\x1f"
 WORD = r"\p{L}\p{N}_"
 _EDGE = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
-_OUTSIDE = {"s": f"[{SPACE}]", "S": f"[^{SPACE}]", "w": f"[{WORD}]", "W": f"[^{WORD}]", "b": _EDGE, "Z": r"\z"}
-_INSIDE = {"s": SPACE, "w": WORD}
+_OUTSIDE = {"s": f"[{SPACE}]", "S": f"[^{SPACE}]", "w": f"[{WORD}]", "W": f"[^{WORD}]", "b": _EDGE, "B": f"(?!{_EDGE})(?!^$)", "Z": r"\z"}
+_INSIDE = {"s": SPACE, "w": WORD, "S": f"[^{SPACE}]", "W": f"[^{WORD}]", "b": r"\x08"}
+_REPEAT = re.compile(r"\{(\d*)(,?)(\d*)\}")
+_CODE_POINT = re.compile(r"\\(?:U([0-9a-fA-F]{8})|0([0-7]{0,2}))")
 
 
 def to_java(pattern: str, flags: str = FLAGS) -> str:
@@ -26,6 +28,19 @@ def to_java(pattern: str, flags: str = FLAGS) -> str:
     out, in_class, i = [], False, 0
     while i < len(pattern):
         ch = pattern[i]
+        if code := _CODE_POINT.match(pattern, i):
+            out.append(f"\\x{{{int(code[1], 16) if code[1] else int(code[2] or '0', 8):x}}}")
+            i = code.end()
+            continue
+        if not in_class and pattern.startswith("(?#", i):       # a comment
+            i = pattern.index(")", i) + 1
+            continue
+        if not in_class and ch == "{":                          # Java knows no {,n} and no literal {
+            count = _REPEAT.match(pattern, i)
+            repeats = count and (count[1] or count[2])
+            out.append(f"{{{count[1] or 0}{count[2]}{count[3]}}}" if repeats else "\\{")
+            i = count.end() if repeats else i + 1
+            continue
         if ch == "\\" and i + 1 < len(pattern):
             table = _INSIDE if in_class else _OUTSIDE
             out.append(table.get(pattern[i + 1], pattern[i:i + 2]))
@@ -66,13 +81,15 @@ class Prepared:
 
 @lru_cache(maxsize=10_000)
 def prepare(pattern: str, kind: str) -> Prepared | None:
-    """None for a pattern that does not compile."""
+    """None for a pattern that does not compile, or that has conditional groups or ASCII flags, which Java lacks."""
     source = pattern if kind == "regex" else re.escape(pattern)
     try:
         re.compile(source, re.IGNORECASE)
         tree = sre.parse(source, re.IGNORECASE)
     except (re.error, OverflowError, RecursionError):
         return None
+    if kind == "regex" and (_conditional(tree) or re.search(r"(?<!\\)\(\?[a-zA-Z]*[aL][a-zA-Z]*[-:)]", source)):
+        return None
     java = to_java(pattern) if kind == "regex" else literal_to_java(pattern)
     always = tree.getwidth()[0] == 0 and not _has_assertion(tree)
     groups = [] if always else _required(tree)
@@ -98,6 +115,10 @@ def _children(op, arg):
     return []
 
 
+def _conditional(tree) -> bool:
+    return any(op is sre.GROUPREF_EXISTS or any(_conditional(child) for child in _children(op, arg)) for op, arg in tree)
+
+
 def _has_assertion(tree) -> bool:
     plain = (sre.LITERAL, sre.NOT_LITERAL, sre.ANY, sre.IN, sre.BRANCH, sre.SUBPATTERN, *_LOOPS)
     return any(op not in plain or any(_has_assertion(c) for c in _children(op, arg)) for op, arg in tree)

@@ -7,7 +7,10 @@ Two plans with the same result:
   anchors (texts that every match contains), and nothing is shuffled.
 * ``matches_by_join`` keeps the patterns as rows: a join on the language with a
   regular-expression condition, then the first line per (file, pattern).  It
-  serves catalogues too large to be written into a plan.
+  serves catalogues of thousands of patterns, too large to be written into a plan.
+
+A rule for a language and for all languages is in both lists, so a file of that
+language gets a hit of each.
 """
 
 from collections import defaultdict
@@ -21,17 +24,16 @@ from siftmoor.operators.hits import HIT, RULES, no_hits
 from siftmoor.operators.lines import lines as explode_lines
 from siftmoor.sources.catalogue import RulePattern
 
-MAX_PLAN_PATTERNS = 2000       # above this, patterns are joined as rows
 JOIN_PATTERNS = 5000           # rows per broadcast; larger catalogues are joined in several passes
 SHORT_ANCHOR = 3
 
 
-def _list_ord(languages: tuple[str, ...]) -> str:
-    """0 in the list of the file's language, 1 in the list for all languages."""
+def _list_ords(languages: tuple[str, ...]) -> str:
+    """The lists a rule is in for a file: 0 is that of the file's language, 1 that for all languages."""
     own = [name for name in languages if name != "all"]
     if "all" not in languages:
-        return "0"
-    return f"CASE WHEN language IN ({', '.join(map(sql_text, own))}) THEN 0 ELSE 1 END" if own else "1"
+        return "array(0)"
+    return f"CASE WHEN language IN ({', '.join(map(sql_text, own))}) THEN array(0, 1) ELSE array(1) END" if own else "array(1)"
 
 
 def _first_line(p: RulePattern, anchors: Anchors) -> str:
@@ -54,10 +56,10 @@ def _group_hits(members: list[RulePattern], anchors: Anchors) -> Column:
         f"'n', {_first_line(p, anchors)})"
         for p in members)
     as_hit = (
-        f"CAST(struct({RULES}, {_list_ord(languages)}, x.rule_ord, x.pattern_ord, x.rule_ord, x.n, "
+        f"CAST(struct({RULES}, o, x.rule_ord, x.pattern_ord, x.rule_ord, x.n, "
         f"substring(get(lines, x.n - 1), 1, {fx.RULE_LINE_CHARS}), x.pattern, null, null, null) AS {HIT})")
     return F.expr(
-        f"CASE WHEN {applies} THEN transform(filter(array({tries}), x -> x.n > 0), x -> {as_hit}) "
+        f"CASE WHEN {applies} THEN flatten(transform(filter(array({tries}), x -> x.n > 0), x -> transform({_list_ords(languages)}, o -> {as_hit}))) "
         f"ELSE CAST(array() AS array<{HIT}>) END")
 
 

@@ -15,22 +15,25 @@ from siftmoor.operators.network import network_hits, network_indicators, network
 from siftmoor.operators.permissions import permission_hits, permission_labels
 from siftmoor.operators.risk import file_results, repo_results
 from siftmoor.operators.rulebook import rule_book
-from siftmoor.operators.rules import MAX_PLAN_PATTERNS, matches_by_join, rule_hits
+from siftmoor.operators.rules import matches_by_join, rule_hits
 from siftmoor.operators.syntax import syntax_facts, syntax_hits
 from siftmoor.plans.staging import staged
 from siftmoor.sources.catalogue import Rule, default_rules, rule_patterns
 
 
 def analyze(file_text: DataFrame, rules: list[Rule] | None = None, deep: bool = False,
-            literal_mode: str = "strict") -> DataFrame:
+            literal_mode: str = "strict", plan: str = "literal") -> DataFrame:
     """One row per file with all its hits.
 
     ``file_text(repo_id, path, language, file_size, text, scan_error)`` is read once:
     every detector works on the file's own row, so no text is ever shuffled.
-    ``deep`` adds the Python syntax detector.
+    ``deep`` adds the Python syntax detector.  ``plan="join"`` joins rule patterns as
+    rows, with the same hits; choose it for catalogues of thousands of patterns.
     """
+    if plan not in ("literal", "join"):
+        raise ValueError(f"no such plan: {plan}")
     patterns = rule_patterns(default_rules() if rules is None else rules, literal_mode)
-    in_plan = len(patterns) <= MAX_PLAN_PATTERNS
+    in_plan = plan == "literal"
     anchors = Anchors(patterns if in_plan else [])
     if deep:
         file_text = file_text.withColumn("facts", syntax_facts(F.col("language"), F.col("text")))
@@ -72,7 +75,7 @@ class Scan:
 
 
 def scan(file_text: DataFrame, rules: list[Rule] | None = None, deep: bool = False,
-         repos: DataFrame | None = None, literal_mode: str = "strict", stage: bool = True) -> Scan:
+         repos: DataFrame | None = None, literal_mode: str = "strict", stage: bool = True, plan: str = "literal") -> Scan:
     """All results of a scan.
 
     With ``stage`` the hits (small next to the texts) are written once to the shared
@@ -82,7 +85,7 @@ def scan(file_text: DataFrame, rules: list[Rule] | None = None, deep: bool = Fal
     spark = file_text.sparkSession
     catalogue = default_rules() if rules is None else rules
     book = rule_book(spark, catalogue)
-    analysis = analyze(file_text, catalogue, deep, literal_mode)
+    analysis = analyze(file_text, catalogue, deep, literal_mode, plan)
     if stage:
         analysis = staged(analysis, "analysis")
     files = file_results(analysis, book)

@@ -150,6 +150,13 @@ def rule_patterns(rules: list[Rule], literal_mode: str = "strict") -> list[RuleP
     return usable
 
 
+def unusable_patterns(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """(rule_ord, pattern_ord, pattern) of the patterns that ``rule_patterns`` leaves out."""
+    rows = [(rule.rule_ord, i, pattern) for rule in rules
+            for i, (pattern, kind) in enumerate(rule.match_patterns) if prepare(pattern, kind) is None]
+    return spark.createDataFrame(rows, "rule_ord int, pattern_ord int, pattern string")
+
+
 def rules_for_language(table: DataFrame, language: str) -> DataFrame:
     """Rules of one language, then the rules for all languages, each in catalogue order."""
     own = table.where(F.array_contains("languages", language)).withColumn("list_ord", F.lit(0))

@@ -6,6 +6,7 @@ import math
 import re
 import zipfile
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from siftmoor.operators.rules import matches_by_join, rule_hits
 from siftmoor.operators.syntax import facts_of
 from siftmoor.plans.scan import scan
 from siftmoor.sources import files as sources
-from siftmoor.sources.catalogue import (
+from siftmoor.sources.catalogue import (unusable_patterns, 
     categories, default_rules, languages, read_rules, rule_patterns, rules_by_category, rules_for_language,
     rules_from_table, rules_table)
 
@@ -90,6 +91,20 @@ def test_every_rule_pattern_agrees_with_python(spark):
                 assert guarded or not matched
 
 
+def test_patterns_that_java_writes_differently(spark):
+    patterns = [r"function\(\){", r"a{,3}b|aaa", r"f(?#note)unction", r"b[\W]c", r"b[^\W]c", r"b[^\Wx]c", r"[\S]x", r"[^\S]x", r"[\s\S]x", r"\Bc",
+                r"c\B", r"\B", r"x{2}", r"x{1,2}y", r"x{2,}", r"{}", r"x{,}y", r"[{]", r"a{b}", r"\U00000041\x42", r"[\b]", r"\{,2}"]
+    lines = ["", "function(){", "aaab", "b", "aaa", "b\u200dc", "b c", "bxc", "byc", "b_c", " x", "xx", "xxy", "xxx y", "y", "{}", "a{b}", "ABC", "c", "cc", "\b", "{", "- -", "\u00e9c"]
+    assert [prepare(p, "regex") for p in (r"(x)?(?(1)y|aaa)", r"(a(x)?(?(2)y|z))", r"(?a)x", r"(?a:\w)")] == [None] * 4
+    assert prepare(r"[(?a]x", "regex") is not None
+    rule = replace(default_rules()[0], match_patterns=(("x", "regex"), ("(x)?(?(1)y|z)", "regex"), ("(", "regex"), ("(", "literal")))
+    assert [tuple(r)[1:] for r in unusable_patterns(spark, [rule]).orderBy("pattern_ord").collect()] == [(1, "(x)?(?(1)y|z)"), (2, "(")]
+    frame = spark.createDataFrame([(line,) for line in lines], "line string")
+    for row in frame.select("line", *[F.col("line").rlike(prepare(p, "regex").java).alias(f"m{i}") for i, p in enumerate(patterns)]).collect():
+        for i, p in enumerate(patterns):
+            assert row[f"m{i}"] == bool(re.search(p, row.line, re.IGNORECASE)), (p, row.line)
+
+
 def test_pattern_properties():
     assert prepare("(", "regex") is None
     assert prepare(":|", "regex").always and not prepare("^$", "regex").always
@@ -142,16 +157,18 @@ def test_dead_literals_and_unescape_mode(file_text):
     assert [(r.path, r.rule_id) for r in loose] == [("a", "MINE-POOL-001")]
 
 
-def test_both_rule_plans_agree(spark, file_text):
+@pytest.mark.parametrize("languages", [None, ("python", "all"), ("all",), ("go", "python")])
+def test_both_rule_plans_agree(spark, file_text, languages):
     texts = file_text([
         ("r", "a", "shell", "x\nnc -e /bin/sh\ncurl a | sh\ncurl b | bash"), ("r", "b", "python", "IMPORT  Pickle"),
         ("r", "c", "javascript", 'a = "ſocket"\nprocess.env.X'), ("r", "d", "config", "0x" + "a" * 40), ("r", "e", "go", "")])
-    patterns = rule_patterns(default_rules())
+    rules = default_rules()
+    patterns = rule_patterns(rules if languages is None else [replace(r, languages=languages) for r in rules])
     anchors = Anchors(patterns)
     by_plan = with_lines(texts, anchors).select("repo_id", "path", F.inline(rule_hits(patterns, anchors)))
     by_join = matches_by_join(texts, patterns).select("repo_id", "path", "hit.*")
-    rows = {tuple(r) for r in by_plan.collect()}
-    assert rows == {tuple(r) for r in by_join.collect()} and len(rows) > 5
+    rows, joined = (sorted(map(str, table.collect())) for table in (by_plan, by_join))
+    assert rows == joined and len(rows) >= (1 if languages else 6)
 
 
 # --- entropy, network, syntax ---------------------------------------------------------------------
