@@ -261,6 +261,34 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_decontamination_finds_items_of_common_words(spark):
+    plain = [" ".join(prose(i, 150, 3000)) for i in range(120)]
+    items = [(0, " ".join(f"hot{i}" for i in range(20))), (1, " ".join(f"warm{i}" for i in range(40))), (2, " ".join(f"cool{i}" for i in range(20)))]
+    put = lambda t, i, at=70: " ".join(t.split()[:at] + items[i][1].split() + t.split()[at:])
+    # Item 0 is in a third of the documents, item 1 in 7 % and item 2 in 4 %; the common words alone, far apart, are not the item.
+    texts = [put(t, 0, 1 + i) if i % 3 == 0 else put(t, 1, 3 * i % 140) if i < 12 else put(t, 2) if i in (13, 16, 19, 22, 25) else t for i, t in enumerate(plain)]
+    texts[100] = " ".join(f"hot{i % 20} " + " ".join(prose(i, 6, 3000)) for i in range(40))
+    found = decontamination.contaminated(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {(i, j): "verbatim" for i, t in enumerate(texts) for j, x in items if x in t}
+    assert {(r.doc_id, r.item_id): r.kind for r in found} == want and len(want) == 40 + 8 + 5
+
+
+def test_dense_stretches_by_brute_force(monkeypatch):
+    monkeypatch.setattr(decontamination, "WORDS_AT_ONCE", 50)
+    rng = random.Random(3)
+    pieces = [np.array([rng.randrange(12) for _ in range(n)]) for n in (1, 2, 3, 5, 8, 20, 48)]
+    texts = [[rng.randrange(-1, 12) for _ in range(rng.randrange(0, 90))] for _ in range(30)] + [[rng.randrange(12), *p.tolist()[: len(p) // 2], -1, *p.tolist()[len(p) // 2 :], 3] for p in pieces]
+    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    found = decontamination.Dense(pieces, np.array([rng.randrange(50) for _ in range(12)])).passages(np.array([x for t in texts for x in t]), first)
+    want = set()
+    for t, words in enumerate(texts):
+        for j, piece in enumerate(pieces):
+            need, span = math.ceil(len(piece) * 0.8 - 1e-9), int(len(piece) / 0.8 + 1e-9)
+            if any(decontamination.longest_common(piece.tolist(), words[i : i + span]) >= need for i in range(len(words))):
+                want.add((t, j))
+    assert {(t, j) for (t, _), js in found.items() for j in js} == want and want
+
+
 def test_decontamination_finds_every_item_of_the_tables(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet").collect() for t in ("documents", "benchmark"))
     plain = lambda t: " " + " ".join("".join(c if c.isalpha() or ord(c) > 127 else " " for c in (t or "").lower()).split()) + " "
