@@ -108,6 +108,23 @@ def test_pfair_deviates_less_than_one_block(weights):
         assert (np.abs(ran - np.arange(1, period + 1) * len(own) / period) < 1).all()
 
 
+def test_mixing_keeps_the_given_weights_over_many_periods(spark):
+    rows = spark.range(70000).select(F.col("id").alias("doc_id"), F.expr("CASE WHEN id < 50000 THEN 'a' WHEN id < 62000 THEN 'b' WHEN id < 69000 THEN 'c' ELSE 'd' END").alias("source"))
+    weights = {"a": 7**0.5, "b": 0.9**0.5, "c": 0.35**0.5, "d": 0.0007}
+    found = mixing.mixed(rows, weights, block=2, period=1000).orderBy("mix_position").select("mix_source", "mix_block", "mix_slot", "mix_position").collect()
+    assert len({r.mix_position for r in found}) == len(found) == 70000
+    blocks = [r.mix_source for r in found if r.mix_position % 2 == 0]
+    assert [r.mix_slot for r in found if r.mix_position % 2 == 0] == list(range(35000))
+    as_long_as_all_run = min(len(blocks) - blocks[::-1].index(s) for s in "abcd")
+    assert as_long_as_all_run > 15000  # many thousands of slots
+    blocks = np.array(blocks[:as_long_as_all_run])
+    for s, w in weights.items():
+        due = np.arange(1, len(blocks) + 1) * w / sum(weights.values())
+        assert (np.abs((blocks == s).cumsum() - due) < 1).all(), s
+    again = mixing.mixed(rows, weights, block=2, period=77).select("doc_id", "mix_position")
+    assert again.exceptAll(mixing.mixed(rows, weights, block=2).select("doc_id", "mix_position")).count() == 0
+
+
 def test_mixing_keeps_all_rows_and_the_shares(spark):
     rows = [(i, "big" if i < 600 else "small" if i < 900 else None if i < 960 else "few", "x") for i in range(970)] + [(5, "big", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, mix_slot string").repartition(5)
