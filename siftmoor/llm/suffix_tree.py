@@ -1,13 +1,20 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-The root predicts each word by its count over the whole corpus, add-one smoothed.  Longer contexts become states if they are
-frequent (CONTEXT_SHARE of all tokens) and their next-word distribution diverges from that of their longest proper suffix
-(LEAST_DIVERGENCE bits).  A state keeps the next words that take NEXT_SHARE of it, smoothed towards the suffix; its other words
-share the rest as the suffix predicts them, so every distribution sums to one.  A word is scored by the longest suffix state.
-
-Counting is one pass per depth: each task counts its distinct codes, packed by hash bucket, and a bucket is summed in one task.
-All shares are relative, so the tree has a bounded size (65,536 symbols, 4,096 contexts of a depth, 256 words of a state) and
-goes to the tasks; the counts of the other words stay distributed and meet the words to score in their buckets.
+The root predicts each word by its count over the whole corpus, add-one smoothed.  Contexts of up to `depth` words that occur
+twice or more become states if their next-word distribution diverges from that of their longest proper suffix by
+LEAST_DIVERGENCE bits.  A state adds all its next words' counts to SMOOTHING times the suffix's distribution, so every
+distribution sums to one.  A word is scored by the longest suffix state.
+
+With p the suffix's probability of a word, a state of N occurrences, n of them before the word, gives it
+(n + SMOOTHING * p) / (N + SMOOTHING).  Over p that is SMOOTHING / (N + SMOOTHING), a value of the state alone, times
+1 + n / (SMOOTHING * p), a value of the state and the word: the logarithm of a text is a sum of values of its runs of words.
+So all counts and values stay in hash buckets at any size.  Texts to score meet them there; only the values of the most
+frequent runs (CACHE_SHARE of all tokens) also go to the tasks, which saves their way but changes nothing.
+
+A run of words is known by its prefix, the run without the last word, and its suffix, the run without the first.  A run of
+symbols, the words with SYMBOL_SHARE of all tokens, has its symbols as its code and travels as the difference to the one before
+it; other runs have hashes.
+Counting is one pass per depth: each task counts its distinct runs, packed by hash bucket, and a bucket is summed in one task.
 """
 
 from __future__ import annotations
@@ -23,15 +30,22 @@ from siftmoor.llm import words as w
 from siftmoor.llm.common import buckets_for, stage, text_size
 from siftmoor.llm.decontamination import Vocabulary
 
-SYMBOL_SHARE, CONTEXT_SHARE, NEXT_SHARE = 2.0**-16, 2.0**-12, 2.0**-8
+LEAST_COUNT = 2
+SYMBOL_SHARE, CACHE_SHARE = 2.0**-16, 2.0**-18  # of what also goes to the tasks
+SHOWN_SHARE, SHOWN_WORDS = 2.0**-12, 256  # of the states that Tree shows
 LEAST_DIVERGENCE = 0.05
 SMOOTHING = 16.0
 DEPTH = 2
 BUCKET_BYTES = 12 << 20
 MERGED_CODES = 1 << 22
+MERGED_RUNS = 1 << 20
 END = np.uint64(0x454E44)
 _WIDTH = np.uint64(16)
+_SYMBOL, _LAST, _HASHED = np.uint64(17), np.uint64((1 << 17) - 1), np.uint64(1 << 63)
+_LONGEST = np.uint64(1 << 46)  # a code below has room for one more symbol
 _CODES = "bucket int, codes binary, counts binary"
+_RUNS = "bucket int, plain binary, prefix binary, suffix binary, counts binary, told binary"
+_LEVEL = "codes binary, counts binary, told binary, values binary, states binary, totals binary, rests binary, shown binary"
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -41,6 +55,39 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(hashes, words.first[1:], END), np.repeat(np.arange(len(column)), words.counts + 1)
 
 
+def _word_codes(symbols: Vocabulary, hashes: np.ndarray) -> np.ndarray:
+    """Symbols by their places from 1 on, other words by their hashes, with the highest bit set."""
+    places = symbols.places(hashes)
+    return np.where(places >= 0, (places + 1).astype(np.uint64), hashes | _HASHED)
+
+
+def _code(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """The code of runs, from those of the run without its last and without its first word."""
+    plain = (prefix < _LONGEST) & (suffix < _HASHED)
+    hashed = w.mixed(prefix * np.uint64(0x9E3779B97F4A7C15) + suffix * np.uint64(0xC2B2AE3D27D4EB4F)) | _HASHED
+    return np.where(plain, prefix << _SYMBOL | suffix & _LAST, hashed)
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """Ascending codes as differences, their bytes apart, so that the high ones, mostly zero, compress."""
+    return np.diff(codes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _run_codes(tokens: np.ndarray, text: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For runs of 1 to depth + 1 words, the places of their last words and their codes; runs stay within a text."""
+    out, codes, starts = [(np.arange(len(tokens)), tokens)], tokens, np.append(True, text[1:] != text[:-1])[: len(tokens)]
+    since = np.arange(len(tokens)) - np.maximum.accumulate(np.where(starts, np.arange(len(tokens)), 0))
+    for length in range(1, depth + 1):
+        codes = np.concatenate([codes[:1], _code(codes[:-1], codes[1:])])
+        at = np.flatnonzero(since >= length)
+        out.append((at, codes[at]))
+    return out
+
+
 def _sums(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(codes)
     codes, counts = codes[order], counts[order]
@@ -101,7 +148,7 @@ def _find(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 class Level:
-    """States of one depth: their codes (state of the depth before, last symbol), suffixes, kept flags and next words."""
+    """Frequent states of one depth: their codes (state of the depth before, last symbol), suffixes, kept flags and next words."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray, suffix: np.ndarray):
         self.codes, self.counts, self.suffix = codes, counts, suffix
@@ -111,30 +158,20 @@ class Level:
 
 
 class Tree:
-    """The model: symbols with their counts, the number of tokens and distinct tokens, and the levels."""
+    """What is at hand of the model: symbols with their counts, the number of tokens and distinct tokens, the values of frequent
+    runs, the staged values of all runs, and, to look at, the levels: states with SHOWN_SHARE of all tokens and at most
+    SHOWN_WORDS next words."""
 
     def __init__(self, symbols: Vocabulary, counts: np.ndarray, tokens: int, distinct: int):
         self.symbols, self.counts, self.tokens, self.distinct = symbols, counts, tokens, distinct
         self.levels: list[Level] = []
+        self.depth, self.values = 0, []
+        self.cached, self.cached_values = np.zeros(0, np.uint64), np.zeros(0)
 
     def base(self, symbols: np.ndarray) -> np.ndarray:
         """The root's log10 probability of symbols."""
         return np.log10(self.counts[symbols] + 1.0) - np.log10(self.tokens + self.distinct + 1.0)
 
-    def states(self, symbols: np.ndarray, text: np.ndarray, depth: int) -> list[np.ndarray]:
-        """For each depth up to `depth`, the state that ends at each token, -1 if there is none."""
-        out = []
-        for level in self.levels[:depth]:
-            if not out:
-                state = np.where(symbols >= 0, _find(level.codes, symbols.astype(np.uint64)), -1)
-            else:
-                before = np.append(-1, np.where(text[1:] == text[:-1], out[-1][:-1], -1))
-                both = (before >= 0) & (symbols >= 0)
-                state = np.full(len(symbols), -1, np.int64)
-                state[both] = _find(level.codes, before[both].astype(np.uint64) << _WIDTH | symbols[both].astype(np.uint64))
-            out.append(state)
-        return out
-
     def gains(self, states: list[np.ndarray], following: np.ndarray) -> np.ndarray:
         """log10 of the longest state's probability of the following symbol (-1: none of them) over the root's."""
         total = np.zeros(len(following))
@@ -153,21 +190,167 @@ class Tree:
             out.append(level.suffix[out[-1]])
         return out[::-1]
 
-    def add(self, level: Level, codes: np.ndarray, counts: np.ndarray) -> None:
-        """A level with the counts of its states' frequent next words; decides which states are kept."""
-        depth = len(self.levels)
+    def show(self, prefix: np.ndarray, suffix: np.ndarray, counts: np.ndarray, told: np.ndarray, kept: np.ndarray) -> None:
+        """A level of states, all of whose runs are given; states with words or suffixes that are not shown are left out."""
+        above = self.levels[-1] if self.levels else None
+        if above is None:
+            state, symbol = prefix, np.where(suffix < _HASHED, suffix, np.uint64(0)).astype(np.int64) - 1
+            whole = ~np.isin(prefix, prefix[(symbol < 0) | (prefix >= _HASHED)])
+            hashes = np.unique(prefix[whole])
+            code, back = hashes - np.uint64(1), np.zeros(len(hashes), np.int64)
+        else:
+            run = _find(above.runs, suffix)
+            whole = (run >= 0) & (_find(above.runs, prefix) >= 0)
+            whole = ~np.isin(prefix, prefix[~whole])
+            state, symbol = prefix, np.where(run >= 0, (above.next[above.by_run[run]] & np.uint64(0xFFFF)).astype(np.int64) if len(above.runs) else -1, -1)
+            hashes, first = np.unique(prefix[whole], return_index=True)
+            code = above.next[above.by_run[_find(above.runs, hashes)]] if len(hashes) else np.zeros(0, np.uint64)
+            back = (above.next[above.by_run[run[whole][first]]] >> _WIDTH).astype(np.int64) if len(hashes) else np.zeros(0, np.int64)
+        order = np.argsort(code)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        at = place[np.searchsorted(hashes, state[whole])]
+        symbol, counts, told, suffix, prefix = symbol[whole], counts[whole], told[whole], suffix[whole], prefix[whole]
+        level = Level(code[order], np.bincount(at, counts, len(order)).astype(np.int64), back[order])
+        level.kept[at] = kept[whole]
+        level.rest = np.log10(SMOOTHING / (level.counts + SMOOTHING))
+        following = at.astype(np.uint64) << _WIDTH | symbol.astype(np.uint64)
+        order = np.argsort(following)
+        level.next, level.gain = following[order], told[order] - self.base(symbol[order])
+        runs = _code(prefix, suffix)[order]
+        level.by_run = np.argsort(runs)
+        level.runs = runs[level.by_run]
         self.levels.append(level)
-        state, symbol = (codes >> _WIDTH).astype(np.int64), (codes & np.uint64(0xFFFF)).astype(np.int64)
-        suffix = self.chain(depth, state)[:-1]
-        before = self.base(symbol) + self.gains(suffix, symbol)
-        told = (counts + SMOOTHING * 10**before) / (level.counts[state] + SMOOTHING)
-        size = len(level.codes)
-        sums = lambda x: np.bincount(state, x, size)
-        left, left_before = (np.clip(1 - sums(x), 1e-12, None) for x in (told, 10**before))
-        level.rest = np.log10(left / left_before)
-        divergence = sums(told * (np.log2(told) - before / np.log10(2))) + left * level.rest / np.log10(2)
-        level.kept = divergence >= LEAST_DIVERGENCE
-        level.next, level.gain = codes, np.log10(told) - self.base(symbol)
+
+
+def _dealt(keys: np.ndarray, buckets: int, schema: pa.Schema, **columns: np.ndarray) -> pa.Table:
+    """A row of packed columns for each bucket of the keys."""
+    order, upto = w.by_bucket(w.mixed(keys) % np.uint64(buckets), buckets)
+    full = np.flatnonzero(np.diff(upto)).tolist()
+    dealt = {n: x[order] for n, x in columns.items()}
+    found = {n: pa.array([x[upto[b] : upto[b + 1]].tobytes() for b in full], pa.binary()) for n, x in dealt.items()}
+    return pa.table([pa.array(full, f.type) if f.name == "bucket" else found.get(f.name, pa.nulls(len(full), f.type)) for f in schema], schema)
+
+
+def _dealt_runs(by: np.ndarray, buckets: int, prefix: np.ndarray, suffix: np.ndarray, **columns: np.ndarray) -> pa.Table:
+    """Runs in rows of a bucket each, those of symbols (`plain`, ascending) first."""
+    codes = _code(prefix, suffix)
+    order = np.lexsort((codes, w.mixed(by) % np.uint64(buckets)))
+    codes, prefix, suffix, bucket = codes[order], prefix[order], suffix[order], (w.mixed(by) % np.uint64(buckets))[order].astype(np.int64)
+    edges = np.append(np.searchsorted(bucket, full := np.unique(bucket)), len(bucket)).tolist()
+    middle = [a + int(np.searchsorted(codes[a:b], _HASHED)) for a, b in zip(edges[:-1], edges[1:])]
+    found = {"plain": [_packed(codes[a:m]) for a, m in zip(edges[:-1], middle)], "prefix": [prefix[m:b].tobytes() for m, b in zip(middle, edges[1:])],
+             "suffix": [suffix[m:b].tobytes() for m, b in zip(middle, edges[1:])]}
+    for name, x in columns.items():
+        x = x[order]
+        found[name] = [x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
+    return pa.table([pa.array(full, f.type) if f.name == "bucket" else pa.array(found[f.name], f.type) if f.name in found else pa.nulls(len(full), f.type) for f in _RUNS_ARROW], _RUNS_ARROW)
+
+
+def _runs_in(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefixes and suffixes of runs of length + 1 words, in the order of the other columns."""
+    prefix, suffix, rest = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], np.uint64((1 << min(17 * length, 63)) - 1)
+    for row in zip(table["plain"], table["prefix"], table["suffix"]):
+        codes = _unpacked(row[0].as_py())
+        prefix += [codes >> _SYMBOL, np.frombuffer(row[1].as_buffer(), np.uint64)]
+        suffix += [codes & rest, np.frombuffer(row[2].as_buffer(), np.uint64)]
+    return np.concatenate(prefix), np.concatenate(suffix)
+
+
+_RUNS_ARROW = pa.schema([(c.split()[0], pa.int32() if c.endswith("int") else pa.binary()) for c in _RUNS.split(", ")])
+
+
+def _runs_of(rows: DataFrame, length: int, symbols: Vocabulary, buckets: int) -> DataFrame:
+    """How often each run of length + 1 words occurs, dealt by its prefix; a run may be in several rows."""
+
+    def emit(parts: list) -> list:
+        prefix, suffix, counts = (np.concatenate(x) for x in zip(*parts))
+        prefix, suffix, counts = _merged(prefix, suffix, counts)
+        return _dealt_runs(prefix, buckets, prefix, suffix, counts=counts).to_batches()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in w.slices(batches, "text"):
+            tokens, text = _tokens(batch["text"])
+            at, codes = _run_codes(_word_codes(symbols, tokens), text, length - 1)[-1]
+            follows = np.flatnonzero((at[1:] == at[:-1] + 1) & (text[at[1:]] == text[at[:-1]])) if len(at) else np.zeros(0, np.int64)
+            parts.append(_merged(codes[follows], codes[follows + 1], np.ones(len(follows), np.int64)))
+            held += len(parts[-1][0])
+            if held > MERGED_RUNS:
+                yield from emit(parts)
+                parts, held = [], 0
+        if parts:
+            yield from emit(parts)
+
+    return rows.mapInArrow(count, _RUNS)
+
+
+def _merged(prefix: np.ndarray, suffix: np.ndarray, counts: np.ndarray) -> tuple:
+    """Equal runs once, with their counts summed, in order of their codes."""
+    codes = _code(prefix, suffix)
+    order = np.argsort(codes)
+    codes = codes[order]
+    opens = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+    first = order[opens]
+    return prefix[first], suffix[first], np.add.reduceat(counts[order], opens) if len(opens) else counts
+
+
+def _level(rows: DataFrame, length: int, symbols: Vocabulary, before: DataFrame, buckets: int, least_shown: float) -> DataFrame:
+    """The states of contexts of `length` words, staged: told probabilities (log10) of all runs, values of runs and states.
+
+    before: (codes, told) of the runs of `length` words.
+    """
+
+    def frequent(key: tuple, table: pa.Table) -> pa.Table:
+        prefix, suffix, counts = _merged(*_runs_in(table, length), w.joined(table["counts"], np.int64))
+        _, state = np.unique(prefix, return_inverse=True)
+        good = np.bincount(state, counts)[state] >= LEAST_COUNT if len(prefix) else np.zeros(0, bool)
+        prefix, suffix, counts = prefix[good], suffix[good], counts[good]
+        return _dealt_runs(suffix, buckets, prefix, suffix, counts=counts)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for codes, told in zip(batch["codes"], batch["told"]):
+                codes, told = _unpacked(codes.as_py()), np.frombuffer(told.as_buffer(), np.float32)
+                yield from _dealt(codes, buckets, _RUNS_ARROW, suffix=codes, told=told).to_batches()
+
+    def attach(key: tuple, table: pa.Table) -> pa.Table:
+        known = table["told"].is_valid()
+        by, runs = table.filter(known), table.filter(pa.compute.invert(known))
+        codes, told = w.joined(by["suffix"], np.uint64), w.joined(by["told"], np.float32)
+        order = np.argsort(codes)
+        (prefix, suffix), counts = _runs_in(runs, length), w.joined(runs["counts"], np.int64)
+        place = _find(codes[order], suffix)
+        assert (place >= 0).all(), "a run's suffix was not counted"
+        return _dealt_runs(prefix, buckets, prefix, suffix, counts=counts, told=told[order][place] if len(place) else np.zeros(0, np.float32))
+
+    def decide(key: tuple, table: pa.Table) -> pa.Table:
+        (prefix, suffix), counts, before = _runs_in(table, length), w.joined(table["counts"], np.int64), w.joined(table["told"], np.float32).astype(np.float64)
+        order = np.argsort(_code(prefix, suffix))
+        prefix, suffix, counts, before = prefix[order], suffix[order], counts[order], before[order]
+        states, state = np.unique(prefix, return_inverse=True)
+        totals = np.bincount(state, counts, len(states))
+        told = np.log10(counts + SMOOTHING * 10**before) - np.log10(totals[state] + SMOOTHING)
+        rest = np.log10(SMOOTHING / (totals + SMOOTHING))
+        left = np.clip(1 - np.bincount(state, 10**told, len(states)), 0, None)
+        divergence = (np.bincount(state, 10**told * (told - before), len(states)) + left * rest) / np.log10(2)
+        kept = divergence >= LEAST_DIVERGENCE
+        values = np.where(kept[state], told - before - rest[state], 0.0)
+        shown = (totals >= least_shown) & (np.bincount(state, minlength=len(states)) <= SHOWN_WORDS)
+        shown = np.flatnonzero(shown[state])
+        sample = pa.table({"prefix": prefix[shown], "suffix": suffix[shown], "counts": counts[shown], "told": told[shown], "kept": kept[state[shown]]})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, sample.schema) as stream:
+            stream.write_table(sample)
+        columns = {"counts": counts, "told": np.where(kept[state], told, before).astype(np.float32), "values": values.astype(np.float32),
+                   "totals": totals[kept].astype(np.int64), "rests": rest[kept].astype(np.float32)}
+        columns = {n: x.tobytes() for n, x in columns.items()} | {"codes": _packed(_code(prefix, suffix)), "states": _packed(states[kept])}
+        names = [c.split()[0] for c in _LEVEL.split(", ")][:-1]
+        return pa.table({n: pa.array([columns[n]], pa.binary()) for n in names} | {"shown": pa.array([sink.getvalue().to_pybytes() if len(shown) else None], pa.binary())})
+
+    runs = _runs_of(rows, length, symbols, buckets).groupBy("bucket").applyInArrow(frequent, _RUNS)
+    met = runs.union(before.mapInArrow(deal, _RUNS)).groupBy("bucket").applyInArrow(attach, _RUNS)
+    return stage(met.groupBy("bucket").applyInArrow(decide, _LEVEL), "level")
 
 
 def fit(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> tuple[Tree, DataFrame]:
@@ -179,42 +362,55 @@ def fit(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> tuple[Tree,
     tokens, distinct = totals[0] or 0, totals[1] or 0
     hashes, counts = _frequent(counted, lambda codes: max(1.0, SYMBOL_SHARE * tokens))
     tree = Tree(Vocabulary(hashes), counts, tokens, distinct)
-    least = max(2.0, CONTEXT_SHARE * tokens)
-    ends = np.flatnonzero(hashes == END)
-    chosen = np.setdiff1d(np.flatnonzero(counts >= least), ends)
-    level = Level(chosen.astype(np.uint64), counts[chosen], np.zeros(len(chosen), np.int64))
-    for at in range(depth):
-        if not len(level.codes):
-            break
-        tree.levels.append(level)
-
-        def following(column: pa.Array, tree: Tree = tree, at: int = at) -> np.ndarray:
-            tokens, text = _tokens(column)
-            symbols = tree.symbols.places(tokens)
-            state, after = tree.states(symbols, text, at + 1)[at][:-1], symbols[1:]
-            good = (state >= 0) & (after >= 0) & (text[1:] == text[:-1])
-            return state[good].astype(np.uint64) << _WIDTH | after[good].astype(np.uint64)
-
-        pairs = _counted(rows, following, buckets)
-        tree.levels.pop()
-        tree.add(level, *_frequent(pairs, lambda codes, held=level.counts: np.maximum(2.0, NEXT_SHARE * held[(codes >> _WIDTH).astype(np.int64)])))
-        codes, found = _frequent(pairs, lambda codes: least)
-        inner = ~np.isin(codes & np.uint64(0xFFFF), ends.astype(np.uint64))
-        codes, found = codes[inner], found[inner]
-        # The suffix of (state, symbol) is (suffix of the state, symbol); as frequent, it is a state of its depth.
-        last = (codes & np.uint64(0xFFFF)).astype(np.uint64)
-        suffix = _find(level.codes, last if at == 0 else level.suffix[(codes >> _WIDTH).astype(np.int64)].astype(np.uint64) << _WIDTH | last)
-        level = Level(codes[suffix >= 0], found[suffix >= 0], suffix[suffix >= 0])
+    if not tokens:
+        return tree, counted
+    whole, symbols = float(np.log10(tokens + distinct + 1.0)), tree.symbols
+
+    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for codes, counts in zip(batch["codes"], batch["counts"]):
+                codes, told = _word_codes(symbols, np.frombuffer(codes.as_buffer(), np.uint64)), np.log10(np.frombuffer(counts.as_buffer(), np.int64) + 1.0) - whole
+                order = np.argsort(codes)
+                yield pa.RecordBatch.from_arrays([pa.array([_packed(codes[order])], pa.binary()), w.binary([told[order].astype(np.float32)])], ["codes", "told"])
+
+    before, wide, found = counted.select("codes", "counts").mapInArrow(base, "codes binary, told binary"), max(1.0, CACHE_SHARE * tokens), []
+    for length in range(1, depth + 1):
+        level = _level(rows, length, symbols, before, 4 * buckets, max(LEAST_COUNT, SHOWN_SHARE * tokens))
+        before, tree.depth = level.select("codes", "told"), length
+        for codes, n, values in (("codes", "counts", "values"), ("states", "totals", "rests")):
+            part = level.select(F.col(codes).alias("codes"), F.col(n).alias("counts"), F.col(values).alias("values"))
+            tree.values.append(part)
+            found += part.mapInArrow(_wide(wide), "codes binary, values binary").collect()
+        shown = [pa.ipc.open_stream(r.shown).read_all() for r in level.where("shown is not null").select("shown").collect()]
+        if shown:
+            shown = pa.concat_tables(shown)
+            tree.show(*(shown[c].to_numpy() for c in ("prefix", "suffix", "counts", "told", "kept")))
+    codes, values = (np.frombuffer(b"".join(r[i] for r in found), k) for i, k in enumerate((np.uint64, np.float64)))
+    tree.cached, tree.cached_values = _sums(codes, values)
     return tree, counted
 
 
+def _wide(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Picks the runs and states that occur so often; a run and its state occur equally often, so both values are there."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for codes, counts, values in zip(batch["codes"], batch["counts"], batch["values"]):
+                good = np.frombuffer(counts.as_buffer(), np.int64) >= least
+                found = _unpacked(codes.as_py())[good], np.frombuffer(values.as_buffer(), np.float32)[good].astype(np.float64)
+                yield pa.RecordBatch.from_arrays([w.binary([x]) for x in found], ["codes", "values"])
+
+    return pick
+
+
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(x.as_buffer(), np.int64).sum()) for x in batch["counts"]], pa.int64()),
                                           pa.array([x.as_py() // 8 for x in batch["bytes"]], pa.int64())], ["tokens", "words"])
 
 
-_PART = "bucket int, slice long, rows binary, at binary, codes binary, counts binary"
+_PART = "bucket int, slice long, rows binary, at binary, codes binary, counts binary, runs binary, values binary"
+_PART_ARROW = pa.schema([(c.split()[0], {"int": pa.int32(), "long": pa.int64()}.get(c.split()[1], pa.binary())) for c in _PART.split(", ")])
 
 
 def score(docs: DataFrame, model: tuple[Tree, DataFrame], keep: dict[str, Column], text: str = "text") -> DataFrame:
@@ -224,22 +420,28 @@ def score(docs: DataFrame, model: tuple[Tree, DataFrame], keep: dict[str, Column
     end alone.  `base_score` is the root's log10 probability of the text, `score` that of the tree.  Every row gives one row.
     """
     tree, counted = model
-    buckets = buckets_for(text_size(docs, text) // 2, BUCKET_BYTES)
+    buckets = buckets_for(text_size(docs, text), BUCKET_BYTES)
     rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("_text"))
     names, kept = list(keep), rows.schema[: len(keep)]
     own = ["n_tokens", "n_known", "sum", "gain"]
-    schema = pa.schema([(c, pa.binary()) if c in ("rows", "at", "codes", "counts") else (c, pa.int32() if c == "bucket" else pa.int64()) for c in ("bucket", "slice", "rows", "at", "codes", "counts")])
+    schema, depth = _PART_ARROW, tree.depth
+    cache = docs.sparkSession.sparkContext.broadcast((tree.cached, tree.cached_values))
+    symbols_of, symbol_counts, train_tokens, whole = tree.symbols, tree.counts, tree.tokens, np.log10(tree.tokens + tree.distinct + 1.0)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
         for number, batch in enumerate(w.slices(batches, "_text")):
             tokens, text = _tokens(batch["_text"])
-            symbols, size = tree.symbols.places(tokens), batch.num_rows
+            symbols, size = symbols_of.places(tokens), batch.num_rows
             head = symbols >= 0
-            gains = tree.gains([s[:-1] for s in tree.states(symbols, text, len(tree.levels))], symbols[1:])
-            gains[text[1:] != text[:-1]] = 0
+            gains, sent = np.zeros(size), []
+            for at, codes in _run_codes(_word_codes(symbols_of, tokens), text, depth) if depth else []:
+                place = _find(cache.value[0], codes)
+                if len(cache.value[0]):
+                    gains += np.bincount(text[at], np.where(place >= 0, cache.value[1][place], 0.0), size)
+                sent.append((codes[place < 0], text[at[place < 0]]))
             found = (np.bincount(text, minlength=size), np.bincount(text[head], minlength=size),
-                     np.bincount(text[head], np.log10(tree.counts[symbols[head]] + 1.0), size), np.bincount(text[1:], gains, size))
+                     np.bincount(text[head], np.log10(symbol_counts[symbols[head]] + 1.0), size), gains)
             told = pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *map(pa.array, found)], [*names, *own])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, told.schema) as stream:
@@ -250,6 +452,22 @@ def score(docs: DataFrame, model: tuple[Tree, DataFrame], keep: dict[str, Column
             out = [{"bucket": b, "slice": base | number, "at": place[upto[b] : upto[b + 1]].tobytes(), "codes": rare[upto[b] : upto[b + 1]].tobytes()} for b in full]
             out.append({"bucket": number % buckets, "slice": base | number, "rows": sink.getvalue().to_pybytes()})
             yield from pa.Table.from_pylist(out, schema).to_batches()
+            if sent:
+                codes, at = (np.concatenate(x) for x in zip(*sent))
+                order = np.argsort(codes)
+                codes, at = codes[order], at[order].astype(np.uint16)
+                order, upto = w.by_bucket(w.mixed(codes) % np.uint64(buckets), buckets)
+                codes, at = codes[order], at[order]
+                asked = [{"bucket": b, "slice": base | number, "runs": _packed(codes[upto[b] : upto[b + 1]]), "at": at[upto[b] : upto[b + 1]].tobytes()} for b in np.flatnonzero(np.diff(upto)).tolist()]
+                yield from pa.Table.from_pylist(asked, schema).to_batches()
+
+    def by_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The values of runs that are not cached, dealt to the buckets of the texts to score."""
+        for batch in batches:
+            for codes, values in zip(batch["codes"], batch["values"]):
+                codes, values = _unpacked(codes.as_py()), np.frombuffer(values.as_buffer(), np.float32)
+                told = (values != 0) & (_find(cache.value[0], codes) < 0)
+                yield from _dealt(codes[told], buckets, schema, runs=codes[told], values=values[told]).to_batches()
 
     def by_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The counts, dealt to the buckets of the texts to score."""
@@ -262,11 +480,18 @@ def score(docs: DataFrame, model: tuple[Tree, DataFrame], keep: dict[str, Column
                 yield from pa.Table.from_pylist(out, schema).to_batches()
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
-        known = table["counts"].is_valid()
-        words = table.filter(known)
+        known, valued = table["counts"].is_valid(), table["values"].is_valid()
+        words, told = table.filter(known), table.filter(valued)
         codes, counts = _sums(w.joined(words["codes"], np.uint64), w.joined(words["counts"], np.int64))
+        runs, values = _sums(w.joined(told["runs"], np.uint64), w.joined(told["values"], np.float32).astype(np.float64))
         out = []
-        for row in table.filter(pa.compute.invert(known)).to_pylist():
+        for row in table.filter(pa.compute.invert(pa.compute.or_(known, valued))).to_pylist():
+            if row["runs"] is not None:
+                at, place = np.frombuffer(row["at"], np.uint16).astype(np.int64), _find(runs, _unpacked(row["runs"]))
+                texts, inverse = np.unique(at[place >= 0], return_inverse=True)
+                if len(texts):
+                    out.append({"slice": row["slice"], "runs": texts.astype(np.uint16).tobytes(), "values": np.bincount(inverse, values[place[place >= 0]], len(texts)).tobytes()})
+                continue
             if row["rows"] is not None:
                 out.append({"slice": row["slice"], "rows": row["rows"]})
                 continue
@@ -283,12 +508,15 @@ def score(docs: DataFrame, model: tuple[Tree, DataFrame], keep: dict[str, Column
         at = w.joined(table["at"], np.uint16).astype(np.int64)
         known += np.bincount(at, w.joined(table["counts"], np.int32), len(tokens)).astype(np.int64)
         total += np.bincount(at, w.joined(table["codes"], np.float64), len(tokens))
-        base = total - tokens * np.log10(tree.tokens + tree.distinct + 1.0)
-        found = {"n_tokens": tokens, "n_known": known, "train_tokens": np.full(len(tokens), tree.tokens, np.int64), "base_score": base, "score": base + gain}
+        gain += np.bincount(w.joined(table["runs"], np.uint16).astype(np.int64), w.joined(table["values"], np.float64), len(tokens))
+        base = total - tokens * whole
+        found = {"n_tokens": tokens, "n_known": known, "train_tokens": np.full(len(tokens), train_tokens, np.int64), "base_score": base, "score": base + gain}
         return pa.table({c: told[c] for c in names} | {c: pa.array(x) for c, x in found.items()})
 
     # The codes of `meet` are sums of logarithms, in the same column.
     parts = rows.mapInArrow(cut, _PART).union(counted.select("codes", "counts").mapInArrow(by_words, _PART))
+    for values in tree.values:
+        parts = parts.union(values.select("codes", "values").mapInArrow(by_runs, _PART))
     met = parts.groupBy("bucket").applyInArrow(meet, _PART.removeprefix("bucket int, "))
     out = kept.add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
     return met.groupBy("slice").applyInArrow(close, out)

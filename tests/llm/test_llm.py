@@ -460,6 +460,47 @@ def test_suffix_tree(spark):
             assert (10 ** (tree.base(every) + gains[:-1])).sum() + rest * 10 ** gains[-1] == pytest.approx(1)
 
 
+def test_suffix_tree_uses_all_contexts_and_next_words(spark, monkeypatch):
+    # Rare contexts (two occurrences among 60,000 tokens) count, and so do all their next words, cached or not.
+    texts = [" ".join(prose(i, 200, 3000)) for i in range(300)] + ["alpha beta gamma", "alpha beta gamma", "alpha beta delta", ""]
+    asked = ["alpha beta gamma", "alpha beta delta", "alpha beta t1", "beta gamma", "new alpha beta", texts[7], texts[9] + " alpha beta gamma"]
+    grams, follow = Counter(), {}
+    for t in texts:
+        own = [*t.split(), None]
+        for size in (1, 2, 3):
+            for i in range(len(own) - size + 1):
+                run = tuple(own[i : i + size])
+                grams[run] += 1
+                if size > 1:
+                    follow.setdefault(run[:-1], Counter())[run[-1]] += 1
+    total, distinct = sum(n for g, n in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+    smooth = suffix_tree.SMOOTHING
+
+    def kept(context):
+        if context not in follow or sum(follow[context].values()) < 2:
+            return False
+        n, left = sum(follow[context].values()), 1.0
+        divergence = 0.0
+        for x, k in follow[context].items():
+            before = chance(context[1:], x)
+            told = (k + smooth * before) / (n + smooth)
+            divergence, left = divergence + told * math.log2(told / before), left - told
+        return divergence + left * math.log2(smooth / (n + smooth)) >= suffix_tree.LEAST_DIVERGENCE
+
+    def chance(context, x):
+        if not context:
+            return (grams[(x,)] + 1) / (total + distinct + 1)
+        before = chance(context[1:], x)
+        return (follow[context][x] + smooth * before) / (sum(follow[context].values()) + smooth) if kept(context) else before
+
+    want = [sum(math.log10(chance(tuple(own[max(0, i - 2) : i]), x)) for i, x in enumerate(own)) for own in ([*t.split(), None] for t in asked)]
+    for share in (2.0**-18, 0.001, 1.0):
+        monkeypatch.setattr(suffix_tree, "CACHE_SHARE", share, raising=False)
+        found = by_id(suffix_tree.score(docs_of(spark, asked), suffix_tree.fit(docs_of(spark, texts)), {"doc_id": F.col("doc_id")}), "score")
+        assert [found[i] for i in range(len(asked))] == pytest.approx(want)
+    assert kept(("alpha", "beta"))
+
+
 def test_suffix_tree_odd_tables(spark):
     empty = docs_of(spark, []).limit(0)
     model = suffix_tree.fit(empty)
