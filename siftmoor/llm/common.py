@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BUCKET_BYTES = 24 << 20
+_own_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -16,8 +17,8 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="staged-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own_folders.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="staged-")
+        _own_folders[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftmoor.llm import chat, decontamination, language, mixing, nearest, shingles, substrings, suffix_tree, toxicity, url_rules
+from siftmoor.llm import (
+    chat, decontamination, divergence, language, lines, mixing, nearest, resampling, shingles, substrings, suffix_tree, toxicity, url_rules,
+)
 from siftmoor.llm.common import fold
 
 QUERIES, ORACLE = {}, {}
@@ -153,3 +155,87 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 7) == 2
     model = suffix_tree.fit(docs.where(~held_out))
     return suffix_tree.score(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
+@query
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# The CRC of a feature goes byte by byte over the digits of its hexadecimal form.
+ORACLE["op11_resampling"] = r"""
+WITH RECURSIVE steps(k, v, value) AS (
+  SELECT 0, range::BIGINT, range::BIGINT FROM range(256) UNION ALL
+  SELECT k + 1, v, CASE WHEN value % 2 = 1 THEN xor(value >> 1, 3988292384) ELSE value >> 1 END FROM steps WHERE k < 8),
+crc_table AS (SELECT list(value ORDER BY v) AS t FROM steps WHERE k = 8),
+texts AS (SELECT true AS own, doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT false, NULL, -row_number() OVER (), coalesce(text, '') FROM benchmark),
+split AS (SELECT own, doc_id, r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+runs AS (SELECT own, r, unnest(list_concat(words,
+    list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]),
+    list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]))) AS feature FROM split),
+features AS (SELECT own, r, feature, count(*) AS n FROM runs GROUP BY own, r, feature),
+hexes AS (SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM features)),
+buckets AS (SELECT feature, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, length(h) // 2),
+    lambda i: 16 * (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) + instr('0123456789ABCDEF', h[2 * i + 2]) - 1)),
+    lambda crc, byte: xor(crc >> 8, t[1 + (xor(crc, byte) & 255)])), 4294967295) % 10000 AS bucket FROM hexes, crc_table),
+counts AS (SELECT bucket, coalesce(sum(n) FILTER (own), 0)::BIGINT AS s, coalesce(sum(n) FILTER (NOT own), 0)::BIGINT AS t
+  FROM features JOIN buckets USING (feature) GROUP BY bucket),
+whole AS (SELECT coalesce(sum(s), 0)::BIGINT AS s_all, coalesce(sum(t), 0)::BIGINT AS t_all FROM counts),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM counts, whole),
+weights AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight
+  FROM features JOIN buckets USING (feature) JOIN gains USING (bucket) WHERE own GROUP BY r),
+scores AS (SELECT doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+    + floor(-1000 * ln(-ln((('0x' || sha256('42:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM split LEFT JOIN weights USING (r) WHERE own),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+  count(*) FILTER (n_words >= 20) OVER () AS n FROM scores)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank FROM ranked"""
+
+
+@query
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_divergence"] = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+terms AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS held FROM terms GROUP BY lang, source, term),
+kept AS (SELECT lang, term, sum(n)::BIGINT AS n FROM counts GROUP BY lang, term HAVING sum(held) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS n FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS n_lang
+  FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+totals AS (SELECT lang, source, sum(n)::BIGINT AS total FROM cells GROUP BY lang, source),
+shares AS (SELECT c.lang, c.source, c.term, c.n, 1 + 1000000000::HUGEINT * (c.n + 1) // (t.total + l.v) AS p,
+    1 + 1000000000::HUGEINT * (c.n_lang + 1) // (l.n + l.v) AS q
+  FROM cells c JOIN totals t ON t.lang = c.lang AND t.source = c.source JOIN langs l ON l.lang = c.lang),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+told AS (
+  SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source AND s.item = o.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM shares WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM told
+QUALIFY part = 'pair' OR rank <= 200"""
+
+
+@query
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.without_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE["op13_line_dedup"] = r"""
+WITH split AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+keyed AS (SELECT doc_id, r, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, r, unnest(lines) AS line, unnest(generate_series(1, len(lines))) AS i FROM split)),
+held AS (SELECT key, max(doc_id) AS top FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+told AS (SELECT k.*, coalesce(k.doc_id < h.top, false) AS gone FROM keyed k LEFT JOIN held h ON h.key = k.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM told GROUP BY r"""

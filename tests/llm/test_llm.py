@@ -180,20 +180,23 @@ def test_near_duplicates_by_brute_force(spark):
     assert found == brute_components(texts, ids)
 
 
-def test_tree_of_a_crowded_block(spark, monkeypatch):
-    """Leaves of two nodes: the pairs of the R-tree alone must give every link."""
-    monkeypatch.setattr(shingles, "LEAF", 2)
+@pytest.mark.parametrize("leaf, count", [(2, 40), (256, 700)])
+def test_tree_of_a_crowded_block(spark, monkeypatch, leaf, count):
+    """The pairs of the R-tree alone must give every link, within a leaf, between leaves and between bands of sizes."""
+    monkeypatch.setattr(shingles, "LEAF", leaf)
     rng = random.Random(5)
-    sets = {i: {*range(100, 140)} | {rng.randrange(10**9) for _ in range(rng.randrange(0, 25))} for i in range(1, 40)}
+    sets = {i: {*range(100, 140 + 30 * (i % 3))} | {rng.randrange(10**9) for _ in range(rng.randrange(0, 25))} for i in range(1, count)}
     points = []
     for values in sets.values():
+        groups = shingles.groups_for(len(values))
         hashes = words.mixed(np.array(sorted(values), np.uint64))
-        points.append(np.bincount((hashes & np.uint64(31)).astype(int), minlength=32).astype(np.uint16).tobytes())
-    nodes = spark.createDataFrame([(i, len(sets[i]), bytearray(p)) for i, p in zip(sets, points)], "node long, n long, point binary")
+        points.append(np.bincount((hashes & np.uint64(groups - 1)).astype(int), minlength=groups).astype(np.uint16))
+    nodes = spark.createDataFrame([(i, len(sets[i]), bytearray(p)) for i, p in zip(sets, shingles.packed(points))], "node long, n long, point binary")
     mixed = spark.createDataFrame([(1, i, i) for i in sets], "block long, node long, component long")
     found = {(r.a, r.b) for r in shingles._tree_pairs(mixed, nodes).collect()}
     near = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
-    assert near and near <= found
+    bands = {math.floor(math.log(len(s)) / math.log(5 / 4)) for s in sets.values()}
+    assert near and near <= found and len(bands) > 2
 
 
 def test_near_duplicates_odd_tables(spark):
@@ -517,8 +520,8 @@ def test_pipeline(spark):
     for _, step in corpus_pipeline.STAGES[:4]:
         before, kept = kept, step(spark, kept, SF).cache()
         assert kept.columns == docs.columns and kept.count() <= before.count()
-    near = shingles.near_duplicates(docs)
-    assert near.where("component_id < doc_id").join(kept, "doc_id").count() <= near.where("component_id < doc_id").count()
+    near = shingles.near_duplicates(corpus_pipeline.STAGES[0][1](spark, docs, SF))
+    assert near.where("component_id < doc_id").count() and near.where("component_id < doc_id").join(kept, "doc_id").count() == 0
     assert queries.decontamination.contaminated(kept, spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
     found = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in found.select("doc_id").collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
