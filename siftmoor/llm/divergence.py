@@ -31,10 +31,6 @@ _COUNTS = "lang string, source string, term string, n long, docs long"
 _TOTALS = "array<struct<lang:string,source:string,n:long,terms:long>>"
 
 
-def _plain(column: pa.Array) -> pa.Array:
-    return pc.fill_null(column.cast(pa.large_string()), "")
-
-
 def _summed(parts: list[pa.Table]) -> pa.Table:
     """Partial counts with each (lang, source, term) once."""
     found = pa.concat_tables(parts).group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
@@ -43,9 +39,9 @@ def _summed(parts: list[pa.Table]) -> pa.Table:
 
 def slice_counts(batch: pa.RecordBatch) -> pa.Table:
     """Occurrences and documents of each term per language and source, and a row without a term for each group."""
-    lang, source = _plain(batch["lang"]).dictionary_encode(), _plain(batch["source"]).dictionary_encode()
+    lang, source = w.compact(batch["lang"]).dictionary_encode(), w.compact(batch["source"]).dictionary_encode()
     group = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(source.dictionary) + source.indices.to_numpy(zero_copy_only=False)
-    lists = pc.split_pattern_regex(pc.ascii_lower(_plain(batch["text"])), _GAPS)
+    lists = pc.split_pattern_regex(pc.ascii_lower(w.compact(batch["text"])), _GAPS)
     terms, doc = lists.flatten(), pc.list_parent_indices(lists)
     there = pc.not_equal(terms, "")
     terms, doc = terms.filter(there).dictionary_encode(), doc.filter(there)

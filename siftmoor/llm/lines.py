@@ -34,7 +34,7 @@ _BLANKS = " \t\n\x0b\x0c\r"
 
 def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All lines, and the index of each line's text; a null or empty text is one empty line."""
-    lists = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), "\n")
+    lists = pc.split_pattern(w.compact(texts), "\n")
     return lists.flatten(), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
 
 

@@ -11,13 +11,20 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from siftmoor.llm import divergence, lines, resampling
+from siftmoor.llm import divergence, lines, resampling, words
 
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 CLASHES = "n long, rank string, part string, shard string, term string, hi string, id string, n_lines string"
 LONG = " ".join(f"w{i % 997} x{i % 31}" for i in range(20000))
 
 
+@pytest.fixture(autouse=True, params=["one slice", "many slices"])
+def slices(request, monkeypatch):
+    """Tasks work through slices of texts; where they are cut must not matter."""
+    if request.param == "many slices":
+        monkeypatch.setattr(words.slices, "__defaults__", (2000, 1 << 16))
+
+
 def frame(spark, rows, columns):
     """Rows with further columns whose names clash with those that the operators use inside."""
     return spark.createDataFrame([(*r, 1, "a", "b", "c", "d", "e", "f", "g") for r in rows], f"{columns}, {CLASHES}").repartition(3)
