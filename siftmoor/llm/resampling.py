@@ -108,9 +108,11 @@ def feature_buckets(column: pa.Array, head: Head, buckets: int = BUCKETS) -> tup
     place = pc.fill_null(pc.index_in(words, value_set=head.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
     state = np.zeros(len(words), np.uint32)
     state[place >= 0] = head.first[place[place >= 0]]
-    spaced: dict[int, bytes] = {}
-    for i in np.flatnonzero(place < 0).tolist():
-        state[i] = zlib.crc32(words[i].as_py())
+    plain = words.to_pylist()
+    tail = np.flatnonzero(place < 0)
+    state[tail] = list(map(zlib.crc32, map(plain.__getitem__, tail.tolist())))
+    spaced = np.empty(len(plain), object)
+    spaced[:] = [b" " + x for x in plain]
     before, place = state[codes], place[codes]
     known, starts = place >= 0, np.arange(len(codes))
     found, runs = [(before % np.uint32(buckets)).astype(np.int64)], [starts]
@@ -124,10 +126,7 @@ def feature_buckets(column: pa.Array, head: Head, buckets: int = BUCKETS) -> tup
         at, to = starts[byhead], last[byhead]
         after[byhead] = head.paired(place[at], place[to]) if length == 2 else head.followed(before[at], place[to])
         rest = np.flatnonzero(~byhead)
-        ends = codes[last[rest]]
-        for code in set(np.unique(ends).tolist()) - spaced.keys():
-            spaced[code] = b" " + words[code].as_py()
-        after[rest] = np.fromiter((zlib.crc32(spaced[c], s) for c, s in zip(ends.tolist(), before[starts[rest]].tolist())), np.uint32, len(rest))
+        after[rest] = list(map(zlib.crc32, spaced[codes[last[rest]]].tolist(), before[starts[rest]].tolist()))
         found.append((after % np.uint32(buckets)).astype(np.int64))
         runs.append(starts)
         states = np.zeros(len(codes), np.uint32)
