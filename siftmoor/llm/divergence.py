@@ -1,8 +1,8 @@
 """How far the word use of each source departs from the other sources of its language, and by which terms.
 
-Tasks lower, split, dictionary-encode and group their texts with Arrow's own functions and hand on partial counts.  These meet in
-shards of (language, term), each merged once and kept as one columnar block of the terms that enough documents of the language
-hold.  Totals of the groups (language, source) come from the blocks, go to every shard as rows, and the shards compute their
+Tasks lower, split, dictionary-encode and group their texts with Arrow's own functions and hand on partial counts, packed as one
+columnar block for each shard of terms.  The blocks of a shard are merged once, into one of the terms that enough documents of
+the language hold.  Totals of the groups (language, source) come from the blocks, go to every shard as rows, and the shards compute their
 part of each divergence, so no task needs the whole vocabulary.  A shard has as many cells as terms times sources; it works in
 blocks of CELLS of them.
 
@@ -11,6 +11,7 @@ All arithmetic is on integers: a probability is a count of billionths, a diverge
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +25,9 @@ from siftmoor.llm.common import buckets_for, stage, text_size
 LEAST_DOCS, MOST_TERMS = 3, 200
 SCALE = 10**9
 CELLS = 1 << 20
-HELD_ROWS = 1 << 19
+HELD_ROWS = 1 << 18
 LEAST_SHARDS, SALTS = 64, 16
 _GAPS = "[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-_COUNTS = "lang string, source string, term string, n long, docs long"
 _TOTALS = "array<struct<lang:string,source:string,n:long,terms:long>>"
 
 
@@ -58,30 +58,51 @@ def slice_counts(batch: pa.RecordBatch) -> pa.Table:
         "n": np.concatenate([each["count_all_sum"].to_numpy(), zero]), "docs": np.concatenate([each["count_all_count"].to_numpy(), zero])})
 
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task; more than HELD_ROWS distinct ones are handed on in parts."""
-    held, rows = [], 0
-    for batch in w.slices(batches, "text"):
-        held.append(slice_counts(batch))
-        rows += len(held[-1])
-        if rows > HELD_ROWS:
-            held = [_summed(held)]
-            rows = len(held[0])
-            if 2 * rows > HELD_ROWS:
-                yield from _strings(held[0])
-                held, rows = [], 0
-    if held:
-        yield from _strings(_summed(held))
+def _packed(table: pa.Table) -> bytes:
+    """A columnar block; languages and sources as codes."""
+    table = pa.table({c: table[c].combine_chunks().dictionary_encode() if c in ("lang", "source") else table[c] for c in table.column_names})
+    block = pa.BufferOutputStream()
+    with pa.ipc.new_stream(block, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return block.getvalue().to_pybytes()
 
 
-def _strings(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    plain = [pa.field(f.name, pa.string() if pa.types.is_large_string(f.type) else f.type) for f in table.schema]
-    yield from table.cast(pa.schema(plain)).to_batches(1 << 16)
+def _unpacked(block: pa.Scalar) -> pa.Table:
+    table = pa.ipc.open_stream(block.as_buffer()).read_all()
+    return pa.table({c: table[c].cast(pa.large_string()) if c in ("lang", "source") else table[c] for c in table.column_names})
+
+
+def _by_shard(table: pa.Table, count: int) -> pa.RecordBatch:
+    """The counts as one block for each shard that has any; a term's shard follows from its bytes, groups are in the first."""
+    terms = table["term"].combine_chunks().cast(pa.large_binary()).dictionary_encode()
+    shards = np.array([*(zlib.crc32(x) % count for x in terms.dictionary.to_pylist()), 0])[pc.fill_null(terms.indices, len(terms.dictionary)).to_numpy()]
+    order, upto = w.by_bucket(shards, count)
+    table, full = table.take(pa.array(order)), np.flatnonzero(np.diff(upto))
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([_packed(table.slice(upto[i], upto[i + 1] - upto[i])) for i in full.tolist()], pa.binary())], ["shard", "block"])
+
+
+def _partial(count: int):
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of a task; more than HELD_ROWS distinct ones are handed on in parts."""
+        held, rows = [], 0
+        for batch in w.slices(batches, "text"):
+            held.append(slice_counts(batch))
+            rows += len(held[-1])
+            if rows > HELD_ROWS:
+                held = [_summed(held)]
+                rows = len(held[0])
+                if 2 * rows > HELD_ROWS:
+                    yield _by_shard(held[0], count)
+                    held, rows = [], 0
+        if held:
+            yield _by_shard(_summed(held), count)
+
+    return partial
 
 
 def _merge(least_docs: int):
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        counts = _summed([table.select(["lang", "source", "term", "n", "docs"])])
+        counts = _summed([_unpacked(x) for x in table["block"]])
         groups = counts.group_by(["lang", "source"], use_threads=False).aggregate([])
         counts = counts.filter(pc.is_valid(counts["term"])).sort_by([("lang", "ascending"), ("term", "ascending"), ("source", "ascending")])
         kept = {}
@@ -95,11 +116,8 @@ def _merge(least_docs: int):
         counts = counts.select(["lang", "source", "term", "n"])
         sums = {(r["lang"], r["source"]): r["n_sum"] for r in counts.group_by(["lang", "source"], use_threads=False).aggregate([("n", "sum")]).to_pylist()}
         totals = [{"lang": r["lang"], "source": r["source"], "n": sums.get((r["lang"], r["source"]), 0), "terms": kept.get(r["lang"], 0)} for r in groups.to_pylist()]
-        block = pa.BufferOutputStream()
-        with pa.ipc.new_stream(block, counts.schema) as out:
-            out.write_table(counts)
         kind = pa.list_(pa.struct([("lang", pa.string()), ("source", pa.string()), ("n", pa.int64()), ("terms", pa.int64())]))
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([block.getvalue().to_pybytes()], pa.binary()), "totals": pa.array([totals], kind)})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([_packed(counts)], pa.binary()), "totals": pa.array([totals], kind)})
 
     return merge
 
@@ -119,19 +137,19 @@ def _divergences(most_terms: int):
             for name, column in zip(rows, ([lang] * len(items), [source] * len(items), [part] * len(items), items, values)):
                 rows[name] += column
 
-        counts = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in blocks["block"]]) if len(blocks) else None
+        counts = _unpacked(blocks["block"][0]) if len(blocks) else None
         for lang in pc.unique(totals["lang"]).to_pylist():
             groups = totals.filter(pc.equal(totals["lang"], lang)).sort_by("source")
             sources, n = groups["source"].to_pylist(), groups["n"].to_numpy()
             terms = groups["terms"][0].as_py()
-            own = counts.filter(pc.equal(counts["lang"], lang)) if counts is not None else []
+            own = counts.filter(pc.equal(counts["lang"], pa.scalar(lang, pa.large_string()))) if counts is not None else []
             if not len(own) and key[0].as_py():
                 continue
             pairs = np.zeros((len(sources), len(sources)), np.int64)
             if len(own):
                 coded = own["term"].combine_chunks().dictionary_encode()
                 term, n_terms = coded.indices.to_numpy(), len(coded.dictionary)
-                place = pc.index_in(own["source"], value_set=groups["source"].combine_chunks()).to_numpy()
+                place = pc.index_in(own["source"], value_set=groups["source"].combine_chunks().cast(pa.large_string())).to_numpy()
                 times, step = own["n"].to_numpy(), max(1, CELLS // len(sources))
                 for low in range(0, n_terms, step):
                     inside = slice(*np.searchsorted(term, [low, low + step]))
@@ -160,10 +178,9 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     kept has pairs of value 0.  Every row is a document of its own, also if ids repeat.  Ties go to the smaller item in bytes.
     An empty table gives no rows; other columns play no part.
     """
-    count = max(LEAST_SHARDS, buckets_for(text_size(docs, text_col)))
+    count = max(LEAST_SHARDS, buckets_for(2 * text_size(docs, text_col)))
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
-    shard = F.pmod(F.xxhash64("lang", "term"), F.lit(count)).cast("int")
-    partial = rows.mapInArrow(_partial, _COUNTS).withColumn("shard", shard)
+    partial = rows.mapInArrow(_partial(count), "shard int, block binary")
     blocks = stage(partial.groupBy("shard").applyInArrow(_merge(least_docs), f"shard int, block binary, totals {_TOTALS}"), "term-blocks")
     groups = blocks.select(F.explode("totals").alias("t"), "shard").select("t.*", "shard")
     kept = groups.select("lang", "shard", "terms").distinct().groupBy("lang").agg(F.sum("terms").alias("terms"))
