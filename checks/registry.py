@@ -157,7 +157,9 @@ def _by_rule(hits: DataFrame, spark) -> DataFrame:
 
 
 def _rule_matches(spark, table) -> DataFrame:
-    found = _detected(table, hits=lambda anchors: rule_hits(rule_patterns(default_rules()), anchors))
+    patterns = rule_patterns(default_rules())
+    anchors = Anchors(patterns)
+    found = computed_once(with_lines(table, anchors, code=False), {"hits": rule_hits(patterns, anchors)})
     return _by_rule(found.select("repo_id", "path", F.inline("hits")), spark)
 
 

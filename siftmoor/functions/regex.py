@@ -17,15 +17,20 @@ WORD = r"\p{L}\p{N}_"
 _EDGE = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 _OUTSIDE = {"s": f"[{SPACE}]", "S": f"[^{SPACE}]", "w": f"[{WORD}]", "W": f"[^{WORD}]", "b": _EDGE, "B": f"(?!{_EDGE})(?!^$)", "Z": r"\z"}
 _INSIDE = {"s": SPACE, "w": WORD, "S": f"[^{SPACE}]", "W": f"[^{WORD}]", "b": r"\x08"}
+# The same for a search in a whole text, where no match may run over a line end.
+_OUTSIDE_LINE = {**_OUTSIDE, "s": f"[{SPACE}&&[^\\n]]", "W": f"[^{WORD}\\n]", "D": r"[^\d\n]"}
+_LINE_CLASS = re.compile(r"[\\\x00-\x1f]")
 _REPEAT = re.compile(r"\{(\d*)(,?)(\d*)\}")
 _CODE_POINT = re.compile(r"\\(?:U([0-9a-fA-F]{8})|0([0-7]{0,2}))")
 
 
-def to_java(pattern: str, flags: str = FLAGS) -> str:
+def to_java(pattern: str, flags: str = FLAGS, in_text: bool = False) -> str:
+    """The Java pattern; with ``in_text`` one that searches a text of several lines for matches within a line."""
     # named groups: Java writes (?<n>...) and \\k<n>, with letters and digits only
     pattern = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', 'u')}>", pattern)
     pattern = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{m[1].replace('_', 'u')}>", pattern)
     out, in_class, i = [], False, 0
+    opened, negated = 0, False
     while i < len(pattern):
         ch = pattern[i]
         if code := _CODE_POINT.match(pattern, i):
@@ -42,7 +47,7 @@ def to_java(pattern: str, flags: str = FLAGS) -> str:
             i = count.end() if repeats else i + 1
             continue
         if ch == "\\" and i + 1 < len(pattern):
-            table = _INSIDE if in_class else _OUTSIDE
+            table = _INSIDE if in_class else _OUTSIDE_LINE if in_text else _OUTSIDE
             out.append(table.get(pattern[i + 1], pattern[i:i + 2]))
             i += 2
             continue
@@ -51,9 +56,11 @@ def to_java(pattern: str, flags: str = FLAGS) -> str:
         elif ch == "&" and in_class:
             out.append("\\&")          # Java reads && as an intersection
         else:
+            if ch == "]" and in_class and in_text and (negated or _LINE_CLASS.search(pattern, opened, i)):
+                out.append("\\n" if negated else r"&&[^\n]")
             out.append(ch)
             if ch == "[":
-                in_class = True
+                in_class, opened, negated = True, i + 1, pattern.startswith("^", i + 1)
                 for lead in ("^", "]"):       # a leading "]" is an ordinary character
                     if pattern.startswith(lead, i + 1):
                         out.append(lead if lead == "^" else "\\]")
@@ -76,7 +83,7 @@ class Prepared:
     anchors: tuple[str, ...]   # lower-case ASCII texts; a match contains at least one of them; () = unknown
     parts: tuple               # further such groups of texts
     always: bool               # matches every line, the empty one included
-    spans_lines: bool          # could run across line ends when searched in a whole text
+    in_text: str | None        # searches a whole text for matches within a line; None where that cannot be written
 
 
 @lru_cache(maxsize=10_000)
@@ -95,7 +102,10 @@ def prepare(pattern: str, kind: str) -> Prepared | None:
     groups = [] if always else _required(tree)
     anchors = _best(groups)
     parts = tuple(dict.fromkeys(group for group in groups if group != anchors))
-    return Prepared(java, anchors, parts, always, _spans_lines(tree))
+    in_text = None
+    if tree.getwidth()[0] and not tree.state.flags & (re.DOTALL | re.VERBOSE) and not _sees_text(tree):
+        in_text = "(?m)" + (to_java(pattern, in_text=True) if kind == "regex" else java)
+    return Prepared(java, anchors, parts, always, in_text)
 
 
 _LOOPS = (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT)
@@ -124,14 +134,16 @@ def _has_assertion(tree) -> bool:
     return any(op not in plain or any(_has_assertion(c) for c in _children(op, arg)) for op, arg in tree)
 
 
-def _spans_lines(tree) -> bool:
+def _sees_text(tree) -> bool:
+    """The pattern names a line end, the edge of the searched text, or lets a point match line ends."""
     for op, arg in tree:
-        if op is sre.NOT_LITERAL or op not in (sre.LITERAL, sre.ANY, sre.AT, sre.IN, sre.BRANCH,
-                                               sre.SUBPATTERN, *_LOOPS):
+        if op is sre.LITERAL and arg == ord("\n") or op is sre.AT and arg in (sre.AT_BEGINNING_STRING, sre.AT_END_STRING):
             return True
-        if op is sre.IN and any(kind not in (sre.LITERAL, sre.RANGE) for kind, _ in arg):
+        if op is sre.IN and arg[0][0] is not sre.NEGATE and (sre.LITERAL, ord("\n")) in arg:
             return True
-        if any(_spans_lines(child) for child in _children(op, arg)):
+        if op is sre.SUBPATTERN and arg[1] & (re.DOTALL | re.VERBOSE):
+            return True
+        if any(_sees_text(child) for child in _children(op, arg)):
             return True
     return False
 

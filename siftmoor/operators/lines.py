@@ -8,22 +8,23 @@ from siftmoor.functions.text import fold_case, split_lines, starts_with_any, str
 from siftmoor.operators.anchors import Anchors
 
 
-def with_lines(file_text: DataFrame, anchors: Anchors | None = None) -> DataFrame:
+def with_lines(file_text: DataFrame, anchors: Anchors | None = None, code: bool = True) -> DataFrame:
     """Adds the columns all detectors read, computed once per file.
 
     ``lines``; ``code``, the ``array<struct<n, s>>`` of the stripped lines that are
     neither empty nor a comment, with their numbers; ``lowered``, the lower-case
     text; ``folded``, for substring tests without regard to case; ``found``, the
-    anchors that occur.  Without anchors, ``lines`` and ``code`` alone.
+    anchors that occur.  Without anchors, ``lines`` and ``code`` alone; rules do
+    without ``code``.
     """
     numbered = F.transform("lines", lambda line, i: F.struct((i + 1).alias("n"), strip(line).alias("s")))
-    code = F.filter(numbered, lambda x: is_code(x["s"]))
+    code_lines = {"code": F.filter(numbered, lambda x: is_code(x["s"]))} if code else {}
     split = {"lines": split_lines(F.col("text"))}
     if anchors is None:
-        return computed_once(computed_once(file_text, split), {"code": code})
+        return computed_once(computed_once(file_text, split), code_lines)
     shared = computed_once(
         computed_once(file_text, {**split, "lowered": F.lower("text")}),
-        {"code": code, "folded": fold_case(F.col("lowered"))})
+        {**code_lines, "folded": fold_case(F.col("lowered"))})
     return computed_once(shared, {"found": anchors.found()})
 
 

@@ -2,99 +2,111 @@
 
 Two plans with the same result:
 
-* ``rule_hits`` writes every pattern into the plan as a literal.  A file meets a
+* ``rule_hits`` has the patterns as a constant of the plan.  A file meets a
   pattern's regular expression only if its text contains one of the pattern's
-  anchors (texts that every match contains), and nothing is shuffled.
-* ``matches_by_join`` keeps the patterns as rows: a join on the language with a
-  regular-expression condition, then the first line per (file, pattern).  It
-  serves catalogues of thousands of patterns, too large to be written into a plan.
+  anchors (texts that every match contains), and nothing is shuffled.  The pattern
+  is searched once in the whole text; the line ends before the first match give
+  its line.
+* ``matches_by_join`` keeps the patterns as rows of an inverted index: the rarest
+  gram (up to GRAM bytes) of each anchor.  Lines are joined on the grams they
+  contain, so a line meets only patterns of which it has an anchor's gram; anchors
+  and regular expression decide, then the first line per (file, pattern).  It
+  serves catalogues too large for a constant.  Patterns without anchors cannot be
+  indexed and stay in the constant.
 
 A rule for a language and for all languages is in both lists, so a file of that
 language gets a hit of each.
 """
 
+import json
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftmoor.fixed import detectors as fx
+from siftmoor.functions.regex import rare_start
 from siftmoor.functions.text import fold_case, sql_text
 from siftmoor.operators.anchors import Anchors
+from siftmoor.operators.grams import GRAM, gram_number, indexed_lines
 from siftmoor.operators.hits import HIT, RULES, no_hits
-from siftmoor.operators.lines import lines as explode_lines
+from siftmoor.operators.lines import with_lines
 from siftmoor.sources.catalogue import RulePattern
 
-JOIN_PATTERNS = 5000           # rows per broadcast; larger catalogues are joined in several passes
-SHORT_ANCHOR = 3
-
-
-def _list_ords(languages: tuple[str, ...]) -> str:
-    """The lists a rule is in for a file: 0 is that of the file's language, 1 that for all languages."""
-    own = [name for name in languages if name != "all"]
-    if "all" not in languages:
-        return "array(0)"
-    return f"CASE WHEN language IN ({', '.join(map(sql_text, own))}) THEN array(0, 1) ELSE array(1) END" if own else "array(1)"
-
-
-def _first_line(p: RulePattern, anchors: Anchors) -> str:
-    """SQL for the number of the first matching line; null or 0 without one."""
-    if p.prepared.always:
-        return "least(size(lines), 1)"
-    guard = anchors.may_match(p.prepared)
-    if min(map(len, p.prepared.anchors), default=0) < SHORT_ANCHOR and not p.prepared.spans_lines:
-        guard += f" AND text RLIKE {sql_text('(?m)' + p.prepared.java)}"
-    first = f"array_position(transform(lines, l -> l RLIKE {sql_text(p.prepared.java)}), true)"
-    return f"CASE WHEN {guard} THEN CAST({first} AS INT) END"
-
-
-def _group_hits(members: list[RulePattern], anchors: Anchors) -> Column:
-    """Hits of patterns whose rules share a language list."""
-    languages = members[0].rule.languages
-    applies = "true" if "all" in languages else f"language IN ({', '.join(map(sql_text, languages))})"
-    tries = ", ".join(
-        f"named_struct('rule_ord', {p.rule.rule_ord}, 'pattern_ord', {p.pattern_ord}, 'pattern', {sql_text(p.pattern)}, "
-        f"'n', {_first_line(p, anchors)})"
-        for p in members)
-    as_hit = (
-        f"CAST(struct({RULES}, o, x.rule_ord, x.pattern_ord, x.rule_ord, x.n, "
-        f"substring(get(lines, x.n - 1), 1, {fx.RULE_LINE_CHARS}), x.pattern, null, null, null) AS {HIT})")
-    return F.expr(
-        f"CASE WHEN {applies} THEN flatten(transform(filter(array({tries}), x -> x.n > 0), x -> transform({_list_ords(languages)}, o -> {as_hit}))) "
-        f"ELSE CAST(array() AS array<{HIT}>) END")
+BROADCAST_GRAMS = 20_000       # index rows that are broadcast; larger indexes are shuffled by gram
 
 
-def rule_hits(patterns: list[RulePattern], anchors: Anchors) -> Column:
-    """``array<hit>`` of a file; needs the columns of ``with_lines``."""
-    groups = defaultdict(list)
-    for p in patterns:
-        groups[p.rule.languages].append(p)
-    return F.concat(*[_group_hits(members, anchors) for members in groups.values()]) if groups else no_hits()
+def _literal(value, schema: str) -> str:
+    """A constant of nested type as SQL: one JSON text, read once while the plan is made."""
+    return f"from_json({sql_text(json.dumps(value, ensure_ascii=False))}, {sql_text(schema)})"
 
 
-def matches_by_join(file_text: DataFrame, patterns: list[RulePattern]) -> DataFrame:
-    """(repo_id, path, hit) by a join of lines and patterns.
+# SQL for the number of the first matching line of pattern x; null or 0 without one.  The text before the first match
+# has as many line ends as there are lines before it.
+_FIRST_LINE = (
+    "CASE WHEN x.always THEN least(size(lines), 1) "
+    "WHEN x.in_text IS NULL THEN CAST(array_position(transform(lines, l -> l RLIKE x.java), true) AS INT) "
+    "WHEN text RLIKE x.in_text THEN size(split(get(split(text, x.in_text, 2), 0), '\\n', -1)) END")
+_APPLIES = "arrays_overlap(x.languages, array(language, 'all')) AND forall(x.parts, g -> exists(g, t -> contains(folded, t)))"
+# The lists a rule is in for a file: 0 is that of the file's language, 1 that for all languages.
+_LISTS = (
+    "filter(array(CASE WHEN language <> 'all' AND array_contains(y.x.languages, language) THEN 0 END, "
+    "CASE WHEN array_contains(y.x.languages, 'all') THEN 1 END), o -> o IS NOT NULL)")
+_PATTERN = (
+    "struct<rule_ord:int,pattern_ord:int,pattern:string,languages:array<string>,parts:array<array<string>>,"
+    "always:boolean,in_text:string,java:string>")
+
+
+def rule_hits(patterns: list[RulePattern], anchors: Anchors) -> Column:
+    """``array<hit>`` of a file; needs the columns of ``with_lines``.
 
-    A line meets the rules of its language and those for all languages; the regular
-    expression is tried only where one of the pattern's anchors is in the line.
+    The anchors that occur in the file lead to the patterns that may match, so the work of a file grows with these and
+    not with the catalogue.
     """
-    schema = ("list string, list_ord int, rule_ord int, pattern_ord int, pattern string, regex string, "
-              "anchors array<string>")
-    rows = [
-        (name, int(name == "all"), p.rule.rule_ord, p.pattern_ord, p.pattern, p.prepared.java, list(p.prepared.anchors))
-        for p in patterns for name in dict.fromkeys(p.rule.languages)
-    ]
-    per_line = explode_lines(file_text).select(
-        "*", fold_case(F.lower("line")).alias("folded"), F.explode(F.array("language", F.lit("all"))).alias("list"))
-    matches = F.expr("(size(anchors) = 0 OR exists(anchors, a -> contains(folded, a))) AND line RLIKE regex")
-    matched = None
-    for start in range(0, max(len(rows), 1), JOIN_PATTERNS):
-        table = file_text.sparkSession.createDataFrame(rows[start:start + JOIN_PATTERNS], schema)
-        part = per_line.join(F.broadcast(table), "list").where(matches)      # at most JOIN_PATTERNS rows
-        matched = part if matched is None else matched.unionByName(part)
-    first = matched.groupBy("repo_id", "path", "list_ord", "rule_ord", "pattern_ord", "pattern").agg(
-        F.min_by(F.struct("line_number", F.substring("line", 1, fx.RULE_LINE_CHARS).alias("line")),
-                 "line_number").alias("m"))
+    if not patterns:
+        return no_hits()
+    by_anchor, without = defaultdict(list), []
+    for i, p in enumerate(patterns):
+        for anchor in sorted({rare_start(a) for a in p.prepared.anchors}):
+            by_anchor[anchor].append(i)
+        if not p.prepared.anchors:
+            without.append(i)
+    table = _literal([
+        {"rule_ord": p.rule.rule_ord, "pattern_ord": p.pattern_ord, "pattern": p.pattern, "languages": p.rule.languages, "parts": p.prepared.parts,
+         "always": p.prepared.always, "in_text": p.prepared.in_text, "java": p.prepared.java} for p in patterns], f"array<{_PATTERN}>")
+    found = f"flatten(transform(found, a -> coalesce(try_element_at({_literal(by_anchor, 'map<string,array<int>>')}, a), array())))"
+    ids = f"array_distinct(concat({_literal(without, 'array<int>')}, {found}))"
+    may_match = f"filter(transform({ids}, i -> get({table}, i)), x -> {_APPLIES})"
+    matches = f"filter(transform({may_match}, x -> named_struct('x', x, 'n', {_FIRST_LINE})), y -> y.n > 0)"
+    as_hit = (
+        f"CAST(struct({RULES}, o, y.x.rule_ord, y.x.pattern_ord, y.x.rule_ord, y.n, "
+        f"substring(get(lines, y.n - 1), 1, {fx.RULE_LINE_CHARS}), y.x.pattern, null, null, null) AS {HIT})")
+    return F.expr(f"coalesce(flatten(transform({matches}, y -> transform({_LISTS}, o -> {as_hit}))), CAST(array() AS array<{HIT}>))")
+
+
+def _index_grams(texts: tuple[str, ...]) -> list[int]:
+    """One gram of each text: its rarest GRAM bytes, or a shorter text as a whole."""
+    return sorted({gram_number(rare_start(text, GRAM)[:GRAM].encode()) for text in texts})
+
+
+def matches_by_join(file_text: DataFrame, patterns: list[RulePattern]) -> DataFrame:
+    """(repo_id, path, hit) by a join of the grams of lines and patterns."""
+    spark = file_text.sparkSession
+    plain = [p for p in patterns if not p.prepared.anchors]
+    anchors = Anchors(plain)
+    hits = with_lines(file_text, anchors, code=False).select("repo_id", "path", F.explode(rule_hits(plain, anchors)).alias("hit"))
+    rows = [(gram, p.rule.rule_ord, p.pattern_ord, p.pattern, p.prepared.java, list(p.prepared.anchors), list(p.rule.languages))
+            for p in patterns if p.prepared.anchors for gram in _index_grams(p.prepared.anchors)]
+    if not rows:
+        return hits
+    index = spark.createDataFrame(rows, "gram long, rule_ord int, pattern_ord int, pattern string, regex string, anchors array<string>, languages array<string>")
+    per_line = indexed_lines(file_text, sorted({row[0] for row in rows})).withColumn("folded", fold_case(F.lower("line")))
+    matches = F.expr("arrays_overlap(languages, array(language, 'all')) AND exists(anchors, a -> contains(folded, a)) AND line RLIKE regex")
+    met = per_line.join(F.broadcast(index) if len(rows) <= BROADCAST_GRAMS else index, "gram").where(matches)
+    lists = F.filter(F.array(F.when(F.array_contains("languages", F.col("language")) & (F.col("language") != "all"), 0),
+                             F.when(F.array_contains("languages", F.lit("all")), 1)), lambda o: o.isNotNull())
+    first = met.withColumn("list_ord", F.explode(lists)).groupBy("repo_id", "path", "list_ord", "rule_ord", "pattern_ord", "pattern").agg(
+        F.min_by(F.struct("line_number", F.substring("line", 1, fx.RULE_LINE_CHARS).alias("line")), "line_number").alias("m"))
     none = F.lit(None)
-    return first.select("repo_id", "path", F.struct(
+    return hits.unionByName(first.select("repo_id", "path", F.struct(
         F.lit(RULES), "list_ord", "rule_ord", "pattern_ord", "rule_ord", "m.line_number", "m.line", "pattern",
-        none, none, none).cast(HIT).alias("hit"))
+        none, none, none).cast(HIT).alias("hit")))

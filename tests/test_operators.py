@@ -3,6 +3,7 @@
 import io
 import json
 import math
+import random
 import re
 import zipfile
 from collections import Counter
@@ -16,8 +17,8 @@ from siftmoor.functions import urls
 from siftmoor.functions.entropy import shannon, shannon_at_least
 from siftmoor.functions.numbers import human_size, round_one
 from siftmoor.functions.regex import prepare, rare_start, to_java
-from siftmoor.functions.text import WHITESPACE, fold_case, shorten_path, split_lines, strip, unix_newlines
-from siftmoor.operators import admission, network
+from siftmoor.functions.text import WHITESPACE, fold_case, shorten_path, split_lines, sql_text, strip, unix_newlines
+from siftmoor.operators import admission, grams, network
 from siftmoor.operators.anchors import Anchors
 from siftmoor.operators.lines import with_lines
 from siftmoor.operators.rules import matches_by_join, rule_hits
@@ -110,10 +111,48 @@ def test_pattern_properties():
     assert prepare(":|", "regex").always and not prepare("^$", "regex").always
     assert prepare(r"import\s+mss", "regex").anchors == ("import",)
     assert prepare(r"\b(4444|5555)\b", "regex").anchors == ("4444", "5555")
-    assert prepare(r"[^)]*x", "regex").spans_lines and not prepare("a.*b", "regex").spans_lines
+    assert prepare(r"[^)]*x", "regex").in_text and prepare("a.*b", "regex").in_text
+    assert [prepare(p, "regex").in_text for p in (r"a\nb", r"\Ax", r"x\Z", r"(?s)a.b", r"(?s:a.b)", "x?", "^$", r"(?:x|\n)y")] == [None] * 8
+
+
+def test_first_line_by_position(spark):
+    """A search of the whole text finds the line that a search of each line finds first."""
+    rng = random.Random(3)
+    odd = [r"[^x]y", r"[^x\s]y", r"x\sy", r"x\s*y", r"[\s]y", r"x\Wy", r"x[\W]y", r"x\Dy", r"[^\S]y", r"[^\W]y", r"[\S]y", r"^y", r"x$", r"^x\b.*y$", r"x(?!y)", r"(?<!x)y",
+           r"x[\x00-\x20]y", r"[!-~]y", r"(x)\1", r"x.y", r"\by\b", r"\Bx", r"x[^]y]x", r"x[]\s]y", r"[&\s]x", r"x\Sy", "(?i)xY", r"x{2,}y?", r"(?=x)\w+y"]
+    catalogue = [p for p in rule_patterns(default_rules()) if p.prepared.in_text]
+    assert len(catalogue) >= 298
+    pieces = ["x", "y", " ", "\t", "xx", "xy", "é", "😀", "\u2028", "\x85", "-", "1", "_", "&", "]", ""]
+    texts = ["\n".join("".join(rng.choice(pieces) for _ in range(rng.randrange(5))) for _ in range(rng.randrange(1, 7))) + rng.choice(["", "\n", "\n\n"]) for _ in range(400)]
+    hints = [re.sub(r"\\[sSwWdDbB]?|[\[\](){}?+*^$]", rng.choice([" ", "", "\n"]), p.pattern) for p in catalogue]
+    texts += ["\n".join(["é😀", a, "x", b]) for a, b in zip(hints, hints[1:])] + hints
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)
+    sources = [(p, prepare(p, "regex").in_text) for p in odd] + [(p.pattern if p.type == "regex" else re.escape(p.pattern), p.prepared.in_text) for p in catalogue]
+    for start in range(0, len(sources), 60):
+        part = sources[start:start + 60]
+        numbers = [F.expr(f"CASE WHEN text RLIKE {sql_text(q)} THEN size(split(get(split(text, {sql_text(q)}, 2), 0), '\\n', -1)) END") for _, q in part]
+        for row in frame.select("text", F.array(*numbers).alias("n")).collect():
+            lines = row.text.split("\n")
+            lines = lines[:-1] if lines[-1] == "" else lines
+            for (source, _), n in zip(part, row.n):
+                assert n == next((i + 1 for i, line in enumerate(lines) if re.search(source, line, re.IGNORECASE)), None), (source, row.text)
     assert "socket".endswith(rare_start("socket"))
 
 
+def test_lines_that_hold_indexed_grams(spark, file_text, monkeypatch):
+    """Every (line, gram) once; grams do not run over line ends or from file to file."""
+    monkeypatch.setattr(grams, "SLICE_BYTES", 40)
+    rng = random.Random(8)
+    keys = ["abcd", "bcde", "ab", "x", "cab", "ékm"[1:], "zzzz"]
+    texts = ["", "ab", "a\nbcd", "abcd" * 30, "ABCD\nſx\n\n", "\n\nab\n", None, "\u212am"] + [
+        "".join(rng.choice("abcde\nX é😀") for _ in range(rng.randrange(60))) for _ in range(200)]
+    table = file_text([("r", str(i), "go", t) for i, t in enumerate(texts)]).repartition(3)
+    rows = [(r.path, r.line_number, r.line, r.gram) for r in grams.indexed_lines(table, [grams.gram_number(k.encode()) for k in keys]).collect()]
+    want = {(str(i), n + 1, line, grams.gram_number(k.encode())) for i, t in enumerate(texts) for n, line in enumerate((t or "").split("\n"))
+            for k in keys if k in line.lower().replace("ſ", "s")}
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
 # --- catalogue ------------------------------------------------------------------------------------
 def test_catalogue_counts(spark):
     rules = default_rules()

@@ -215,8 +215,8 @@ def test_findings_of_unstaged_plan(spark, file_text, found):
 
 
 def test_large_catalogues_are_joined(spark, file_text, files, monkeypatch):
-    """Patterns as rows give the same results, here in chunks of 100 patterns."""
-    monkeypatch.setattr("siftmoor.operators.rules.JOIN_PATTERNS", 100)
+    """Patterns as rows give the same results, here with an index too large for a broadcast."""
+    monkeypatch.setattr("siftmoor.operators.rules.BROADCAST_GRAMS", 100)
     joined = scan(file_text(FILES), stage=False, plan="join").files.collect()
     columns = ["risk_score", "finding_count", "top_finding_id"]
     assert {(r.repo_id, r.path): [r[c] for c in columns] for r in joined} == {
