@@ -19,8 +19,8 @@ from siftmoor.operators.merge import findings, raw_findings
 from siftmoor.operators.permissions import permission_hits, permission_labels
 from siftmoor.operators.rulebook import rule_book
 from siftmoor.operators.rules import matches_by_join, rule_hits
-from siftmoor.plans.scan import analyze
-from siftmoor.sources.catalogue import default_rules, rule_patterns, rules_table
+from siftmoor.plans.scan import analyze, scan
+from siftmoor.sources.catalogue import categories, default_rules, languages, rule_patterns, rules_by_category, rules_for_language, rules_table
 
 QUERIES, ORACLE = {}, {}
 
@@ -452,6 +452,41 @@ def repos_without_files(spark, sf_dir):
         F.col("repo_id").startswith("conversation/"), F.col("summary_message")).alias("note"))
 
 
+# --- whole scans -------------------------------------------------------------------------------
+def _whole_sql(findings: str = "findings", files: str = "files", repos: str = "repos") -> str:
+    return (
+        "SELECT 'finding' AS result, repo_id, path, rule_id AS name, line_number::BIGINT AS number, round(eff, 6) AS value, "
+        f"matched_pattern AS text FROM {findings} UNION ALL SELECT 'file', repo_id, path, {o.level('risk_score')}, finding_count::BIGINT, "
+        f"round(risk_score, 6), top_finding_id FROM {files} UNION ALL "
+        f"SELECT 'repo', repo_id, NULL, verdict, total_findings::BIGINT, round(score, 6), risk_level FROM {repos}")
+
+
+def _whole(spark, sf_dir, source, **options) -> DataFrame:
+    """Findings, files and repositories of one scan, as one relation."""
+    rows = scan(source(spark, sf_dir), stage=False, **options).whole()
+    return rows.select(
+        "result", "repo_id", "path", F.coalesce("finding.rule_id", "file.severity_label", "repo.verdict").alias("name"),
+        F.coalesce("finding.line_number", "file.finding_count", "repo.total_findings").cast("long").alias("number"),
+        F.round(F.coalesce("finding.effective_weight", "file.risk_score", "repo.overall_risk_score"), 6).alias("value"),
+        F.when(F.col("result") == "finding", F.col("finding.matched_pattern")).when(
+            F.col("result") == "file", F.col("file.top_finding_id")).otherwise(F.col("repo.risk_level")).alias("text"))
+
+
+@query(o.SEEDED + o.SCAN, _whole_sql())
+def whole_scan(spark, sf_dir):
+    return _whole(spark, sf_dir, corpus.seeded)
+
+
+@query(o.PROGRAMS + o.DEEP_SCAN, _whole_sql())
+def whole_deep_scan(spark, sf_dir):
+    return _whole(spark, sf_dir, corpus.programs, deep=True)
+
+
+@query(o.SEEDED + o.SCAN, _whole_sql())
+def whole_scan_by_join(spark, sf_dir):
+    return _whole(spark, sf_dir, corpus.seeded, plan="join")
+
+
 # --- report views ------------------------------------------------------------------------------
 @query(o.SEEDED + o.SCAN, "SELECT repo_id, place, path, CASE WHEN length(path) > 40 THEN '...' || right(path, 37) ELSE path "
        f"END AS shown_path, upper({o.level('risk_score')}) AS severity, round(risk_score, 6) AS risk_score, "

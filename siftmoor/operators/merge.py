@@ -50,9 +50,14 @@ def rank(weighed: DataFrame) -> DataFrame:
     findings that are otherwise equal.  ``occurrence`` counts the kept findings of
     a rule in the file from the heaviest on.
     """
+    return rank_in_place(weighed.repartition(*FILE))
+
+
+def rank_in_place(weighed: DataFrame) -> DataFrame:
+    """``rank`` of hits of which those of one file already share a partition."""
     key = Window.partitionBy(*FILE, line_key(), "category").orderBy(F.desc("effective_weight"), *SEQ)
     whole = key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    placed = weighed.repartition(*FILE).withColumns({
+    placed = weighed.withColumns({
         "place": F.row_number().over(key), "key_seq": F.min(F.struct(*SEQ)).over(whole)})
     kept = (F.col("place") == 1) & F.col("rule_id").isNotNull()
     rule = Window.partitionBy(*FILE, kept, "rule_id").orderBy(F.desc("effective_weight"), "line_number", "key_seq")
@@ -72,8 +77,24 @@ def raw_findings(analysis: DataFrame, book: DataFrame) -> DataFrame:
     return with_texts(weigh(hits, book), book).select(*FINDING_COLUMNS, *SEQ)
 
 
+def shared(rows: DataFrame) -> DataFrame:
+    """Rows of one file brought together, for several results to read.
+
+    The columns travel as one value, which the optimizer cannot cut to what a single
+    result needs; so all results of a plan have the same shuffle in them, which runs
+    once, and everything below it as well.
+    """
+    columns = F.struct(*[c for c in rows.columns if c not in FILE])
+    packed = rows.select(*FILE, F.array(columns).alias("packed")).repartition(*FILE)
+    return packed.select(*FILE, F.inline("packed"))
+
+
 def findings(analysis: DataFrame, book: DataFrame) -> DataFrame:
     """Merged findings.  Order within a file: line_number, effective_weight descending, key_seq."""
     hits = analysis.select(*FILE, F.inline("hits"))
-    kept = rank(weigh(hits, book)).where("kept")
-    return with_texts(kept, book).select(*FINDING_COLUMNS, "key_seq", "occurrence")
+    return kept_findings(rank(weigh(hits, book)), book)
+
+
+def kept_findings(ranked: DataFrame, book: DataFrame) -> DataFrame:
+    """The findings among ranked hits."""
+    return with_texts(ranked.where("kept"), book).select(*FINDING_COLUMNS, "key_seq", "occurrence")

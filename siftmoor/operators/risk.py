@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftmoor.fixed import detectors as fx
 from siftmoor.operators.hits import HIT
-from siftmoor.operators.merge import FILE, rank, weigh
+from siftmoor.operators.merge import FILE, SEQ, rank, weigh
 
 FILE_FIELDS = ["language", "file_size", "line_count", "scan_error", "obfuscation_score",
                "permissions_detected", "network_indicators"]
@@ -43,8 +43,8 @@ def verdict_message(key: Column, critical: Column, permissions: Column) -> Colum
         F.concat(F.lit("\nRecommendation: "), advice))
 
 
-def file_results(analysis: DataFrame, book: DataFrame) -> DataFrame:
-    """One row per file: score, counts, top finding and the file's own columns.
+def file_and_hit_rows(analysis: DataFrame) -> DataFrame:
+    """One row per file with its own columns (``file``) and one row per hit.
 
     A file's own columns travel once, as a row next to the rows of its hits, so hits
     and files need no join.
@@ -53,9 +53,17 @@ def file_results(analysis: DataFrame, book: DataFrame) -> DataFrame:
     file_row = F.struct(own.alias("file"), F.lit(None).cast(HIT).alias("hit"))
     no_file = F.when(F.lit(False), own)
     hit_rows = F.transform("hits", lambda hit: F.struct(no_file.alias("file"), hit.alias("hit")))
-    rows = analysis.select(*FILE, F.inline_outer(F.concat(F.array(file_row), hit_rows))).select(
-        *FILE, "file", "hit.a", "hit.k1", "hit.k2", "hit.k3", "hit.def_id", "hit.line_number", "hit.confidence")
-    ranked = rank(weigh(rows, book))
+    return analysis.select(*FILE, F.inline_outer(F.concat(F.array(file_row), hit_rows))).select(*FILE, "file", "hit.*")
+
+
+def file_results(analysis: DataFrame, book: DataFrame) -> DataFrame:
+    """One row per file: score, counts, top finding and the file's own columns."""
+    rows = file_and_hit_rows(analysis).select(*FILE, "file", *SEQ, "def_id", "line_number", "confidence")
+    return scored_files(rank(weigh(rows, book)))
+
+
+def scored_files(ranked: DataFrame) -> DataFrame:
+    """``file_results`` of ranked hits and file rows."""
     counted = F.col("effective_weight") * frequency_factor(F.col("occurrence"))
     scored = ranked.groupBy(*FILE).agg(
         F.coalesce(F.sum(F.when(F.col("kept"), counted)), F.lit(0.0)).alias("points"),

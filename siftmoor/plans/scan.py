@@ -10,10 +10,10 @@ from siftmoor.operators.combos import combo_hits
 from siftmoor.operators.entropy import elevated_strings, entropy_hits, obfuscation_score
 from siftmoor.operators.hits import no_hits
 from siftmoor.operators.lines import with_lines
-from siftmoor.operators.merge import FILE, findings
+from siftmoor.operators.merge import FILE, kept_findings, rank_in_place, shared, weigh
 from siftmoor.operators.network import network_hits, network_indicators, network_items
 from siftmoor.operators.permissions import permission_hits, permission_labels
-from siftmoor.operators.risk import file_results, repo_results
+from siftmoor.operators.risk import file_and_hit_rows, repo_results, scored_files
 from siftmoor.operators.rulebook import rule_book
 from siftmoor.operators.rules import matches_by_join, rule_hits
 from siftmoor.operators.syntax import syntax_facts, syntax_hits
@@ -73,14 +73,28 @@ class Scan:
     files: DataFrame
     repos: DataFrame
 
+    def whole(self) -> DataFrame:
+        """All results as one relation: ``result`` says which of ``finding``, ``file`` and ``repo`` a row has.
+
+        Its plan reads the texts once, with or without a shared folder.
+        """
+        parts = [
+            table.select(F.lit(name).alias("result"), "repo_id", F.col("path") if "path" in table.columns else F.lit(None).cast("string").alias("path"),
+                         F.struct(*[c for c in table.columns if c not in FILE]).alias(name))
+            for name, table in (("finding", self.findings), ("file", self.files), ("repo", self.repos))]
+        both = parts[0].unionByName(parts[1], allowMissingColumns=True)
+        return both.unionByName(parts[2], allowMissingColumns=True)
+
 
 def scan(file_text: DataFrame, rules: list[Rule] | None = None, deep: bool = False,
          repos: DataFrame | None = None, literal_mode: str = "strict", stage: bool = True, plan: str = "literal") -> Scan:
     """All results of a scan.
 
-    With ``stage`` the hits (small next to the texts) are written once to the shared
-    folder of ``spark.checkpoint.dir`` and all results read them; otherwise, or where
-    no folder is set, each result stands on its own plan.
+    The hits (small next to the texts) are shuffled once by file, and findings, file
+    scores and verdicts all start from there.  With ``stage`` the hits are also
+    written once to the shared folder of ``spark.checkpoint.dir``, so that results
+    that run as separate jobs read them; without, or where no folder is set, each
+    job scans the texts once, and ``Scan.whole`` gives all results in one job.
     """
     spark = file_text.sparkSession
     catalogue = default_rules() if rules is None else rules
@@ -88,13 +102,19 @@ def scan(file_text: DataFrame, rules: list[Rule] | None = None, deep: bool = Fal
     analysis = analyze(file_text, catalogue, deep, literal_mode, plan)
     if stage:
         analysis = staged(analysis, "analysis")
-    files = file_results(analysis, book)
+    ranked = rank_in_place(shared(weigh(file_and_hit_rows(analysis), book)))
+    files = scored_files(ranked)
     if stage:
         files = staged(files, "files")
-    return Scan(analysis, findings(analysis, book), files, repo_results(files, repos))
+    return Scan(analysis, kept_findings(ranked, book), files, repo_results(files, repos))
 
 
 def write_scan(result: Scan, target: str) -> None:
     """Writes ``findings``, ``files`` and ``repos`` as parquet tables below ``target``."""
     for name in ("findings", "files", "repos"):
         getattr(result, name).write.mode("errorifexists").parquet(f"{target}/{name}")
+
+
+def write_whole(result: Scan, target: str) -> None:
+    """Writes all results in one job, with a folder below ``target`` for each kind."""
+    result.whole().write.mode("errorifexists").partitionBy("result").parquet(target)

@@ -1,12 +1,14 @@
 """Hand-derived results of whole scans."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from siftmoor.operators import report, risk
 from siftmoor.operators.merge import findings
 from siftmoor.operators.rulebook import rule_book
-from siftmoor.plans.scan import analyze, scan
+from siftmoor.plans.scan import analyze, scan, write_whole
 from siftmoor.sources.catalogue import default_rules
 
 FILES = [
@@ -221,3 +223,29 @@ def test_large_catalogues_are_joined(spark, file_text, files, monkeypatch):
     columns = ["risk_score", "finding_count", "top_finding_id"]
     assert {(r.repo_id, r.path): [r[c] for c in columns] for r in joined} == {
         key: [r[c] for c in columns] for key, r in files.items()}
+
+
+@pytest.mark.parametrize("plan", ["literal", "join"])
+def test_whole_scan_reads_the_texts_once(spark, file_text, tmp_path, plan):
+    """Findings, file scores and verdicts in one job, from one pass over the texts (the join reads them once more for its lines)."""
+    file_text(FILES).write.parquet(str(tmp_path / "in"))
+    result = scan(spark.read.parquet(str(tmp_path / "in")), stage=False, plan=plan)
+    rows = result.whole()
+    collected = rows.collect()
+    plan_text = rows._jdf.queryExecution().executedPlan().toString()
+    final = plan_text.split("== Initial Plan ==")[0]
+    # The join itself has two passes: the unanchored patterns and the index.
+    assert final.count("FileScan parquet") == (1 if plan == "literal" else 3)
+    assert Counter(r.result for r in collected) == {
+        "finding": result.findings.count(), "file": result.files.count(), "repo": result.repos.count()}
+    assert {(r.repo_id, r.path): r.file.risk_score for r in collected if r.result == "file"} == {
+        (r.repo_id, r.path): r.risk_score for r in result.files.collect()}
+
+
+def test_whole_scan_is_written_in_one_job(spark, file_text, tmp_path):
+    write_whole(scan(file_text(FILES), stage=False), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert {r.result for r in back.select("result").distinct().collect()} == {"finding", "file", "repo"}
+    assert back.where("result = 'repo'").select("repo_id", "repo.verdict").count() == len({f[0] for f in FILES})
+    with pytest.raises(Exception):
+        write_whole(scan(file_text(FILES), stage=False), str(tmp_path / "out"))
