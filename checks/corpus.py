@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftmoor.sources.tables import file_text, spread
 
+RULE_CATEGORIES = ["collection", "execution", "impact", "network"]
 LANGUAGES = ["python", "shell", "javascript", "powershell", "config"]
 
 # slot -> lines; slot % 5 is the language
@@ -80,6 +81,23 @@ SNIPPETS = {
     59: '-- "abcdefghijklmnopqrstuvwxyz0123456789"',
 }
 
+# Snippets for branches that the others miss, by doc_id % 10: a rule three times in a file, the sixth combination, the other
+# permissions, several strings of very high entropy, carriage returns, all in Python.
+_MIXED = "Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op8Qr9St0UvWxYzaBcDeFgHiJkLmNoPqRsTuVwXyZ+/"
+BRANCHES = {
+    0: 'a = "8.8.8.8"\nb = "8.8.4.4"\nc = "9.9.9.9"\nd = "1.1.1.1"',
+    1: "requests.get(u)\nexec(r.text)",
+    2: 'import bluetooth\nImageGrab.grab()\nsocket.bind(("", 80))',
+    3: "\n".join(f'k{i} = "{_MIXED[i:]}{_MIXED[:i]}"' for i in range(6)),
+    4: "import keyring\nos.fork()\nopen('.ssh/id_rsa')",
+    5: "\n".join(f'k{i} = "{_MIXED[2 * i:]}{_MIXED[:2 * i]}!"' for i in range(7)),
+    6: "import keyboard\nos.getuid() == 0\npyperclip.paste()",
+    7: "import pickle\r\nimport pickle\rimport pickle\r\n",
+    8: "import sounddevice\nMozilla/Firefox/Profiles\nCLLocationManager",
+    9: "eval(x)\neval(y)\neval(z)\neval(w)",
+}
+DEEP_PATH = "services/payments/gateway/handlers/module_"
+
 
 def language(number: str = "doc_id") -> F.Column:
     return F.get(F.array(*[F.lit(name) for name in LANGUAGES]), (F.col(number) % len(LANGUAGES)).cast("int"))
@@ -104,6 +122,29 @@ def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_text(table, repo_id(), F.col("doc_id"), language(), F.concat_ws("\n", "text", "snippet"))
 
 
+def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under a long path, with a snippet for a rare branch and only its first line of prose, if any."""
+    table = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+    snippets = spark.createDataFrame(list(BRANCHES.items()), "slot int, snippet string").coalesce(1)
+    table = table.join(F.broadcast(snippets), F.col("doc_id") % len(BRANCHES) == F.col("slot"))    # 10 rows
+    path = F.concat(F.lit(DEEP_PATH), F.col("doc_id").cast("string"), F.lit(".py"))
+    return file_text(table, repo_id(), path, F.lit("python"), F.concat_ws("\n", F.substring_index("text", "\n", 1), "snippet"))
+
+
+def benchmark_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue with a rule for each benchmark item; number and length of the items make its fields."""
+    table = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    number = F.col("item_id")
+    categories = F.get(F.array(*[F.lit(c) for c in RULE_CATEGORIES]), (F.length("text") % len(RULE_CATEGORIES)).cast("int"))
+    languages = F.when(number % 7 == 0, F.array(F.lit("all"))).when(number % 7 == 1, F.array(language("item_id"), F.lit("all"))).otherwise(F.array(language("item_id")))
+    pattern = F.array(F.struct(F.substring("text", 1, 20).alias("pattern"), F.lit("literal").alias("type")))
+    return table.select(
+        number.cast("int").alias("rule_ord"), F.concat(F.lit("ITEM-"), number.cast("string")).alias("rule_id"), F.lit("item").alias("name"),
+        categories.alias("category"), F.lit("").alias("subcategory"), F.lit("info").alias("severity"), F.lit(1).alias("weight"),
+        languages.alias("languages"), *[F.lit("").alias(c) for c in ("description", "user_message", "mitre_attack", "false_positive_note")],
+        pattern.alias("match_patterns"))
+
+
 def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a Python program: its text commented out, its snippet below."""
     table = _with_snippets(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -7,7 +7,7 @@ the fixed values.
 
 import ipaddress
 
-from checks.corpus import LANGUAGES, PATHS, SNIPPETS, URLS
+from checks.corpus import BRANCHES as BRANCH_SNIPPETS, DEEP_PATH, LANGUAGES, PATHS, RULE_CATEGORIES, SNIPPETS, URLS
 from siftmoor.fixed import detectors as fx
 from siftmoor.fixed import files as ff
 from siftmoor.operators.rulebook import combo_rule_id
@@ -53,6 +53,15 @@ _COMMENTED = "'# ' || replace(text, chr(10), chr(10) || '# ') || chr(10) || snip
 PROGRAMS = [SNIPPET_ROWS,
             f"file_text AS (SELECT {SHELF} AS repo_id, CAST(doc_id AS VARCHAR) AS path, 'python' AS language, "
             f"{UNIX.format(_COMMENTED)} AS text FROM documents JOIN snippets ON doc_id % 60 = slot)"]
+_BRANCH = "split_part(text, chr(10), 1) || chr(10) || snippet"
+BRANCHES = [values("snippets", "slot, snippet", BRANCH_SNIPPETS.items()),
+            f"file_text AS (SELECT {SHELF} AS repo_id, '{DEEP_PATH}' || doc_id || '.py' AS path, 'python' AS language, "
+            f"{UNIX.format(_BRANCH)} AS text FROM documents JOIN snippets ON doc_id % {len(BRANCH_SNIPPETS)} = slot)"]
+BENCHMARK_RULES = [
+    f"languages_of AS (SELECT *, CASE item_id % 5 {' '.join(f'WHEN {i} THEN {q(x)}' for i, x in enumerate(LANGUAGES))} END AS own FROM benchmark)",
+    "rules AS (SELECT item_id, [" + ", ".join(map(q, RULE_CATEGORIES)) + f"][1 + length(text) % {len(RULE_CATEGORIES)}] AS category, "
+    "CASE WHEN item_id % 7 = 0 THEN ['all'] WHEN item_id % 7 = 1 THEN [own, 'all'] ELSE [own] END AS languages FROM languages_of)",
+]
 CONVERSATIONS = ["file_text AS (SELECT CAST(conv_id AS VARCHAR) AS repo_id, CAST(turn AS VARCHAR) AS path, "
                  f"'shell' AS language, {UNIX.format('text')} AS text FROM conversations)"]
 _PAGE = "'url = ' || url || chr(10) || html"

@@ -487,6 +487,53 @@ def whole_scan_by_join(spark, sf_dir):
     return _whole(spark, sf_dir, corpus.seeded, plan="join")
 
 
+@query(o.BRANCHES + o.SCAN, _whole_sql())
+def branch_scan(spark, sf_dir):
+    return _whole(spark, sf_dir, corpus.branches)
+
+
+@query(o.BRANCHES + o.SCAN, "SELECT repo_id, place, CASE WHEN length(path) > 40 THEN '...' || right(path, 37) ELSE path END AS shown_path, "
+       "round(risk_score, 6) AS risk_score FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY risk_score DESC, path) "
+       "AS place FROM (SELECT * REPLACE (round(risk_score, 9) AS risk_score) FROM files) WHERE risk_score > 0) WHERE place <= 15")
+def branch_riskiest_files(spark, sf_dir):
+    files = _files(spark, sf_dir, corpus.branches).withColumn("risk_score", F.round("risk_score", 9))
+    return report.top_files(files).select("repo_id", "place", "shown_path", six("risk_score"))
+
+
+@query(o.BRANCHES + o.SCAN, "SELECT repo_id, array_to_string(labels, '; ') AS permissions FROM repos")
+def branch_permissions(spark, sf_dir):
+    return risk.repo_results(_files(spark, sf_dir, corpus.branches)).select("repo_id", F.array_join("all_permissions", "; ").alias("permissions"))
+
+
+@query(o.BRANCHES + o.SCAN, "SELECT repo_id, path, rule_id, line_number, occurrence, round(CASE WHEN occurrence = 1 THEN 1 "
+       "ELSE log2(2.0 / occurrence + 1.0) END, 6) AS factor FROM findings")
+def branch_occurrence_factors(spark, sf_dir):
+    factor = risk.frequency_factor(F.col("occurrence"))
+    return _findings(spark, sf_dir, corpus.branches).select(
+        "repo_id", "path", "rule_id", "line_number", "occurrence", F.round(factor, 6).alias("factor"))
+
+
+# --- listings ----------------------------------------------------------------------------------
+@query(o.BENCHMARK_RULES, "SELECT 'category' AS listing, category AS name, item_id AS rule_ord, 0 AS list_ord FROM rules UNION ALL "
+       "SELECT DISTINCT 'categories', category, NULL, NULL FROM rules UNION ALL "
+       "SELECT DISTINCT 'languages', unnest(languages), NULL, NULL FROM rules UNION ALL "
+       "SELECT 'language', l.language, item_id, 0 FROM rules JOIN (SELECT unnest(" + str(list(corpus.LANGUAGES)) + ") AS language) l "
+       "ON list_contains(languages, l.language) UNION ALL "
+       "SELECT 'language', l.language, item_id, 1 FROM rules JOIN (SELECT unnest(" + str(list(corpus.LANGUAGES)) + ") AS language) l "
+       "ON list_contains(languages, 'all')")
+def rule_listings(spark, sf_dir):
+    table, none = corpus.benchmark_rules(spark, sf_dir), F.lit(None).cast("int")
+    rows = [rules_by_category(table, c).select(F.lit("category").alias("listing"), F.col("category").alias("name"), "rule_ord", F.lit(0).alias("list_ord"))
+            for c in corpus.RULE_CATEGORIES]
+    rows += [rules_for_language(table, x).select(F.lit("language").alias("listing"), F.lit(x).alias("name"), "rule_ord", "list_ord") for x in corpus.LANGUAGES]
+    rows.append(categories(table).select(F.lit("categories").alias("listing"), F.col("category").alias("name"), none.alias("rule_ord"), none.alias("list_ord")))
+    rows.append(languages(table).select(F.lit("languages").alias("listing"), F.col("language").alias("name"), none.alias("rule_ord"), none.alias("list_ord")))
+    listing = rows[0]
+    for more in rows[1:]:
+        listing = listing.unionByName(more)
+    return listing
+
+
 # --- report views ------------------------------------------------------------------------------
 @query(o.SEEDED + o.SCAN, "SELECT repo_id, place, path, CASE WHEN length(path) > 40 THEN '...' || right(path, 37) ELSE path "
        f"END AS shown_path, upper({o.level('risk_score')}) AS severity, round(risk_score, 6) AS risk_score, "
@@ -535,6 +582,28 @@ def nested_report(spark, sf_dir):
                                        F.array_join(F.sort_array(F.collect_list(top))["text"], " ").alias("tops"))
 
 
+@query(o.SEEDED + o.SCAN, "SELECT repo_id, 0 AS place, NULL AS relative_path, format('{:.1f}', score)::DOUBLE AS score, verdict AS name, "
+       "total_files_scanned::BIGINT AS files, total_findings::BIGINT AS findings, critical_findings::BIGINT AS critical, high_findings::BIGINT AS high, "
+       "array_to_string(labels, '; ') AS permissions, summary_message AS message FROM repos JOIN repo_messages USING (repo_id, verdict) "
+       f"UNION ALL SELECT repo_id, 1, path, round(risk_score, 6), {o.level('risk_score')}, 1, finding_count, critical_count, high_count, NULL, NULL FROM files")
+def nested_report_rows(spark, sf_dir):
+    """Summary and file rows of the nested report."""
+    result = scan(corpus.seeded(spark, sf_dir), stage=False)
+    rows, file = report.nested_rows(result.repos, result.files, result.findings), F.col("place") == 1
+    both = lambda summary, record: F.when(file, F.col(f"result.{record}")).otherwise(F.col(f"summary.{summary}"))
+    return rows.select(
+        "repo_id", "place", "relative_path", F.round(both("overall_risk_score", "risk_score"), 6).alias("score"), both("verdict", "severity_label").alias("name"),
+        F.when(file, 1).otherwise(F.col("summary.files_scanned")).cast("long").alias("files"),
+        F.when(file, F.size("result.findings")).otherwise(F.col("summary.total_findings")).cast("long").alias("findings"),
+        both("critical_findings", "critical_count").cast("long").alias("critical"), both("high_findings", "high_count").cast("long").alias("high"),
+        F.array_join("summary.all_permissions", "; ").alias("permissions"), F.col("summary.verdict_message").alias("message"))
+
+
+@query(o.SEEDED + o.SCAN, "SELECT repo_id, path, rule_id, line_number, round(eff, 6) AS effective_weight FROM findings")
+def all_findings(spark, sf_dir):
+    return report.all_findings(_findings(spark, sf_dir)).select("repo_id", "path", "rule_id", "line_number", six("effective_weight"))
+
+
 # --- repository URLs ---------------------------------------------------------------------------
 REPO_URLS = [
     "urls AS (SELECT page_id, replace(replace([" + ", ".join(map(o.q, o.URLS)) + f"][1 + page_id % {len(o.URLS)}], '{{o}}', "
