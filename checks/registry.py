@@ -11,7 +11,7 @@ from siftmoor.fixed import detectors as fx
 from siftmoor.functions import urls
 from siftmoor.functions.plan import computed_once
 from siftmoor.functions.numbers import human_size
-from siftmoor.operators import admission, entropy, network, report, risk, syntax
+from siftmoor.operators import admission, entropy, network, networks, report, risk, syntax
 from siftmoor.operators.anchors import Anchors
 from siftmoor.operators.combos import combo_hits
 from siftmoor.operators.lines import lines, with_lines
@@ -256,6 +256,57 @@ def addresses(spark, sf_dir):
         F.col("bad").alias("public"))
 
 
+_EVENT_IP = ("concat_ws('.', {0}, CAST(user_id % 256 AS VARCHAR), CAST(event_id % 256 AS VARCHAR), CAST(event_id % 11 AS VARCHAR))")
+_FIRST_OCTETS = ["10", "172", "192", "169", "8", "198", "203", "300", "01"]
+_NUMBER = "list_sum(list_transform(string_split({0}, '.'), lambda x, i: x::BIGINT * CAST(pow(256, 4 - i) AS BIGINT)))::BIGINT"
+_VALID = "regexp_full_match({0}, '(0|[1-9][0-9]*)([.](0|[1-9][0-9]*)){{3}}') AND list_max(list_transform(string_split({0}, '.'), lambda x: x::BIGINT)) < 256"
+ADDRESS_NETWORKS = [
+    "seen AS (SELECT ip FROM ip_public UNION ALL SELECT " + _EVENT_IP.format("[" + ", ".join(map(o.q, _FIRST_OCTETS)) + f"][1 + event_id % {len(_FIRST_OCTETS)}]") + " FROM events)",
+    "counted AS (SELECT ip, count(*) AS n FROM seen GROUP BY ip)",
+    o.values("fixed_networks", "cidr, label", [(c, "private") for c in fx.PRIVATE_RANGES] + [(c, "public") for c in fx.PRIVATE_HOLES]),
+    "cidrs AS (SELECT * FROM fixed_networks UNION ALL SELECT '172.' || n_nationkey || '.0.0/' || (9 + n_nationkey % 24), n_name FROM nation "
+    "UNION ALL SELECT '10.' || s_suppkey % 256 || '.' || s_suppkey % 3, s_name FROM supplier UNION ALL SELECT '10.' || s_suppkey % 256 || '.0.0/16', s_name FROM supplier)",
+    "bounds AS (SELECT label, split_part(cidr, '/', 2)::INT AS bits, " + _NUMBER.format("split_part(cidr, '/', 1)") + " AS n FROM cidrs WHERE cidr LIKE '%/%')",
+    "ranges AS (SELECT (n >> (32 - bits)) << (32 - bits) AS lo, bits, min(label) AS label FROM bounds GROUP BY ALL)",
+    "numbers AS (SELECT ip, " + _NUMBER.format("ip") + " AS x FROM counted WHERE " + _VALID.format("ip") + ")",
+    "held AS (SELECT ip, arg_max(lo, bits) AS lo, max(bits) AS bits, arg_max(label, bits) AS label FROM numbers JOIN ranges "
+    "ON x >= lo AND x < lo + (1::BIGINT << (32 - bits)) GROUP BY ip)",
+]
+
+
+@query(o.SEEDED + o.LINES + o.NETWORK + ADDRESS_NETWORKS,
+       "SELECT ip, n, (lo >> 24) || '.' || (lo >> 16) % 256 || '.' || (lo >> 8) % 256 || '.' || lo % 256 || '/' || bits AS network, label "
+       "FROM counted LEFT JOIN held USING (ip)")
+def address_networks(spark, sf_dir):
+    """Addresses in texts and of events, with the longest of the networks that hold them."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    first = F.get(F.array(*[F.lit(x) for x in _FIRST_OCTETS]), (F.col("event_id") % len(_FIRST_OCTETS)).cast("int"))
+    of_events = read("events").select(F.concat_ws(".", first, *[(F.col(c) % n).cast("string") for c, n in (("user_id", 256), ("event_id", 256), ("event_id", 11))]).alias("ip"))
+    seen = _items(spark, sf_dir, corpus.seeded, 0).select(F.col("value").alias("ip")).unionByName(of_events)
+    text = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, F.Column) else F.lit(p) for p in parts])
+    nation, key = F.col("n_nationkey"), F.col("s_suppkey") % 256
+    table = (
+        networks.default_networks(spark)
+        .union(read("nation").select(text("172.", nation, ".0.0/", nation % 24 + 9), "n_name"))
+        .union(read("supplier").select(text("10.", key, ".", F.col("s_suppkey") % 3), "s_name"))       # no networks
+        .union(read("supplier").select(text("10.", key, ".0.0/16"), "s_name")))
+    return networks.networks_of(seen.groupBy("ip").agg(F.count("*").alias("n")), table)
+
+
+@query(["hosts AS (SELECT lower(split_part(split_part(split_part(url, '://', 2), '/', 1), ':', 1)) AS host, page_id FROM pages)",
+        "labels AS (SELECT *, string_split(host, '.') AS p FROM hosts)",
+        o.values("fixed_safe", "domain", [(d,) for d in fx.SAFE_DOMAINS]),
+        "safe AS (SELECT domain FROM fixed_safe UNION SELECT host FROM labels WHERE page_id % 9 = 0)"],
+       "SELECT host, count(*) AS pages FROM labels WHERE host NOT IN (SELECT domain FROM safe) AND NOT "
+       "(len(p) >= 2 AND array_to_string(p[-2:], '.') IN (SELECT domain FROM safe)) AND NOT regexp_matches(host, '^[0-9]+([.][0-9]+){3}') GROUP BY host")
+def unsafe_page_hosts(spark, sf_dir):
+    """Hosts of pages that no safe domain covers; the table of safe domains grows with the pages."""
+    hosts = spark.read.parquet(f"{sf_dir}/pages.parquet").select(network.domain(F.col("url")).alias("host"), "page_id")
+    more = hosts.where("page_id % 9 = 0").select(F.col("host").alias("domain"))
+    safe = spark.createDataFrame([(d,) for d in fx.SAFE_DOMAINS], "domain string").union(more)
+    return networks.unsafe_hosts(hosts, safe).groupBy("host").agg(F.count("*").alias("pages"))
+
+
 @query(o.SEEDED + o.LINES + o.NETWORK, "SELECT repo_id, path, n AS line_number, port, note FROM port_found JOIN ports USING (i)")
 def suspicious_ports(spark, sf_dir):
     notes = F.expr("map(" + ", ".join(f"'{port}', '{note}'" for port, note in fx.PORTS) + ")")

@@ -18,7 +18,7 @@ from siftmoor.functions.entropy import shannon, shannon_at_least
 from siftmoor.functions.numbers import human_size, round_one
 from siftmoor.functions.regex import prepare, rare_start, to_java
 from siftmoor.functions.text import WHITESPACE, fold_case, shorten_path, split_lines, sql_text, strip, unix_newlines
-from siftmoor.operators import admission, grams, network
+from siftmoor.operators import admission, grams, network, networks
 from siftmoor.operators.anchors import Anchors
 from siftmoor.operators.lines import with_lines
 from siftmoor.operators.rules import matches_by_join, rule_hits
@@ -246,6 +246,46 @@ def test_domains(spark):
     assert column(spark, ["x.tk", "a.duckdns.org", "b.org"], network.suspicion) == ["tld", "dynamic dns", "unknown"]
 
 
+def test_networks_by_longest_prefix(spark):
+    import ipaddress
+
+    rng = random.Random(4)
+    cidrs = [f"{rng.choice([10, 172, 192])}.{rng.randrange(4)}.{rng.randrange(3)}.{rng.randrange(256)}/{rng.randrange(33)}" for _ in range(300)]
+    odd = [None, "", "x", "1.2.3", "1.2.3.4/33", "256.1.1.1/8", "01.2.3.4/8", "10.0.0.0/8/9"]
+    table = spark.createDataFrame([(c, f"n{i % 7}") for i, c in enumerate(cidrs)] + [(c, "bad") for c in odd] + [("10.1.1.1", "one"), ("10.1.1.1/32", "ones")], "cidr string, label string")
+    ips = [f"{rng.choice([10, 172, 192, 9])}.{rng.randrange(4)}.{rng.randrange(3)}.{rng.randrange(256)}" for _ in range(500)] + ["10.1.1.1", "10.1.1.1", None, "01.2.3.4", "10.1.1.256", "a"]
+    nets = {}
+    for i, c in enumerate([*cidrs, "10.1.1.1/32"]):
+        net = ipaddress.ip_network(c, strict=False)
+        nets[net] = min(nets.get(net, "z"), "one" if i == len(cidrs) else f"n{i % 7}")
+
+    def expected(ip):
+        try:
+            held = [n for n in nets if ipaddress.ip_address(ip) in n]
+        except ValueError:
+            held = []
+        best = max(held, key=lambda n: n.prefixlen, default=None)
+        return (ip, "x", str(best) if best else None, nets.get(best))
+
+    rows = spark.createDataFrame([(ip, "x") for ip in ips], "ip string, more string")
+    assert sorted(map(tuple, networks.networks_of(rows, table).collect()), key=str) == sorted(map(expected, ips), key=str)
+    assert [tuple(r)[2:] for r in networks.networks_of(rows, table.limit(0)).distinct().collect()] == [(None, None)] * len(set(ips))
+    values = ["8.8.8.8", "10.1.2.3", "192.0.0.9", "192.0.0.8", "172.32.0.0", "255.255.255.255"]
+    known = networks.networks_of(spark.createDataFrame([(v,) for v in values], "ip string"), networks.default_networks(spark)).collect()
+    assert {r.ip: r.label == "private" for r in known} == dict(zip(values, column(spark, values, network.is_private)))
+
+
+def test_hosts_against_a_table_of_domains(spark):
+    hosts = ["github.com", "api.github.com", "a.b.github.com", "github.com.evil.org", "npm.pkg.github.com", "x.tk", "localhost", "1.2.3.4", "pypi.org", "", None, "x.tk"]
+    table = spark.createDataFrame([(h, i) for i, h in enumerate(hosts)], "host string, n int")
+    domains = spark.createDataFrame([(d,) for d in fx.SAFE_DOMAINS] * 2 + [(None,)], "domain string")
+    left = sorted(r.n for r in networks.unsafe_hosts(table, domains).collect())
+    assert left == [i for i, bad in enumerate(column(spark, hosts[:10], network.is_suspicious)) if bad] + [11]
+    deep = spark.createDataFrame([("pkg.github.com",), ("tk",)], "domain string")
+    assert sorted(r.n for r in networks.unsafe_hosts(table, deep, any_parent=True).collect()) == [0, 1, 2, 3, 6, 8, 9]
+    assert networks.unsafe_hosts(table, deep.limit(0)).count() == 10
+
+
 def test_addresses_follow_python(spark):
     lines = ["1.2.3.4", "a1.2.3.4", "1.2.3.4.5", "256.1.1.1 1.1.1.256", "é1.2.3.4", "x 1.2.3.4, 5.6.7.8", "1.2.3.4_"]
     assert column(spark, lines, network.addresses) == [re.findall(fx.IPV4, line) for line in lines]
