@@ -170,7 +170,7 @@ def rule_matches(spark, sf_dir):
 
 @query(o.SEEDED + o.LINES + o.RULE_HITS, _RULE_SELECT)
 def rule_matches_by_join(spark, sf_dir):
-    joined = matches_by_join(corpus.seeded(spark, sf_dir), rule_patterns(default_rules()))
+    joined = matches_by_join(corpus.seeded(spark, sf_dir), rules_table(spark, default_rules()))
     return _by_rule(joined.select("repo_id", "path", "hit.*"), spark)
 
 

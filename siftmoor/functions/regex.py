@@ -108,11 +108,13 @@ def prepare(pattern: str, kind: str) -> Prepared | None:
     return Prepared(java, anchors, parts, always, in_text)
 
 
-_LOOPS = (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT)
+def _loops() -> tuple:
+    """The operators that repeat; a function, as the parser's constants cannot travel with jobs."""
+    return sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT
 
 
 def _children(op, arg):
-    if op in _LOOPS:
+    if op in _loops():
         return [arg[2]]
     if op is sre.SUBPATTERN:
         return [arg[3]]
@@ -130,7 +132,7 @@ def _conditional(tree) -> bool:
 
 
 def _has_assertion(tree) -> bool:
-    plain = (sre.LITERAL, sre.NOT_LITERAL, sre.ANY, sre.IN, sre.BRANCH, sre.SUBPATTERN, *_LOOPS)
+    plain = (sre.LITERAL, sre.NOT_LITERAL, sre.ANY, sre.IN, sre.BRANCH, sre.SUBPATTERN, *_loops())
     return any(op not in plain or any(_has_assertion(c) for c in _children(op, arg)) for op, arg in tree)
 
 
@@ -161,7 +163,7 @@ def _required(tree) -> list[tuple[str, ...]]:
         run = ""
         if op is sre.SUBPATTERN and not arg[1] and not arg[2]:
             groups.extend(_required(arg[3]))
-        elif op in _LOOPS and arg[0] >= 1:
+        elif op in _loops() and arg[0] >= 1:
             groups.extend(_required(arg[2]))
         elif op is sre.BRANCH:
             options = [_best(_required(branch)) for branch in arg[1]]

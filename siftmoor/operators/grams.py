@@ -1,7 +1,8 @@
 """Grams: runs of up to four bytes of a line, by which an inverted index of patterns is entered.
 
 A gram is known by a number: its bytes, lowest first, and its length above them.  Tasks look through the bytes of whole
-batches of texts at once and hand on only (line, gram) pairs whose gram is indexed.
+batches of texts at once and hand on only (line, gram) pairs whose gram may be indexed,
+by a filter that has the same size for a catalogue of any size.
 """
 
 from collections.abc import Iterator
@@ -9,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from siftmoor.functions.text import fold_case
 
@@ -24,6 +25,10 @@ def gram_number(gram: bytes) -> int:
     return int.from_bytes(gram, "little") | len(gram) << _LENGTH_SHIFT
 
 
+def gram_length(number: Column) -> Column:
+    return F.shiftright(number, _LENGTH_SHIFT).cast("int")
+
+
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and where each begins (one more at the end)."""
     column = column.cast(pa.large_binary())
@@ -53,13 +58,14 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = stop
 
 
-def _indexed(keys: list[int]):
-    keys = np.array(sorted(keys), np.int64)
-    lengths = sorted({int(k) >> _LENGTH_SHIFT for k in keys})
+def gram_slots(numbers: list[int]) -> list[int]:
+    """The places of grams in a filter."""
+    return _spread(np.array(numbers, np.int64)).astype(np.int64).tolist()
+
 
+def _indexed(filled: bytes, lengths: list[int]):
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe = np.zeros(1 << _FILTER_BITS, bool)
-        maybe[_spread(keys)] = True
+        maybe = np.unpackbits(np.frombuffer(filled, np.uint8), bitorder="little").astype(bool)
         for batch in _slices(batches):
             data, offsets = _bytes(batch["folded"])
             ends = np.flatnonzero(data == 10)
@@ -67,7 +73,6 @@ def _indexed(keys: list[int]):
             for length in lengths:
                 numbers = _grams_at(data, length)
                 at = np.flatnonzero(maybe[_spread(numbers)])
-                at = at[keys[np.minimum(np.searchsorted(keys, numbers[at]), len(keys) - 1)] == numbers[at]]
                 file = np.searchsorted(offsets, at, "right") - 1
                 inside = at + length <= offsets[file + 1]
                 at, file = at[inside], file[inside]
@@ -92,7 +97,18 @@ def _indexed(keys: list[int]):
     return indexed
 
 
-def indexed_lines(file_text: DataFrame, keys: list[int]) -> DataFrame:
-    """(repo_id, path, language, line_number, line, gram): each line with each indexed gram of its folded text, once."""
+def gram_filter(slots: DataFrame) -> bytes:
+    """The bits of a filter of fixed size (128 KB), from the places (``slot``) of any number of grams."""
+    parts = slots.select(F.col("slot").cast("long").alias("slot")).groupBy(F.floor(F.col("slot") / 32768).alias("part")).agg(
+        F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits")).collect()
+    filled = bytearray((1 << _FILTER_BITS) // 8)
+    for row in parts:      # 32 at most
+        filled[row.part * 4096:(row.part + 1) * 4096] = row.bits
+    return bytes(filled)
+
+
+def indexed_lines(file_text: DataFrame, filled: bytes, lengths: list[int]) -> DataFrame:
+    """(repo_id, path, language, line_number, line, gram): each line with each gram of its folded text that has one of the
+    ``lengths`` and its place in the filter filled, once.  Few of them are grams that are not indexed."""
     texts = file_text.where(F.col("text").isNotNull()).select("repo_id", "path", "language", "text", fold_case(F.lower("text")).alias("folded"))
-    return texts.mapInArrow(_indexed(keys), "repo_id string, path string, language string, line_number int, line string, gram long")
+    return texts.mapInArrow(_indexed(filled, lengths), "repo_id string, path string, language string, line_number int, line string, gram long")

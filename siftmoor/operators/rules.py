@@ -11,8 +11,7 @@ Two plans with the same result:
   gram (up to GRAM bytes) of each anchor.  Lines are joined on the grams they
   contain, so a line meets only patterns of which it has an anchor's gram; anchors
   and regular expression decide, then the first line per (file, pattern).  It
-  serves catalogues too large for a constant.  Patterns without anchors cannot be
-  indexed and stay in the constant.
+  serves catalogues too large for a constant: rules stay rows of a table.
 
 A rule for a language and for all languages is in both lists, so a file of that
 language gets a hit of each.
@@ -20,19 +19,28 @@ language gets a hit of each.
 
 import json
 from collections import defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftmoor.fixed import detectors as fx
-from siftmoor.functions.regex import rare_start
+from siftmoor.functions.regex import prepare, rare_start
 from siftmoor.functions.text import fold_case, sql_text
 from siftmoor.operators.anchors import Anchors
-from siftmoor.operators.grams import GRAM, gram_number, indexed_lines
+from siftmoor.operators.grams import GRAM, gram_filter, gram_length, gram_number, gram_slots, indexed_lines
 from siftmoor.operators.hits import HIT, RULES, no_hits
 from siftmoor.operators.lines import with_lines
-from siftmoor.sources.catalogue import RulePattern
+from siftmoor.plans.staging import staged
+from siftmoor.sources.catalogue import RulePattern, literal_text
 
-BROADCAST_GRAMS = 20_000       # index rows that are broadcast; larger indexes are shuffled by gram
+_PREPARED = (
+    "rule_ord int, pattern_ord int, pattern string, languages array<string>, parts array<array<string>>, always boolean, "
+    "in_text string, java string, anchors array<string>, grams array<bigint>, slots array<bigint>")
+_TEXTS = pa.list_(pa.string())
+_PREPARED_ARROW = pa.schema([
+    ("rule_ord", pa.int32()), ("pattern_ord", pa.int32()), ("pattern", pa.string()), ("languages", _TEXTS), ("parts", pa.list_(_TEXTS)),
+    ("always", pa.bool_()), ("in_text", pa.string()), ("java", pa.string()), ("anchors", _TEXTS), ("grams", pa.list_(pa.int64())), ("slots", pa.list_(pa.int64()))])
 
 
 def _literal(value, schema: str) -> str:
@@ -83,30 +91,53 @@ def rule_hits(patterns: list[RulePattern], anchors: Anchors) -> Column:
     return F.expr(f"coalesce(flatten(transform({matches}, y -> transform({_LISTS}, o -> {as_hit}))), CAST(array() AS array<{HIT}>))")
 
 
-def _index_grams(texts: tuple[str, ...]) -> list[int]:
-    """One gram of each text: its rarest GRAM bytes, or a shorter text as a whole."""
-    return sorted({gram_number(rare_start(text, GRAM)[:GRAM].encode()) for text in texts})
-
-
-def matches_by_join(file_text: DataFrame, patterns: list[RulePattern]) -> DataFrame:
-    """(repo_id, path, hit) by a join of the grams of lines and patterns."""
-    spark = file_text.sparkSession
-    plain = [p for p in patterns if not p.prepared.anchors]
-    anchors = Anchors(plain)
-    hits = with_lines(file_text, anchors, code=False).select("repo_id", "path", F.explode(rule_hits(plain, anchors)).alias("hit"))
-    rows = [(gram, p.rule.rule_ord, p.pattern_ord, p.pattern, p.prepared.java, list(p.prepared.anchors), list(p.rule.languages))
-            for p in patterns if p.prepared.anchors for gram in _index_grams(p.prepared.anchors)]
-    if not rows:
-        return hits
-    index = spark.createDataFrame(rows, "gram long, rule_ord int, pattern_ord int, pattern string, regex string, anchors array<string>, languages array<string>")
-    per_line = indexed_lines(file_text, sorted({row[0] for row in rows})).withColumn("folded", fold_case(F.lower("line")))
-    matches = F.expr("arrays_overlap(languages, array(language, 'all')) AND exists(anchors, a -> contains(folded, a)) AND line RLIKE regex")
-    met = per_line.join(F.broadcast(index) if len(rows) <= BROADCAST_GRAMS else index, "gram").where(matches)
-    lists = F.filter(F.array(F.when(F.array_contains("languages", F.col("language")) & (F.col("language") != "all"), 0),
-                             F.when(F.array_contains("languages", F.lit("all")), 1)), lambda o: o.isNotNull())
-    first = met.withColumn("list_ord", F.explode(lists)).groupBy("repo_id", "path", "list_ord", "rule_ord", "pattern_ord", "pattern").agg(
-        F.min_by(F.struct("line_number", F.substring("line", 1, fx.RULE_LINE_CHARS).alias("line")), "line_number").alias("m"))
+def prepared_patterns(rules: DataFrame, literal_mode: str = "strict") -> DataFrame:
+    """The usable patterns of a catalogue table as rows, made ready in tasks: the fields of ``rule_hits``' patterns, ``anchors``,
+    the grams by which they are indexed, and the grams' places in the filter."""
+    ready, usable = prepare.__wrapped__, literal_text
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                p = ready(usable(row["pattern"], row["type"], literal_mode), row["type"])
+                if p is not None:
+                    grams = sorted({gram_number(rare_start(text, GRAM)[:GRAM].encode()) for text in p.anchors})
+                    rows.append({"rule_ord": row["rule_ord"], "pattern_ord": row["pattern_ord"], "pattern": row["pattern"], "languages": row["languages"],
+                                 "parts": [list(g) for g in p.parts], "always": p.always, "in_text": p.in_text, "java": p.java, "anchors": list(p.anchors),
+                                 "grams": grams, "slots": gram_slots(grams)})
+            yield pa.RecordBatch.from_pylist(rows, schema=_PREPARED_ARROW)
+
+    each = rules.select("rule_ord", "languages", F.posexplode("match_patterns").alias("pattern_ord", "m"))
+    return each.select("rule_ord", "pattern_ord", "languages", "m.pattern", "m.type").mapInArrow(made, _PREPARED)
+
+
+def matches_by_join(file_text: DataFrame, rules: DataFrame, literal_mode: str = "strict") -> DataFrame:
+    """(repo_id, path, hit) by joins with a catalogue table (the schema of ``rules_table``) of any size.
+
+    Patterns never leave their rows: the index is joined on grams, and patterns without anchors, which must be tried on
+    every file they apply to, on the language.  Spark broadcasts either where its size allows.
+    """
+    patterns = staged(prepared_patterns(rules, literal_mode), "patterns")
+    index = patterns.withColumn("gram", F.explode("grams"))
+    lengths = [r.n for r in index.select(gram_length(F.col("gram")).alias("n")).distinct().collect()]       # GRAM at most
+    filled = gram_filter(patterns.select(F.explode("slots").alias("slot")))
+    per_line = indexed_lines(file_text, filled, sorted(lengths)).withColumn("folded", fold_case(F.lower("line")))
+    matches = F.expr("arrays_overlap(languages, array(language, 'all')) AND exists(anchors, a -> contains(folded, a)) AND line RLIKE java")
+    met = per_line.join(index.select("gram", "rule_ord", "pattern_ord", "pattern", "java", "anchors", "languages"), "gram").where(matches)
+    found = met.select("repo_id", "path", "language", "languages", "rule_ord", "pattern_ord", "pattern", "line_number",
+                       F.substring("line", 1, fx.RULE_LINE_CHARS).alias("line"))
+    plain = patterns.where(F.size("anchors") == 0).select(F.struct("*").alias("x"), F.explode(F.array_distinct("languages")).alias("list"))
+    lists = F.expr("explode(array_distinct(array(language, 'all')))").alias("list")
+    tried = with_lines(file_text, code=False).select("*", lists).join(plain, "list").withColumn("n", F.expr(_FIRST_LINE)).where("n > 0")
+    found = found.unionByName(tried.select(
+        "repo_id", "path", "language", "x.languages", "x.rule_ord", "x.pattern_ord", "x.pattern", F.col("n").alias("line_number"),
+        F.substring(F.get("lines", F.col("n") - 1), 1, fx.RULE_LINE_CHARS).alias("line")))
+    ords = F.filter(F.array(F.when(F.array_contains("languages", F.col("language")) & (F.col("language") != "all"), 0),
+                            F.when(F.array_contains("languages", F.lit("all")), 1)), lambda o: o.isNotNull())
+    first = found.withColumn("list_ord", F.explode(ords)).groupBy("repo_id", "path", "list_ord", "rule_ord", "pattern_ord", "pattern").agg(
+        F.min_by(F.struct("line_number", "line"), "line_number").alias("m"))
     none = F.lit(None)
-    return hits.unionByName(first.select("repo_id", "path", F.struct(
+    return first.select("repo_id", "path", F.struct(
         F.lit(RULES), "list_ord", "rule_ord", "pattern_ord", "rule_ord", "m.line_number", "m.line", "pattern",
-        none, none, none).cast(HIT).alias("hit")))
+        none, none, none).cast(HIT).alias("hit"))

@@ -18,7 +18,7 @@ from siftmoor.operators.rulebook import rule_book
 from siftmoor.operators.rules import matches_by_join, rule_hits
 from siftmoor.operators.syntax import syntax_facts, syntax_hits
 from siftmoor.plans.staging import staged
-from siftmoor.sources.catalogue import Rule, default_rules, rule_patterns
+from siftmoor.sources.catalogue import Rule, default_rules, rule_patterns, rules_table
 
 
 def analyze(file_text: DataFrame, rules: list[Rule] | None = None, deep: bool = False,
@@ -32,8 +32,10 @@ def analyze(file_text: DataFrame, rules: list[Rule] | None = None, deep: bool =
     """
     if plan not in ("literal", "join"):
         raise ValueError(f"no such plan: {plan}")
-    patterns = rule_patterns(default_rules() if rules is None else rules, literal_mode)
+    catalogue = default_rules() if rules is None else rules
     in_plan = plan == "literal"
+    patterns = rule_patterns(catalogue, literal_mode) if in_plan else []
+    table = None if in_plan else rules_table(file_text.sparkSession, catalogue)
     anchors = Anchors(patterns if in_plan else [])
     if deep:
         file_text = file_text.withColumn("facts", syntax_facts(F.col("language"), F.col("text")))
@@ -56,7 +58,7 @@ def analyze(file_text: DataFrame, rules: list[Rule] | None = None, deep: bool =
         F.concat("rule_hits", "combo_hits", "syntax_hits", entropy_hits(F.col("elevated")),
                  "permission_hits", network_hits(F.col("network_items"))).alias("hits"),
     )
-    return analysis if in_plan else _add_hits(analysis, matches_by_join(file_text, patterns))
+    return analysis if in_plan else _add_hits(analysis, matches_by_join(file_text, table, literal_mode))
 
 
 def _add_hits(analysis: DataFrame, matches: DataFrame) -> DataFrame:

@@ -134,6 +134,11 @@ def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
+def literal_text(pattern: str, kind: str, literal_mode: str) -> str:
+    """The pattern as it is meant: ``unescape`` reads a literal's backslash escapes as the plain character."""
+    return re.sub(r"\\(.)", r"\1", pattern) if kind != "regex" and literal_mode == "unescape" else pattern
+
+
 def rule_patterns(rules: list[Rule], literal_mode: str = "strict") -> list[RulePattern]:
     """Usable patterns in catalogue order; patterns that do not compile are left out.
 
@@ -143,8 +148,7 @@ def rule_patterns(rules: list[Rule], literal_mode: str = "strict") -> list[RuleP
     usable = []
     for rule in rules:
         for pattern_ord, (pattern, kind) in enumerate(rule.match_patterns):
-            unescape = kind != "regex" and literal_mode == "unescape"
-            ready = prepare(re.sub(r"\\(.)", r"\1", pattern) if unescape else pattern, kind)
+            ready = prepare(literal_text(pattern, kind, literal_mode), kind)
             if ready:
                 usable.append(RulePattern(rule, pattern_ord, pattern, kind, ready))
     return usable

