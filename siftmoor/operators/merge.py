@@ -24,14 +24,13 @@ def effective_weight(weight: Column, confidence: Column, multiplier: Column) ->
 def weigh(hits: DataFrame, book: DataFrame) -> DataFrame:
     """Hits with rule id, category, severity and effective weight.
 
-    The rule book has one row per rule of a catalogue whose patterns fit into a
-    plan or a chunked join, so it is small enough to broadcast.
+    A small rule book is marked for broadcast by ``rule_book``.
     """
     thin = book.select("def_id", "rule_id", "category", "severity", "weight",
                        F.col("confidence").alias("book_confidence"), "context_multiplier")
     confidence = F.coalesce("confidence", "book_confidence")
     weight = effective_weight(F.col("weight"), confidence, F.col("context_multiplier"))
-    joined = hits.join(F.broadcast(thin), "def_id", "left")
+    joined = hits.join(thin, "def_id", "left")
     return joined.select(
         *[c for c in hits.columns if c != "confidence"], "rule_id", "category", "severity", "weight",
         "context_multiplier", confidence.alias("confidence"), weight.alias("effective_weight"))
@@ -68,7 +67,7 @@ def with_texts(weighed: DataFrame, book: DataFrame) -> DataFrame:
     """The full finding columns of weighed hits."""
     texts = book.select("def_id", "name", "subcategory", "description", "user_message", "mitre_attack")
     filled = {c: fill(F.col(c), F.col("detail"), F.col("detail2")) for c in ("name", "description", "user_message")}
-    return weighed.join(F.broadcast(texts), "def_id").withColumns({**filled, "file_path": F.col("path")})
+    return weighed.join(texts, "def_id").withColumns({**filled, "file_path": F.col("path")})
 
 
 def raw_findings(analysis: DataFrame, book: DataFrame) -> DataFrame:

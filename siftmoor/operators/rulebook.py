@@ -9,6 +9,7 @@ SCHEMA = (
     "weight int, description string, user_message string, mitre_attack string, confidence double, "
     "context_multiplier double"
 )
+BROADCAST_RULES = 50_000
 # Ids of the built-in kinds are negative; catalogue rules use their catalogue position.
 COMBO_BASE, IMPORT_BASE, FROM_BASE, CALL_BASE = -100, -200, -300, -400
 SYSTEM_ID, CHAIN_ID, ENTROPY_HIGH_ID, ENTROPY_MED_ID, PUBLIC_IP_ID, DOMAIN_ID = -500, -501, -510, -511, -520, -521
@@ -67,12 +68,22 @@ def builtin_rows() -> list[tuple]:
 
 
 def rule_book(spark: SparkSession, rules) -> DataFrame:
+    """The book of a list of rules, or of a rule table, whose rows are left where they are.
+
+    A list of up to BROADCAST_RULES rules is marked for broadcast; else Spark chooses by size.
+    """
+    builtin = spark.createDataFrame(builtin_rows(), SCHEMA)
+    if isinstance(rules, DataFrame):
+        texts = ["rule_id", "name", "category", "subcategory", "severity", "weight", "description", "user_message", "mitre_attack"]
+        own = rules.select(F.col("rule_ord").alias("def_id"), *texts, F.lit(1.0).alias("confidence"), F.lit(1.0).alias("context_multiplier"))
+        return own.unionByName(builtin)
     rows = [
         (r.rule_ord, r.rule_id, r.name, r.category, r.subcategory, r.severity, r.weight, r.description,
          r.user_message, r.mitre_attack, 1.0, 1.0)
         for r in rules
     ]
-    return spark.createDataFrame(rows + builtin_rows(), SCHEMA)
+    book = spark.createDataFrame(rows + builtin_rows(), SCHEMA)
+    return F.broadcast(book) if len(rows) <= BROADCAST_RULES else book
 
 
 def fill(template, detail, detail2):

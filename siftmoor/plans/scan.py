@@ -21,7 +21,7 @@ from siftmoor.plans.staging import staged
 from siftmoor.sources.catalogue import Rule, default_rules, rule_patterns, rules_table
 
 
-def analyze(file_text: DataFrame, rules: list[Rule] | None = None, deep: bool = False,
+def analyze(file_text: DataFrame, rules: list[Rule] | DataFrame | None = None, deep: bool = False,
             literal_mode: str = "strict", plan: str = "literal") -> DataFrame:
     """One row per file with all its hits.
 
@@ -29,13 +29,16 @@ def analyze(file_text: DataFrame, rules: list[Rule] | None = None, deep: bool =
     every detector works on the file's own row, so no text is ever shuffled.
     ``deep`` adds the Python syntax detector.  ``plan="join"`` joins rule patterns as
     rows, with the same hits; choose it for catalogues of thousands of patterns.
+    Rules may be a table for it (see ``rules_table``), which is never collected.
     """
     if plan not in ("literal", "join"):
         raise ValueError(f"no such plan: {plan}")
     catalogue = default_rules() if rules is None else rules
     in_plan = plan == "literal"
+    if in_plan and isinstance(catalogue, DataFrame):
+        raise ValueError("a table of rules needs plan=\"join\"; rules_from_table makes a list of a small one")
     patterns = rule_patterns(catalogue, literal_mode) if in_plan else []
-    table = None if in_plan else rules_table(file_text.sparkSession, catalogue)
+    table = catalogue if in_plan or isinstance(catalogue, DataFrame) else rules_table(file_text.sparkSession, catalogue)
     anchors = Anchors(patterns if in_plan else [])
     if deep:
         file_text = file_text.withColumn("facts", syntax_facts(F.col("language"), F.col("text")))
@@ -88,7 +91,7 @@ class Scan:
         return both.unionByName(parts[2], allowMissingColumns=True)
 
 
-def scan(file_text: DataFrame, rules: list[Rule] | None = None, deep: bool = False,
+def scan(file_text: DataFrame, rules: list[Rule] | DataFrame | None = None, deep: bool = False,
          repos: DataFrame | None = None, literal_mode: str = "strict", stage: bool = True, plan: str = "literal") -> Scan:
     """All results of a scan.
 

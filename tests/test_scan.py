@@ -9,7 +9,7 @@ from siftmoor.operators import report, risk
 from siftmoor.operators.merge import findings
 from siftmoor.operators.rulebook import rule_book
 from siftmoor.plans.scan import analyze, scan, write_whole
-from siftmoor.sources.catalogue import default_rules
+from siftmoor.sources.catalogue import default_rules, rules_table
 
 FILES = [
     ("F1", "a.sh", "shell", "echo hi\n"),
@@ -216,9 +216,13 @@ def test_findings_of_unstaged_plan(spark, file_text, found):
     assert len(rows) == sum(map(len, found.values()))
 
 
-def test_large_catalogues_are_joined(spark, file_text, files):
-    """Patterns as rows give the same results."""
-    joined = scan(file_text(FILES), stage=False, plan="join").files.collect()
+@pytest.mark.parametrize("as_table", [False, True])
+def test_large_catalogues_are_joined(spark, file_text, files, as_table):
+    """Patterns as rows give the same results, also if the catalogue comes as a table."""
+    rules = rules_table(spark, default_rules()) if as_table else default_rules()
+    with pytest.raises(ValueError):
+        scan(file_text(FILES), rules_table(spark, default_rules()))
+    joined = scan(file_text(FILES), rules, stage=False, plan="join").files.collect()
     columns = ["risk_score", "finding_count", "top_finding_id"]
     assert {(r.repo_id, r.path): [r[c] for c in columns] for r in joined} == {
         key: [r[c] for c in columns] for key, r in files.items()}
