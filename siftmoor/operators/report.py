@@ -1,5 +1,7 @@
 """Reports: nested rows, JSON output and the top-k views."""
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftmoor.functions.numbers import round_one
@@ -67,9 +69,31 @@ def nested_rows(repos: DataFrame, files: DataFrame, findings: DataFrame, **metad
 
 
 def write_json(repos: DataFrame, files: DataFrame, findings: DataFrame, target: str, **metadata) -> None:
-    """JSON lines below ``target``: ``summary`` (a record per repository), ``results`` (a record per file)."""
-    repo_records(repos, **metadata).write.mode("errorifexists").json(f"{target}/summary", ignoreNullFields=False)
-    file_records(files, findings).write.mode("errorifexists").json(f"{target}/results", ignoreNullFields=False)
+    """JSON lines below ``target``: ``summary`` (a record per repository), ``results`` (a record per file).
+
+    Both are written by one job below a folder of its own beside ``target``, which gets its name only when all of it is
+    there: a job that fails leaves no report, and none that is there already is touched.
+    """
+    spark = repos.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    storage = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if storage.exists(path):
+        raise FileExistsError(target)
+    keep = {"ignoreNullFields": "false"}
+    records = [("summary", repo_records(repos, **metadata)), ("results", file_records(files, findings))]
+    lines = [rows.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*rows.columns), keep).alias("value")) for kind, rows in records]
+    staged = f"{target.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    try:
+        lines[0].unionByName(lines[1]).write.partitionBy("kind").text(staged)
+        for kind, _ in records:
+            at, made = (spark._jvm.org.apache.hadoop.fs.Path(folder, name) for name in (kind, f"kind={kind}"))
+            if not (storage.rename(made, at) if storage.exists(made) else storage.mkdirs(at)):
+                raise OSError(f"cannot write {at}")
+        if storage.exists(path) or not storage.rename(folder, path):
+            raise FileExistsError(target)
+    finally:
+        storage.delete(folder, True)
 
 
 def top_files(files: DataFrame, k: int = TOP_FILES) -> DataFrame:

@@ -436,3 +436,58 @@ def test_damaged_archives_fail_their_repository(spark, tmp_path):
     for name in ("stream", "checksum", "encrypted", "directory"):
         assert verdicts[name].verdict == "critical" and verdicts[name].summary_message.startswith("Scan failed: ")
     assert verdicts["skipped"].total_files_scanned == 1   # a member that is skipped by name is never opened
+
+
+def members_of(names) -> Counter:
+    files = sources.archive_files(names)
+    assert sources.archive_errors(names, files).count() == 0
+    return Counter((r.repo_id, r.path, bytes(r.content)) for r in files.collect())
+
+
+def test_an_archive_is_split(spark, tmp_path, monkeypatch):
+    """Spans of the directory are listed, and chunks of members read, by many tasks; all forms of end records."""
+    monkeypatch.setattr(sources, "SPAN_BYTES", 1 << 12)
+    monkeypatch.setattr(sources, "CHUNK_BYTES", 1 << 10)
+    content = {f"top/d{i % 7}/f{i}.py": f"x = {i}\n" * (i % 50 + 1) for i in range(3000)}
+    data = archive(content)
+    commented = io.BytesIO(data)
+    with zipfile.ZipFile(commented, "a") as z:
+        z.comment = b"a comment " * 500
+    shapes = {"plain": data, "comment": commented.getvalue(), "prefix": b"#!/bin/sh\nexit 0\n" * 400 + data}
+    for name, made in shapes.items():
+        (tmp_path / f"{name}.zip").write_bytes(made)
+        names = sources.archive_names(spark.createDataFrame([(name, str(tmp_path / f"{name}.zip"))], "repo_id string, root string"))
+        assert members_of(names) == Counter((name, path.removeprefix("top/"), text.encode()) for path, text in content.items())
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert names.select("chunk").distinct().count() > 10 * tasks
+    assert sources.archive_files(names).select(F.spark_partition_id()).distinct().count() == tasks
+    spans = list(sources._spans("r", str(tmp_path / "prefix.zip")))
+    assert len(spans) > 40 and sum(int(s[2].split(",")[3]) for s in spans) == len(content)
+
+
+def test_archive_of_more_members_than_two_bytes_count(spark, tmp_path):
+    content = {f"f{i}.py": "" for i in range(70_000)} | {"last.py": "import pickle"}
+    (tmp_path / "big.zip").write_bytes(archive(content))
+    names = sources.archive_names(spark.createDataFrame([("r", str(tmp_path / "big.zip"))], "repo_id string, root string"))
+    assert names.count() == len(content)
+    assert [bytes(r.content) for r in sources.archive_files(names).where("size_bytes > 0").collect()] == [b"import pickle"]
+
+
+def test_odd_archives(spark, tmp_path, monkeypatch):
+    """Of members with one name the last one counts, also in another span; empty, cut off and missing archives."""
+    monkeypatch.setattr(sources, "SPAN_BYTES", 1)
+    twice = io.BytesIO()
+    with zipfile.ZipFile(twice, "w") as z, pytest.warns(UserWarning):
+        for text in ("first", "second"):
+            z.writestr("a.py", text)
+            z.writestr(f"{text}.py", text)
+    (tmp_path / "twice.zip").write_bytes(twice.getvalue())
+    (tmp_path / "empty.zip").write_bytes(archive({}))
+    (tmp_path / "cut.zip").write_bytes(twice.getvalue()[:-30])
+    roots = [(n, str(tmp_path / f"{n}.zip")) for n in ("twice", "empty", "cut", "gone")]
+    names = sources.archive_names(spark.createDataFrame(roots, "repo_id string, root string"))
+    files = sources.archive_files(names).collect()
+    assert {(r.repo_id, r.path, bytes(r.content)) for r in files} == {
+        ("twice", "a.py", b"second"), ("twice", "first.py", b"first"), ("twice", "second.py", b"second")} and len(files) == 3
+    assert {r.repo_id for r in sources.archive_errors(names).collect()} == {"cut", "gone"}
+    assert names.where("repo_id = 'empty'").count() == 0

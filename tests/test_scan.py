@@ -197,6 +197,19 @@ def test_json_report(spark, plain, tmp_path):
     assert results.where("repo_id = 'F9'").first().findings[0].rule_id == "NET-SUSP-PORT"
 
 
+def test_a_failed_job_leaves_no_report(spark, plain, tmp_path):
+    broken = plain.files.withColumn("language", F.when(F.col("repo_id") == "F9", F.raise_error(F.lit("lost"))).otherwise(F.col("language")))
+    with pytest.raises(Exception, match="lost"):
+        report.write_json(plain.repos, broken, plain.findings, str(tmp_path / "report"))
+    assert list(tmp_path.iterdir()) == []
+    none = [rows.limit(0) for rows in (plain.repos, plain.files, plain.findings)]
+    report.write_json(*none, str(tmp_path / "none"))
+    assert spark.read.text(str(tmp_path / "none" / "results")).count() == 0
+    with pytest.raises(FileExistsError):
+        report.write_json(plain.repos, plain.files, plain.findings, str(tmp_path / "none"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["none"]
+
+
 def test_top_views(plain):
     top = report.top_files(plain.files, k=2).where("repo_id = 'F7a'").orderBy("place").collect()
     assert [(r.path, r.more_files, r.severity) for r in top] == [("a.sh", 1, "CRITICAL"), ("b.py", 1, "MODERATE")]
