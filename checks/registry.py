@@ -20,6 +20,7 @@ from siftmoor.operators.permissions import permission_hits, permission_labels
 from siftmoor.operators.rulebook import rule_book
 from siftmoor.operators.rules import matches_by_join, rule_hits
 from siftmoor.plans.scan import analyze, scan
+from siftmoor.sources import files as sources
 from siftmoor.sources.catalogue import categories, default_rules, languages, rule_patterns, rules_by_category, rules_for_language, rules_table
 
 QUERIES, ORACLE = {}, {}
@@ -705,3 +706,22 @@ def built_urls(spark, sf_dir):
         if_known(urls.clone_url(owner, repo)).alias("clone_url"),
         if_known(urls.zip_url(owner, repo, F.col("u.branch"))).alias("zip_url"),
         if_known(urls.api_url(owner, repo)).alias("api_url"))
+
+
+# --- files of trees and archives ----------------------------------------------------------------
+_WRITTEN = ("SELECT concat_ws('/', coalesce(lang, 'none'), (doc_id // 20) % 20, doc_id || '.py') AS path, octet_length(encode(text)) AS size_bytes, "
+            "CASE WHEN octet_length(encode(text)) <= 1000000 THEN md5(text) END AS digest FROM documents WHERE text IS NOT NULL")
+
+
+def _read_back(files: DataFrame) -> DataFrame:
+    return files.select("path", "size_bytes", F.md5("content").alias("digest"))
+
+
+@query(select=_WRITTEN)
+def archive_scan(spark, sf_dir):
+    return _read_back(sources.archive_files(sources.archive_names(corpus.written(spark, sf_dir, packed=True))))
+
+
+@query(select=_WRITTEN)
+def tree_scan(spark, sf_dir):
+    return _read_back(sources.tree_files(corpus.written(spark, sf_dir, packed=False)))

@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 QUICK = ["page_admission", "rule_matches", "rule_matches_by_join", "entropy_candidates", "page_domains", "syntax_findings",
-         "merged_findings", "file_risk", "repo_risk", "checked_urls"]
+         "merged_findings", "file_risk", "repo_risk", "checked_urls", "archive_scan", "tree_scan"]
 
 
 @pytest.fixture(scope="module")
