@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 BUCKET_BYTES = 24 << 20
 _own_folders: dict[str, str] = {}
@@ -35,6 +35,20 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % parts, F.lit(-1))
 
 
+def few_of_each(rows: DataFrame, label: str, wanted: int) -> DataFrame:
+    """Of distinct rows (id, label) the `wanted` ids of each label whose hashes are the smallest.  There must be few labels.
+
+    Only ids with a hash below a bound are ranked, which is set by the label's count so that `wanted` and eight standard deviations
+    more are expected below it.  So no task ranks all ids of a label, at any size.
+    """
+    enough = wanted + 8 * wanted**0.5 + 64
+    counts = rows.groupBy(label).agg(F.count("*").alias("total"))
+    bound = F.least(F.lit(1.0), F.lit(enough) / F.col("total")) * 2.0**64 - 2.0**63
+    near = rows.join(F.broadcast(counts), label).where(F.xxhash64("id").cast("double") <= bound)
+    order = Window.partitionBy(label).orderBy(F.xxhash64("id"), "id")
+    return near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= wanted).select("id", label)
+
+
 def text_size(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

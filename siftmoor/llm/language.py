@@ -12,9 +12,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from siftmoor.llm import words as w
+from siftmoor.llm.common import few_of_each
 
 SAMPLE_ROWS = 2048
 MOST_LANGUAGES = 256
@@ -108,14 +109,16 @@ class Hierarchy:
 
 
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Hierarchy | None:
-    """The hierarchy learned from rows with an id, a text and a language; None without any."""
+    """The hierarchy learned from rows with an id, a text and a language; None without any.
+
+    Of several texts of an id and a language the smallest counts.
+    """
     labelled = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("id is not null and lang is not null and text is not null")
     languages = labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
     if languages > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = labelled.select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(1, sample_rows // max(1, languages))).drop("n").distinct()
-    sample = labelled.join(F.broadcast(chosen), ["id", "lang"]).select("lang", "text")
+    chosen = few_of_each(labelled.select("id", "lang").distinct(), "lang", max(1, sample_rows // max(1, languages)))
+    sample = labelled.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in w.slices(batches, "text", rows=ROWS):

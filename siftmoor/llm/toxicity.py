@@ -13,9 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from siftmoor.llm import words as w
+from siftmoor.llm.common import few_of_each
 
 SAMPLE_ROWS = 2000
 MOST_FEATURES = 1024
@@ -132,15 +133,14 @@ def fit_rows(texts: list[np.ndarray], swapped: list[np.ndarray | None], toxic: n
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Classifier:
     """The classifier learned from `labels` (doc_id, toxic 0 or 1) and the texts of `docs`.
 
-    Rows with a null id, label or text are left out; an id with several labels has the largest.
+    Rows with a null id, label or text are left out; an id with several labels has the largest, one with several texts the smallest.
     """
     ids = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    there = texts.select("id").join(ids, "id")
+    there = ids.join(texts.select("id"), "id", "left_semi")
     counts = {r.toxic: r["count"] for r in there.groupBy("toxic").count().collect()}
-    chosen = there.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_rows).select("id", "toxic").distinct()
-    sample = texts.join(F.broadcast(chosen), "id")
+    chosen = few_of_each(there, "toxic", sample_rows)
+    sample = texts.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = _terms()

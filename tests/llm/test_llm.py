@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from siftmoor.llm.common import few_of_each
 from siftmoor.llm import chat, decontamination, language, mixing, nearest, queries, shingles, substrings, suffix_tree, toxicity, url_rules, words
 from siftmoor.llm.common import components, fold
 
@@ -432,6 +433,33 @@ def test_toxicity_learns_and_leaves_mentions_alone(spark):
     assert toxicity.score(docs.limit(0), nothing, {"doc_id": F.col("doc_id")}).count() == 0 and 0 < nothing.scores(pa.array(["x"]))[0] < 1
 
 
+def test_few_of_each(spark):
+    """The ids of the smallest hashes of each label, with one label on nearly all rows, and fewer rows than wanted."""
+    rows = spark.range(60_000).select("id", F.when(F.col("id") < 40, F.lit("few")).otherwise(F.when(F.col("id") % 300 == 0, F.lit("some")).otherwise(F.lit("hot"))).alias("label"))
+    hashes = {}
+    for r in rows.withColumn("h", F.xxhash64("id")).collect():
+        hashes.setdefault(r.label, []).append((r.h, r.id))
+    found = {}
+    for r in few_of_each(rows, "label", 100).collect():
+        found.setdefault(r.label, set()).add(r.id)
+    assert found == {label: {i for _, i in sorted(pairs)[:100]} for label, pairs in hashes.items()}
+    assert few_of_each(rows.limit(0), "label", 5).count() == 0
+
+
+def test_samples_of_repeated_ids(spark):
+    """A row that stands there many times changes no model, however often it does."""
+    texts = [f"you are a nasty fool {i}" if i % 3 == 0 else f"a quiet day at the sea {i}" for i in range(300)]
+    rows = [(i, t, "en" if i % 2 else "de") for i, t in enumerate(texts)]
+    once = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    often = spark.createDataFrame(rows + rows[:1] * 5000 + rows[3:4] * 5000, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] * 2, "doc_id long, toxic int")
+    keep = {"doc_id": F.col("doc_id")}
+    first, second = (by_id(toxicity.score(once, toxicity.fit(docs, labels, sample_rows=50), keep), "score") for docs in (once, often))
+    assert first == second
+    first, second = (by_id(language.identify(once, language.fit(docs, sample_rows=60), keep), "lang_pred", "score") for docs in (once, often))
+    assert first == second
+
+
 # --- op10 -----------------------------------------------------------------------------------------------------------
 
 def test_suffix_tree(spark):
