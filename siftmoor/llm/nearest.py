@@ -81,6 +81,15 @@ def _survivors(query: _Block, other: _Block, k: int, least: np.ndarray) -> tuple
     return np.nonzero((near + bound >= least[:, None]) & (near > -np.inf))
 
 
+def grid(cells: int, queries: int, candidates: int) -> tuple[int, int]:
+    """Lines of query blocks and columns of candidate blocks, about `cells` in all, that copy the fewest vectors.
+
+    A query goes to every column and a candidate to every line, so columns * queries + lines * candidates are moved.
+    """
+    columns = min(cells, max(1, round((cells * candidates / max(1, queries)) ** 0.5)))
+    return max(1, cells // columns), columns
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k rows of largest cosine for each query row: (query_id, rank, vec_id, score), rank from 1, ties to the smaller id.
 
@@ -93,11 +102,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     rows = vectors.where(F.col(id_col).isNotNull() & _usable(vector_col)).select(
         F.col(id_col).cast("long").alias("id"), F.size(vector_col).alias("dim"), F.col(vector_col).alias("vector"), is_query.alias("asked"))
     asked = rows.where("asked").groupBy("id").agg(F.min("vector").alias("vector")).select("id", F.size("vector").alias("dim"), "vector")
-    blocks = -(-max(1, asked.count()) // BLOCK)
-    queries = asked.repartition(blocks, F.xxhash64("id")).mapInArrow(_pack, _PACKED)
+    total, count = (n or 0 for n in rows.agg(F.count("*"), F.count_if("asked")).first())
+    lines, columns = grid(cells, count, total)
+    queries = asked.repartition(-(-max(1, count) // BLOCK), F.xxhash64("id")).mapInArrow(_pack, _PACKED)
     others = rows.drop("asked").mapInArrow(_pack, _PACKED)
-    spread = queries.select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    tiles = others.withColumn("cell", F.pmod(F.xxhash64("ids"), F.lit(cells)).cast("int")).join(spread, ["cell", "dim"])
+    dealt = lambda ids, number: F.pmod(F.xxhash64(ids), F.lit(number)).cast("int")
+    every = lambda number: F.explode(F.sequence(F.lit(0), F.lit(number - 1)))
+    asking = queries.select(dealt("ids", lines).alias("line"), every(columns).alias("column"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    tiles = others.select("*", dealt("ids", columns).alias("column"), every(lines).alias("line")).join(asking, ["line", "column", "dim"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: dict[int, list] = {}

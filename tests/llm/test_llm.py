@@ -380,6 +380,21 @@ def test_quantised_bound_holds():
     assert all((i, j) in kept for i in range(50) for j in np.argsort(-exact[i])[:3]) and len(kept) < 1000
 
 
+def test_nearest_grid(spark, monkeypatch):
+    """Whatever grid the blocks meet in, the result is the same; the grid copies far fewer vectors than there are cells."""
+    assert nearest.grid(8, 20, 1000) == (1, 8) and nearest.grid(1, 5, 5) == (1, 1) and nearest.grid(4, 0, 0)[0] >= 1
+    lines, columns = nearest.grid(10_000, 20, 1000)
+    assert lines * columns <= 10_000 and columns * 20 + lines * 1000 < 10_000 * 20 / 6
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(600)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(nearest, "BLOCK", 16)
+    found = []
+    for shape in ((1, 1), (1, 4), (3, 2), (4, 1)):
+        monkeypatch.setattr(nearest, "grid", lambda *_: shape)
+        found.append(sorted(map(tuple, nearest.nearest(rows, F.col("vec_id") % 20 == 0).collect())))
+    assert found[0] and all(f == found[0] for f in found)
+
+
 # --- op8 ------------------------------------------------------------------------------------------------------------
 
 def test_url_rules_by_brute_force(spark):
