@@ -104,10 +104,34 @@ def prepare(pattern: str, kind: str) -> Prepared | None:
     parts = tuple(dict.fromkeys(group for group in groups if group != anchors))
     in_text = None
     if tree.getwidth()[0] and not tree.state.flags & (re.DOTALL | re.VERBOSE) and not _sees_text(tree):
-        in_text = "(?m)" + (to_java(pattern, in_text=True) if kind == "regex" else java)
+        in_text = "(?m)" + _led(to_java(pattern, in_text=True) if kind == "regex" else java, tree)
     return Prepared(java, anchors, parts, always, in_text)
 
 
+def _led(java: str, tree) -> str:
+    """A pattern that begins with an assertion, behind a test of its first character, which costs less."""
+    first = _first_characters(tree)
+    if tree[0][0] is not sre.AT or not first:
+        return java
+    return f"{FLAGS}(?=[{''.join(sorted(first))}])(?:{java.removeprefix(FLAGS)})"
+
+
+def _first_characters(tree) -> set[str]:
+    """The letters and digits a match can begin with; empty if it can begin with others."""
+    for op, arg in tree:
+        if op is sre.AT:
+            continue
+        if op is sre.LITERAL:
+            return {chr(arg)} if arg < 128 and chr(arg).isalnum() else set()
+        if op is sre.SUBPATTERN and not arg[1] and not arg[2]:
+            return _first_characters(arg[3])
+        if op is sre.BRANCH:
+            options = [_first_characters(branch) for branch in arg[1]]
+            return set().union(*options) if all(options) else set()
+        return set()
+    return set()
+
+
 def _loops() -> tuple:
     """The operators that repeat; a function, as the parser's constants cannot travel with jobs."""
     return sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT

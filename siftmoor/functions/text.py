@@ -1,5 +1,7 @@
 """Column functions on text and lines."""
 
+import json
+
 from pyspark.sql import Column, functions as F
 
 # FIXED VALUES: the characters that whitespace stripping removes
@@ -45,6 +47,11 @@ def sql_array(values) -> str:
     return "array(" + ", ".join(sql_text(v) if isinstance(v, str) else str(v) for v in values) + ")"
 
 
+def sql_literal(value, schema: str) -> str:
+    """A constant of nested type as SQL: one JSON text, read once while the plan is made."""
+    return f"from_json({sql_text(json.dumps(value, ensure_ascii=False))}, {sql_text(schema)})"
+
+
 def fold_case(lowered: Column) -> Column:
     """Lower-cased text with the non-ASCII letters that case-insensitively equal an ASCII one replaced.
 

@@ -17,7 +17,6 @@ A rule for a language and for all languages is in both lists, so a file of that
 language gets a hit of each.
 """
 
-import json
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siftmoor.fixed import detectors as fx
 from siftmoor.functions.regex import prepare, rare_start
-from siftmoor.functions.text import fold_case, sql_text
+from siftmoor.functions.text import fold_case, sql_literal
 from siftmoor.operators.anchors import Anchors
 from siftmoor.operators.grams import GRAM, gram_filter, gram_length, gram_number, gram_slots, indexed_lines
 from siftmoor.operators.hits import HIT, RULES, no_hits
@@ -43,17 +42,12 @@ _PREPARED_ARROW = pa.schema([
     ("always", pa.bool_()), ("in_text", pa.string()), ("java", pa.string()), ("anchors", _TEXTS), ("grams", pa.list_(pa.int64())), ("slots", pa.list_(pa.int64()))])
 
 
-def _literal(value, schema: str) -> str:
-    """A constant of nested type as SQL: one JSON text, read once while the plan is made."""
-    return f"from_json({sql_text(json.dumps(value, ensure_ascii=False))}, {sql_text(schema)})"
-
-
 # SQL for the number of the first matching line of pattern x; null or 0 without one.  The text before the first match
-# has as many line ends as there are lines before it.
+# has as many line ends as there are lines before it; the text is searched once, as its pattern is compiled for each search.
 _FIRST_LINE = (
     "CASE WHEN x.always THEN least(size(lines), 1) "
     "WHEN x.in_text IS NULL THEN CAST(array_position(transform(lines, l -> l RLIKE x.java), true) AS INT) "
-    "WHEN text RLIKE x.in_text THEN size(split(get(split(text, x.in_text, 2), 0), '\\n', -1)) END")
+    "ELSE get(transform(array(split(text, x.in_text, 2)), p -> CASE WHEN size(p) > 1 THEN size(split(p[0], '\\n', -1)) END), 0) END")
 _APPLIES = "arrays_overlap(x.languages, array(language, 'all')) AND forall(x.parts, g -> exists(g, t -> contains(folded, t)))"
 # The lists a rule is in for a file: 0 is that of the file's language, 1 that for all languages.
 _LISTS = (
@@ -78,11 +72,11 @@ def rule_hits(patterns: list[RulePattern], anchors: Anchors) -> Column:
             by_anchor[anchor].append(i)
         if not p.prepared.anchors:
             without.append(i)
-    table = _literal([
+    table = sql_literal([
         {"rule_ord": p.rule.rule_ord, "pattern_ord": p.pattern_ord, "pattern": p.pattern, "languages": p.rule.languages, "parts": p.prepared.parts,
          "always": p.prepared.always, "in_text": p.prepared.in_text, "java": p.prepared.java} for p in patterns], f"array<{_PATTERN}>")
-    found = f"flatten(transform(found, a -> coalesce(try_element_at({_literal(by_anchor, 'map<string,array<int>>')}, a), array())))"
-    ids = f"array_distinct(concat({_literal(without, 'array<int>')}, {found}))"
+    found = f"flatten(transform(found, a -> coalesce(try_element_at({sql_literal(by_anchor, 'map<string,array<int>>')}, a), array())))"
+    ids = f"array_distinct(concat({sql_literal(without, 'array<int>')}, {found}))"
     may_match = f"filter(transform({ids}, i -> get({table}, i)), x -> {_APPLIES})"
     matches = f"filter(transform({may_match}, x -> named_struct('x', x, 'n', {_FIRST_LINE})), y -> y.n > 0)"
     as_hit = (

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from siftmoor.fixed import detectors as fx
 from siftmoor.functions import urls
-from siftmoor.functions.entropy import shannon, shannon_at_least
+from siftmoor.functions.entropy import at_most as entropy_bound, shannon, shannon_at_least
 from siftmoor.functions.numbers import human_size, round_one
 from siftmoor.functions.regex import prepare, rare_start, to_java
 from siftmoor.functions.text import WHITESPACE, fold_case, shorten_path, split_lines, sql_text, strip, unix_newlines
 from siftmoor.operators import admission, grams, network, networks
-from siftmoor.operators.anchors import Anchors
+from siftmoor.operators.anchors import Anchors, one_by_one
 from siftmoor.operators.lines import with_lines
 from siftmoor.operators.rules import matches_by_join, rule_hits
 from siftmoor.operators.syntax import facts_of
@@ -136,6 +136,7 @@ def test_first_line_by_position(spark):
             lines = lines[:-1] if lines[-1] == "" else lines
             for (source, _), n in zip(part, row.n):
                 assert n == next((i + 1 for i, line in enumerate(lines) if re.search(source, line, re.IGNORECASE)), None), (source, row.text)
+    assert prepare(r"\b(44|5x)\b", "regex").in_text.startswith("(?m)(?iudU)(?=[45])") and "(?=[" not in prepare(r"\b[^a]x", "regex").in_text
     assert "socket".endswith(rare_start("socket"))
 
 
@@ -225,6 +226,29 @@ def test_entropy(spark):
         [expected(v) if len(set(v)) >= 23 else 0 for v in values])
 
 
+def test_entropy_bound_is_never_below_the_entropy(spark):
+    rng = random.Random(4)
+    prose = "a long line of common prose, in which no letter is as frequent as in a key; it has Many Kinds of characters (34) all the same."
+    values = ["", " ", "é", "aaaa", prose, prose * 9, "漢字 eain" * 5] + ["".join(rng.choices(prose + "é漢😀xyzXYZ09", k=rng.randrange(1, 300))) for _ in range(200)]
+    bounds, exact = column(spark, values, entropy_bound), column(spark, values, shannon)
+    assert all(b >= e - 1e-9 for b, e in zip(bounds, exact))
+    assert column(spark, [prose * 9], lambda v: shannon_at_least(v, 4.5)) == [0.0]      # 30 kinds of characters, yet ruled out
+    assert len(set(prose)) > 2**4.5
+
+
+def test_anchors_are_found_in_one_pass(spark, file_text):
+    """The anchors of a file are those that occur in it, overlapping ones and beginnings of others too; few are looked for one by one."""
+    anchors = Anchors(rule_patterns(default_rules()))
+    rng = random.Random(9)
+    for language in ("python", "shell", "go"):
+        wanted = sorted(anchors.everywhere | anchors.by_language.get(language, set()))
+        texts = ["", "\n", "ＡＢ😀"] + ["".join(rng.choice(wanted + [" ", "\n", "é", "x"])[: rng.choice([99, 99, 3])] for _ in range(rng.randrange(9))) for _ in range(300)]
+        table = file_text([("r", str(i), language, t) for i, t in enumerate(texts)] + [("r", "null", language, None)])
+        for row in with_lines(table, anchors).select("text", "folded", "found").collect():
+            assert sorted(row.found) == [a for a in wanted if row.text is not None and a in row.folded]
+        assert len(one_by_one(wanted)) < 0.3 * len(wanted)
+
+
 def test_private_addresses(spark):
     import ipaddress
 
