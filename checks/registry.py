@@ -395,7 +395,8 @@ def deep_findings(spark, sf_dir):
 @query(o.SEEDED + o.SCAN, "SELECT repo_id, path, string_agg(rule_id, ' ' ORDER BY rank_in_file) AS rules_in_order "
        "FROM findings GROUP BY ALL")
 def findings_in_order(spark, sf_dir):
-    records = report.file_records(_files(spark, sf_dir), _findings(spark, sf_dir)).where("finding_count > 0")
+    result = scan(corpus.seeded(spark, sf_dir))
+    records = report.file_records(result.files, result.findings).where("finding_count > 0")
     rules = F.array_join(F.transform("findings", lambda f: f["rule_id"]), " ")
     return records.select("repo_id", F.col("relative_path").alias("path"), rules.alias("rules_in_order"))
 
@@ -627,8 +628,8 @@ def report_summary(spark, sf_dir):
 @query(o.SEEDED + o.SCAN, "SELECT repo_id, count(*) AS files, sum(finding_count) AS findings, "
        "string_agg(path || ':' || coalesce(top_finding_id, '-'), ' ' ORDER BY path) AS tops FROM files GROUP BY repo_id")
 def nested_report(spark, sf_dir):
-    files = _files(spark, sf_dir)
-    rows = report.nested_rows(risk.repo_results(files), files, _findings(spark, sf_dir)).where("place = 1")
+    result = scan(corpus.seeded(spark, sf_dir))
+    rows = report.nested_rows(result.repos, result.files, result.findings).where("place = 1")
     top = F.struct("relative_path", F.concat("relative_path", F.lit(":"), F.coalesce("result.top_finding_id", F.lit("-"))).alias("text"))
     return rows.groupBy("repo_id").agg(F.count("*").alias("files"), F.sum(F.size("result.findings")).alias("findings"),
                                        F.array_join(F.sort_array(F.collect_list(top))["text"], " ").alias("tops"))
@@ -640,7 +641,7 @@ def nested_report(spark, sf_dir):
        f"UNION ALL SELECT repo_id, 1, path, round(risk_score, 6), {o.level('risk_score')}, 1, finding_count, critical_count, high_count, NULL, NULL FROM files")
 def nested_report_rows(spark, sf_dir):
     """Summary and file rows of the nested report."""
-    result = scan(corpus.seeded(spark, sf_dir), stage=False)
+    result = scan(corpus.seeded(spark, sf_dir))
     rows, file = report.nested_rows(result.repos, result.files, result.findings), F.col("place") == 1
     both = lambda summary, record: F.when(file, F.col(f"result.{record}")).otherwise(F.col(f"summary.{summary}"))
     return rows.select(
