@@ -8,8 +8,9 @@ import ast
 import warnings
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siftmoor.fixed import detectors as fx
 from siftmoor.operators.hits import SYNTAX, hit, no_hits
@@ -60,11 +61,19 @@ def facts_of(text: str | None) -> list[tuple]:
     return facts
 
 
-@F.pandas_udf(FACTS)
-def _facts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+TEXTS_AT_ONCE = 64
+_FACTS_ARROW = to_arrow_type(FACTS)
+
+
+@F.arrow_udf(FACTS)
+def _facts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """One text after the other is taken out of Arrow, and the facts of a few go back into it at once."""
     names = ("kind", "name", "base", "lineno", "inner_name")
     for texts in batches:
-        yield texts.map(lambda text: [dict(zip(names, fact)) for fact in facts_of(text)])
+        parts = [
+            pa.array([[dict(zip(names, fact)) for fact in facts_of(text.as_py())] for text in texts.slice(start, TEXTS_AT_ONCE)], _FACTS_ARROW)
+            for start in range(0, len(texts), TEXTS_AT_ONCE)]
+        yield pa.concat_arrays(parts) if parts else pa.array([], _FACTS_ARROW)
 
 
 def syntax_facts(language: Column, text: Column) -> Column:

@@ -18,6 +18,7 @@ from siftmoor.functions.entropy import at_most as entropy_bound, shannon, shanno
 from siftmoor.functions.numbers import human_size, round_one
 from siftmoor.functions.regex import prepare, rare_start, to_java
 from siftmoor.functions.text import WHITESPACE, fold_case, shorten_path, split_lines, sql_text, strip, unix_newlines
+from siftmoor.operators import syntax
 from siftmoor.operators import admission, grams, network, networks
 from siftmoor.operators.anchors import Anchors, one_by_one
 from siftmoor.operators.lines import with_lines
@@ -515,3 +516,10 @@ def test_odd_archives(spark, tmp_path, monkeypatch):
         ("twice", "a.py", b"second"), ("twice", "first.py", b"first"), ("twice", "second.py", b"second")} and len(files) == 3
     assert {r.repo_id for r in sources.archive_errors(names).collect()} == {"cut", "gone"}
     assert names.where("repo_id = 'empty'").count() == 0
+
+
+def test_syntax_facts_of_more_texts_than_are_taken_at_once(spark, file_text):
+    count = 2 * syntax.TEXTS_AT_ONCE + 7
+    texts = [("r", str(i), "python", None if i % 5 == 0 else "x = (" if i % 5 == 1 else f"import os{i}\nf{i}(g())") for i in range(count)]
+    found = {(r.path, r.name) for r in syntax.facts_table(file_text(texts).coalesce(1)).collect()}
+    assert found == {(str(i), name) for i in range(count) if i % 5 > 1 for name in (f"os{i}", f"f{i}", "g")}
