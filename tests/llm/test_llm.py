@@ -448,6 +448,19 @@ def test_toxicity_learns_and_leaves_mentions_alone(spark):
     assert toxicity.score(docs.limit(0), nothing, {"doc_id": F.col("doc_id")}).count() == 0 and 0 < nothing.scores(pa.array(["x"]))[0] < 1
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """A word that stands only in texts beyond the 2,000 of the smallest hashes counts; the sums do not depend on the cut of the rows."""
+    plain = [" ".join(prose(i, 12, 200)) for i in range(4800)]
+    rows = spark.createDataFrame([(i, int(i % 2)) for i in range(4800)], "id long, toxic int")
+    first = {r.id for r in few_of_each(rows, "toxic", 2000).collect()}
+    texts = [t if i % 2 == 0 else f"{t} {'vileword' if i in first else 'grimword'}" for i, t in enumerate(plain)]
+    docs, labels = docs_of(spark, texts), rows.withColumnRenamed("id", "doc_id")
+    model = toxicity.fit(docs, labels)
+    assert (model.scores(pa.array(["t1 t2 vileword", "t1 t2 grimword"])) > 0.9).all() and model.scores(pa.array(["t1 t2 t3"]))[0] < 0.3
+    again = toxicity.fit(docs.repartition(7), labels)
+    assert (model.features == again.features).all() and (model.weights == again.weights).all()
+
+
 def test_few_of_each(spark):
     """The ids of the smallest hashes of each label, with one label on nearly all rows, and fewer rows than wanted."""
     rows = spark.range(60_000).select("id", F.when(F.col("id") < 40, F.lit("few")).otherwise(F.when(F.col("id") % 300 == 0, F.lit("some")).otherwise(F.lit("hot"))).alias("label"))
