@@ -294,6 +294,30 @@ def test_decontamination_finds_items_of_common_words(spark):
     assert {(r.doc_id, r.item_id): r.kind for r in found} == want and len(want) == 40 + 8 + 5
 
 
+def test_decontamination_finds_paraphrases_of_long_items(spark):
+    """As comparing every passage with every piece by the cosine of the whole vectors does, also if there are more pieces than a block takes."""
+    items = [(i, " ".join(prose(9000 + i, 150, 3000))) for i in range(250)]
+    texts = [" ".join(prose(i, 150, 3000)) for i in range(40)]
+    for i in range(0, 250, 5):  # some 65 % of the words in order, the answer whole
+        own = items[i][1].split()
+        texts.append(" ".join(prose(5000 + i, 40, 3000) + [x for k, x in enumerate(own) if k % 3 or k >= 140] + prose(6000 + i, 40, 3000)))
+    docs, asked = docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    find = lambda least: {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, asked, least_cosine=least).collect()}
+    found = find(decontamination.LEAST_COSINE)
+    whole = find(-1e-3)
+    assert len(whole) >= 40 and len(found & whole) >= 0.9 * len(whole) and found <= whole
+
+
+def test_latent_cosines_are_those_of_whole_vectors():
+    rng = np.random.default_rng(1)
+    pieces, idf = [rng.integers(0, 300, 48) for _ in range(80)] + [np.arange(3), np.arange(3)], rng.uniform(0.1, 5, 300).astype(np.float32)
+    basis, latent = decontamination._latent(pieces, idf)
+    passages = [rng.integers(-1, 300, 64) for _ in range(50)]
+    whole = lambda p: np.sqrt(np.bincount(p[p >= 0], minlength=300)) * idf
+    want = [[whole(p) @ whole(q) / np.linalg.norm(whole(q)) for q in pieces] for p in passages]
+    assert np.allclose([whole(p) @ basis @ latent.T for p in passages], want, atol=1e-3)
+
+
 def test_dense_stretches_by_brute_force(monkeypatch):
     monkeypatch.setattr(decontamination, "WORDS_AT_ONCE", 50)
     rng = random.Random(3)
