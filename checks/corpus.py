@@ -215,38 +215,36 @@ def repo_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def written(spark: SparkSession, sf_dir: str, packed: bool) -> DataFrame:
     """``(repo_id, root)`` of ZIP archives or trees that hold every text of ``documents`` as a file; each task writes one.
 
-    They lie in the shared folder of the session.  A task writes under a name of its own and renames when all is there.
+    They lie in the shared folder of the session.  A task writes under a name of its own and renames when all is there.  Its rows
+    come in pickled batches of a few megabytes; an Arrow batch has 10,000 texts or 64 MB.
     """
     shared = staging_dir(spark) or tempfile.mkdtemp(prefix="written-")
     folder = f"{shared.removeprefix('file:')}/written-{uuid.uuid4().hex}"
     table = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id").where("text is not null")
     path = F.concat_ws("/", F.coalesce("lang", F.lit("none")), (F.floor(F.col("doc_id") / 20) % 20).cast("string"), F.concat("doc_id", F.lit(".py")))
 
-    def write(batches):
-        import pandas as pd
-
+    def write(rows):
         root = f"{folder}/{TaskContext.get().partitionId()}"
         own = f"{root}.{uuid.uuid4().hex}"
         os.makedirs(folder, exist_ok=True)
         if packed:
             with zipfile.ZipFile(own, "w", zipfile.ZIP_DEFLATED) as archive:
-                for batch in batches:
-                    for name, text in zip(batch["path"], batch["text"]):
-                        archive.writestr(f"top/{name}", text)
+                for name, text in rows:
+                    archive.writestr(f"top/{name}", text)
         else:
             os.makedirs(own)
-            for batch in batches:
-                for name, text in zip(batch["path"], batch["text"]):
-                    target = Path(own, name)
-                    target.parent.mkdir(parents=True, exist_ok=True)
-                    target.write_bytes(text.encode())
+            for name, text in rows:
+                target = Path(own, name)
+                target.parent.mkdir(parents=True, exist_ok=True)
+                target.write_bytes(text.encode())
         if packed:
             os.replace(own, root)
         elif os.path.exists(root):
             shutil.rmtree(own)
         else:
             os.rename(own, root)
-        yield pd.DataFrame([(os.path.basename(root), root)], columns=["repo_id", "root"])
+        yield os.path.basename(root), root
 
-    table.select(path.alias("path"), "text").mapInPandas(write, "repo_id string, root string").write.parquet(f"{folder}/roots")
+    roots = table.select(path.alias("path"), "text").rdd.mapPartitions(write)
+    spark.createDataFrame(roots, "repo_id string, root string").write.parquet(f"{folder}/roots")
     return spark.read.parquet(f"{folder}/roots")

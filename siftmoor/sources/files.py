@@ -18,9 +18,11 @@ import os
 import struct
 import zipfile
 import zlib
+from collections import namedtuple
 from collections.abc import Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from siftmoor.fixed import files as fx
@@ -31,7 +33,7 @@ SPANS = "repo_id string, root string, span string, error string"
 MEMBERS = "repo_id string, root string, member string, size_bytes bigint, chunk string, place bigint, top string, error string"
 FILES = "repo_id string, path string, size_bytes bigint, content binary, error string"
 NAMES_PER_BATCH = 10_000
-BYTES_PER_BATCH = 32_000_000
+BYTES_PER_BATCH = 4_000_000    # of contents that a task holds before it hands them on
 CHUNK_BYTES = 16_000_000       # members of an archive that are read together
 SPAN_BYTES = 1 << 20           # of a central directory, listed by one task
 LEVELS = 3                     # steps of listing a tree; the last one walks all that is below
@@ -43,19 +45,29 @@ def _skipped(directory: str) -> bool:
     return directory in fx.SKIP_DIRECTORIES or directory.endswith(fx.SKIP_DIRECTORY_SUFFIX)
 
 
-def _frames(rows, columns, weight) -> Iterator[pd.DataFrame]:
-    batch, held = [], 0
-    for row in rows:
-        batch.append(row)
-        held += weight(row)
-        if held >= 1:
-            yield pd.DataFrame(batch, columns=columns)
-            batch, held = [], 0
-    if batch:
-        yield pd.DataFrame(batch, columns=columns)
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return map(namedtuple("Row", batch.schema.names)._make, zip(*(column.to_pylist() for column in batch.columns)))
+
+
+def _batches(rows, schema: str, weight) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches that end when the weights of their rows reach 1."""
+    fields = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in schema.split(", "))])
 
+    def made(held: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*held), fields)], schema=fields)
 
-_FILE_COLUMNS = [c.split()[0] for c in FILES.split(", ")]
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += weight(row)
+        if total >= 1:
+            batch, held, total = made(held), [], 0
+            yield batch
+    if held:
+        yield made(held)
 
 
 def _spread(table: DataFrame, *keys) -> DataFrame:
@@ -201,14 +213,11 @@ def _members(repo_id: str, root: str, span: str) -> Iterator[tuple]:
 
 
 def _listed(rows: DataFrame, of_row, schema: str = NAMES) -> DataFrame:
-    columns = [c.split()[0] for c in schema.split(", ")]
-
     def run(batches):
-        for batch in batches:
-            rows = (found for row in batch.itertuples(index=False) for found in of_row(row))
-            yield from _frames(rows, columns, lambda row: 1 / NAMES_PER_BATCH)
+        found = (found for batch in batches for row in _rows(batch) for found in of_row(row))
+        yield from _batches(found, schema, lambda row: 1 / NAMES_PER_BATCH)
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _read_plain(root: str, members, chunk: str | None) -> Iterator[tuple]:
@@ -237,23 +246,23 @@ def _read_archive(root: str, members, chunk: str) -> Iterator[tuple]:
 
 def _contents(names: DataFrame, read) -> DataFrame:
     """Contents of the named files; those that admission knows by name or size to skip are never opened."""
-    def run(batches):
+    def rows(batches):
         for batch in batches:
-            def rows():
-                for (root, chunk), group in batch.groupby(["root", "chunk"], sort=False, dropna=False):
-                    wanted, other = group[group["wanted"]], group[~group["wanted"]]
-                    for row, (content, error) in zip(wanted.itertuples(), read(root, wanted["member"], chunk)):
-                        yield row.repo_id, row.path, int(row.size_bytes), content, error
-                    for row in other.itertuples():
-                        size = None if pd.isna(row.size_bytes) else int(row.size_bytes)
-                        yield row.repo_id, row.path, size, b"" if size == 0 else None, None
+            for (root, chunk), group in groupby(_rows(batch), lambda row: (row.root, row.chunk)):
+                group = list(group)
+                wanted, other = [row for row in group if row.wanted], [row for row in group if not row.wanted]
+                for row, (content, error) in zip(wanted, read(root, [row.member for row in wanted], chunk)):
+                    yield row.repo_id, row.path, row.size_bytes, content, error
+                for row in other:
+                    yield row.repo_id, row.path, row.size_bytes, b"" if row.size_bytes == 0 else None, None
 
-            yield from _frames(rows(), _FILE_COLUMNS, lambda row: (1000 + len(row[3] or b"")) / BYTES_PER_BATCH)
+    def run(batches):
+        yield from _batches(rows(batches), FILES, lambda row: (1000 + len(row[3] or b"")) / BYTES_PER_BATCH)
 
     readable = F.coalesce(F.col("size_bytes").between(1, fx.MAX_FILE_BYTES), F.lit(False))
     named = names.where(F.col("path").isNotNull()).withColumn("wanted", readable & name_reason(F.col("path")).isNull())
     together = F.coalesce("chunk", "path")
-    return _spread(named, "repo_id", "root", together).sortWithinPartitions("root", "chunk").mapInPandas(run, FILES)
+    return _spread(named, "repo_id", "root", together).sortWithinPartitions("root", "chunk").mapInArrow(run, FILES)
 
 
 def tree_names(roots: DataFrame) -> DataFrame:

@@ -403,6 +403,22 @@ def test_many_tasks_list_and_read(spark, tmp_path):
             (f"r{r}", f"d{d}/a/b/c/f{k}.py") for r in range(40) for d in range(5) for k in range(10))
 
 
+def test_contents_are_handed_on_in_small_batches(spark):
+    """40 files of 500 kB in one task: it never holds more than a few megabytes of them."""
+    def read(root, members, chunk):
+        import tracemalloc
+
+        tracemalloc.start()
+        for member in members:
+            yield bytes(500_000), str(tracemalloc.get_traced_memory()[0])
+        tracemalloc.stop()
+
+    names = spark.createDataFrame([("r", "/", f"/f{k}.py", f"f{k}.py", 500_000, "same", None) for k in range(40)], sources.NAMES).coalesce(1)
+    rows = sources._contents(names, read).select("path", F.length("content").alias("n"), F.col("error").cast("long").alias("held")).collect()
+    assert {(r.path, r.n) for r in rows} == {(f"f{k}.py", 500_000) for k in range(40)}
+    assert max(r.held for r in rows) < 8_000_000
+
+
 def archive(members) -> bytes:
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
