@@ -3,8 +3,10 @@
 import hashlib
 import math
 import random
+import tempfile
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -584,6 +586,21 @@ def test_suffix_tree_uses_all_contexts_and_next_words(spark, monkeypatch):
     assert kept(("alpha", "beta"))
 
 
+def test_suffix_tree_leaves_few_files(spark, tmp_path, monkeypatch):
+    """Fitted and scored, next to no shuffle files are left; few symbols and marks change no score."""
+    texts = [" ".join(prose(i, 20000, 4000)) for i in range(100)]
+    docs, keep = docs_of(spark, texts), {"doc_id": F.col("doc_id")}
+    files = lambda: {f: f.stat().st_size for f in Path(tempfile.gettempdir()).glob("blockmgr-*/*/shuffle_*")}
+    before = files()
+    scored = suffix_tree.score(docs, suffix_tree.fit(docs), keep)
+    assert sum(size for f, size in files().items() if f not in before) < 1_000_000
+    first = by_id(scored, "score")
+    monkeypatch.setattr(suffix_tree, "SYMBOLS", 50)
+    monkeypatch.setattr(suffix_tree, "MARK_BITS", 8)
+    second = by_id(suffix_tree.score(docs, suffix_tree.fit(docs), keep), "score")
+    assert [first[i] for i in range(len(texts))] == pytest.approx([second[i] for i in range(len(texts))])
+
+
 def test_suffix_tree_odd_tables(spark):
     empty = docs_of(spark, []).limit(0)
     model = suffix_tree.fit(empty)
