@@ -28,7 +28,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftmoor.llm import words as w
-from siftmoor.llm.common import buckets_for, stage, text_size
+from siftmoor.llm.common import buckets_for, shuffles_dropped, stage, text_size
 
 LEAST_COUNT = 2
 SYMBOLS, CACHE_SHARE = 1 << 20, 2.0**-21  # of what also goes to the tasks
@@ -111,6 +111,28 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _short(data: bytes) -> bytes:
+    """Compressed, if that is shorter."""
+    found = pa.compress(data, "zstd", asbytes=True)
+    return found if len(found) < len(data) else data
+
+
+def _whole(data: bytes, size: int) -> bytes | pa.Buffer:
+    return data if len(data) == size else pa.decompress(data, size, "zstd")
+
+
+def _places_packed(at: np.ndarray) -> bytes:
+    """Numbers below 2^16 and how many they are; the low bytes hardly compress and stay as they are."""
+    low, high = at.astype(np.uint16).view(np.uint8).reshape(-1, 2).T
+    return len(at).to_bytes(4, "little") + low.tobytes() + _short(high.tobytes())
+
+
+def _places_unpacked(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:4], "little")
+    low, high = np.frombuffer(data, np.uint8, size, 4), np.frombuffer(_whole(data[4 + size :], size), np.uint8)
+    return low.astype(np.int64) | high.astype(np.int64) << 8
+
+
 def _marked(marks: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """False for codes that certainly were not marked."""
     at = w.mixed(codes) >> np.uint64(65 - (8 * len(marks)).bit_length())
@@ -187,7 +209,7 @@ def _counted(rows: DataFrame, codes_of: Callable[[pa.Array], np.ndarray], bucket
         codes, counts = _sums(w.joined(table["codes"], np.uint64), w.joined(table["counts"], np.int32).astype(np.int64))
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "codes": w.binary([codes]), "counts": w.binary([counts])})
 
-    return stage(rows.select("text").mapInArrow(count, _CODES).groupBy("bucket").applyInArrow(add, _CODES), "counts", drop_shuffles=True)
+    return stage(rows.select("text").mapInArrow(count, _CODES).groupBy("bucket").applyInArrow(add, _CODES), "counts", drop_shuffles=True, large_rows=True)
 
 
 def _frequent(counted: DataFrame, enough: Callable[[np.ndarray], np.ndarray | float]) -> tuple[np.ndarray, np.ndarray]:
@@ -364,7 +386,8 @@ def _runs_of(rows: DataFrame, length: int, symbols: Broadcast, marks: Broadcast
             follows = np.flatnonzero((at[1:] == at[:-1] + 1) & (text[at[1:]] == text[at[:-1]])) if len(at) else np.zeros(0, np.int64)
             if marks is not None:
                 follows = follows[_marked(marks.value, codes[follows])]
-            parts.append(_merged(codes[follows], codes[follows + 1], np.ones(len(follows), np.int64)))
+            part = codes[follows], codes[follows + 1], np.ones(len(follows), np.int64)
+            parts.append(part if marks is not None else _merged(*part))  # few longer runs are equal within a slice
             held += len(parts[-1][0])
             if held > MERGED_RUNS:
                 yield from emit(parts)
@@ -385,16 +408,18 @@ def _merged(prefix: np.ndarray, suffix: np.ndarray, counts: np.ndarray) -> tuple
     return prefix[first], suffix[first], np.add.reduceat(counts[order], opens) if len(opens) else counts
 
 
-def _level(rows: DataFrame, length: int, symbols: Broadcast, marks: Broadcast | None, before: DataFrame, buckets: int, least_shown: float, last: bool) -> DataFrame:
+def _level(rows: DataFrame, length: int, symbols: Broadcast, marks: Broadcast | None, before: DataFrame, told_of: Callable[[pa.RecordBatch], Iterator[tuple]], buckets: int,
+           least_shown: float, last: bool) -> DataFrame:
     """The states of contexts of `length` words, staged: told probabilities (log10) of all runs, values of runs and states.
 
-    before: (codes, told) of the runs of `length` words.  Nothing is told of the `last` level, which has no longer runs.
+    told_of: gives ascending codes and told values of the runs of `length` words from batches of `before`.  It is a step of `deal`,
+    not a `mapInArrow` of its own: a task has a Python worker for each, and workers stay with the memory that they took.
+    Nothing is told of the `last` level, which has no longer runs.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for codes, told in zip(batch["codes"], batch["told"]):
-                codes, told = _unpacked(codes.as_py()), np.frombuffer(told.as_buffer(), np.float32)
+            for codes, told in told_of(batch):
                 yield from _dealt(codes, buckets, _RUNS_ARROW, suffix=codes, told=told).to_batches()
 
     def attach(key: tuple, table: pa.Table) -> pa.Table:
@@ -410,11 +435,12 @@ def _level(rows: DataFrame, length: int, symbols: Broadcast, marks: Broadcast |
 
     def decide(key: tuple, table: pa.Table) -> pa.Table:
         (prefix, suffix), counts, before = _runs_in(table, length), w.joined(table["counts"], np.int64), w.joined(table["told"], np.float32).astype(np.float64)
-        _, state = np.unique(prefix, return_inverse=True)
-        good = np.flatnonzero(np.bincount(state, counts)[state] >= LEAST_COUNT) if len(prefix) else np.zeros(0, np.int64)
+        states, state = np.unique(prefix, return_inverse=True)
+        often = np.bincount(state, counts, len(states)) >= LEAST_COUNT
+        good = np.flatnonzero(often[state])
         order = good[np.argsort(_code(prefix[good], suffix[good]))]
         prefix, suffix, counts, before = prefix[order], suffix[order], counts[order], before[order]
-        states, state = np.unique(prefix, return_inverse=True)
+        states, state = states[often], (np.cumsum(often) - 1)[state[order]]
         totals = np.bincount(state, counts, len(states))
         told = np.log10(counts + SMOOTHING * 10**before) - np.log10(totals[state] + SMOOTHING)
         rest = np.log10(SMOOTHING / (totals + SMOOTHING))
@@ -436,11 +462,16 @@ def _level(rows: DataFrame, length: int, symbols: Broadcast, marks: Broadcast |
         return pa.table({n: pa.array([columns[n]], pa.binary()) for n in names} | {"shown": pa.array([sink.getvalue().to_pybytes() if len(shown) else None], pa.binary())})
 
     met = _runs_of(rows, length, symbols, marks, buckets).union(before.mapInArrow(deal, _RUNS)).groupBy("bucket").applyInArrow(attach, _RUNS)
-    return stage(met.groupBy("bucket").applyInArrow(decide, _LEVEL), "level", drop_shuffles=True)
+    return stage(met.groupBy("bucket").applyInArrow(decide, _LEVEL), "level", drop_shuffles=True, large_rows=True)
 
 
 def fit(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> tuple[Tree, DataFrame]:
     """The tree of the texts of `docs` and the staged counts of all their tokens.  A null text counts as empty."""
+    with shuffles_dropped(docs.sparkSession):
+        return _fit(docs, text, depth)
+
+
+def _fit(docs: DataFrame, text: str, depth: int) -> tuple[Tree, DataFrame]:
     rows = docs.select(F.col(text).alias("text"))
     buckets = buckets_for(text_size(docs, text) // 2, BUCKET_BYTES)
     counted = _counted(rows, lambda column: _tokens(column)[0], buckets)
@@ -455,18 +486,17 @@ def fit(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> tuple[Tree,
     whole, symbols = float(np.log10(tokens + distinct + 1.0)), context.broadcast(tree.symbols.parts)
     tree.shared = symbols
 
-    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for codes, counts in zip(batch["codes"], batch["counts"]):
-                codes, told = _word_codes(Symbols(*symbols.value), np.frombuffer(codes.as_buffer(), np.uint64)), np.log10(np.frombuffer(counts.as_buffer(), np.int64) + 1.0) - whole
-                order = np.argsort(codes)
-                yield pa.RecordBatch.from_arrays([pa.array([_packed(codes[order])], pa.binary()), w.binary([told[order].astype(np.float32)])], ["codes", "told"])
+    def base(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for codes, counts in zip(batch["codes"], batch["counts"]):
+            codes, told = _word_codes(Symbols(*symbols.value), np.frombuffer(codes.as_buffer(), np.uint64)), np.log10(np.frombuffer(counts.as_buffer(), np.int64) + 1.0) - whole
+            order = np.argsort(codes)
+            yield codes[order], told[order].astype(np.float32)
 
     bits = min(MARK_BITS, max(3, tokens.bit_length() + 1))
-    marks, before, wide, found = None, counted.select("codes", "counts").mapInArrow(base, "codes binary, told binary"), max(1.0, CACHE_SHARE * tokens), []
+    marks, before, told_of, wide, found = None, counted.select("codes", "counts"), base, max(1.0, CACHE_SHARE * tokens), []
     for length in range(1, depth + 1):
-        level = _level(rows, length, symbols, marks, before, 4 * buckets, max(LEAST_COUNT, SHOWN_SHARE * tokens), length == depth)
-        before, tree.depth = level.select("codes", "told"), length
+        level = _level(rows, length, symbols, marks, before, told_of, 4 * buckets, max(LEAST_COUNT, SHOWN_SHARE * tokens), length == depth)
+        before, told_of, tree.depth = level.select("codes", "told"), _told, length
         if length < depth:
             marks = context.broadcast(_marks(level, bits))
             tree.marks.append(marks)
@@ -483,6 +513,11 @@ def fit(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> tuple[Tree,
     return tree, counted
 
 
+def _told(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for codes, told in zip(batch["codes"], batch["told"]):
+        yield _unpacked(codes.as_py()), np.frombuffer(told.as_buffer(), np.float32)
+
+
 def _wide(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Picks the runs and states that occur so often; a run and its state occur equally often, so both values are there."""
 
@@ -514,7 +549,8 @@ def score(docs: DataFrame, model: tuple[Tree, DataFrame], keep: dict[str, Column
     end alone.  `base_score` is the root's log10 probability of the text, `score` that of the tree.  Every row gives one row.
     """
     tree, counted = model
-    buckets = buckets_for(text_size(docs, text), BUCKET_BYTES)
+    with shuffles_dropped(docs.sparkSession):
+        buckets = buckets_for(text_size(docs, text), BUCKET_BYTES)
     rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("_text"))
     names, kept = list(keep), rows.schema[: len(keep)]
     own = ["n_tokens", "n_known", "sum"]
@@ -543,9 +579,9 @@ def score(docs: DataFrame, model: tuple[Tree, DataFrame], keep: dict[str, Column
     def dealt(number: int, keys: np.ndarray, at: np.ndarray, name: str, packed: Callable[[np.ndarray], bytes]) -> Iterator[pa.RecordBatch]:
         """Ascending keys of a slice with their texts, dealt to the buckets."""
         order, upto = w.by_bucket(w.mixed(keys) % np.uint64(buckets), buckets)
-        keys, at, full = keys[order], at[order].astype(np.uint16), np.flatnonzero(np.diff(upto)).tolist()
+        keys, at, full = keys[order], at[order], np.flatnonzero(np.diff(upto)).tolist()
         asked = [{"bucket": b, "slice": number, name: packed(keys[upto[b] : upto[b + 1]]),
-                  "at": pa.compress(at[upto[b] : upto[b + 1]].tobytes(), "zstd", asbytes=True)} for b in full]
+                  "at": _places_packed(at[upto[b] : upto[b + 1]])} for b in full]
         return pa.Table.from_pylist(asked, schema).to_batches()
 
     def asks(lengths: tuple[int, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -579,7 +615,7 @@ def score(docs: DataFrame, model: tuple[Tree, DataFrame], keep: dict[str, Column
                     if len(cached):
                         gains = np.bincount(at, np.where(place >= 0, values[place], 0.0), len(sizes))
                         yield from pa.Table.from_pylist([{"bucket": number % buckets, "slice": number, "gains": gains.tobytes()}], schema).to_batches()
-                    yield from dealt(number, codes[place < 0], at[place < 0], "runs", _packed)
+                    yield from dealt(number, codes[place < 0], at[place < 0], "runs", _packed if lengths[-1] < 3 else lambda x: _short(_packed(x)))  # codes of three symbols are long
 
         return run
 
@@ -614,15 +650,18 @@ def score(docs: DataFrame, model: tuple[Tree, DataFrame], keep: dict[str, Column
                 gains = np.frombuffer(row["gains"])
                 out.append({"slice": row["slice"], "runs": np.arange(len(gains), dtype=np.uint16).tobytes(), "values": gains.tobytes()})
                 continue
-            asked, among = (_unpacked(row["runs"]), runs) if row["runs"] is not None else (np.frombuffer(row["codes"], np.uint64), codes)
-            at, place = np.frombuffer(pa.decompress(row["at"], 2 * len(asked), "zstd"), np.uint16).astype(np.int64), _find(among, asked)
+            at = _places_unpacked(row["at"])
+            asked, among = (_unpacked(_whole(row["runs"], 8 * len(at))), runs) if row["runs"] is not None else (np.frombuffer(row["codes"], np.uint64), codes)
+            place = _find(among, asked)
             hit = place >= 0
-            texts, inverse = np.unique(at[hit], return_inverse=True)
+            at, place = at[hit], place[hit]
+            many = np.bincount(at)
+            texts = np.flatnonzero(many)
             if row["runs"] is not None:
-                out.append({"slice": row["slice"], "runs": texts.astype(np.uint16).tobytes(), "values": np.bincount(inverse, values[place[hit]], len(texts)).tobytes()})
+                out.append({"slice": row["slice"], "runs": texts.astype(np.uint16).tobytes(), "values": np.bincount(at, values[place], len(many))[texts].tobytes()})
                 continue
-            sums = np.bincount(inverse, np.log10(counts[place[hit]] + 1.0), len(texts))
-            out.append({"slice": row["slice"], "at": texts.astype(np.uint16).tobytes(), "counts": np.bincount(inverse, minlength=len(texts)).astype(np.int32).tobytes(), "codes": sums.tobytes()})
+            sums = np.bincount(at, np.log10(counts[place] + 1.0), len(many))[texts]
+            out.append({"slice": row["slice"], "at": texts.astype(np.uint16).tobytes(), "counts": many[texts].astype(np.int32).tobytes(), "codes": sums.tobytes()})
         return pa.Table.from_pylist(out, pa.schema([f for f in schema if f.name != "bucket"]))
 
     def close(key: tuple, table: pa.Table) -> pa.Table:
@@ -637,7 +676,7 @@ def score(docs: DataFrame, model: tuple[Tree, DataFrame], keep: dict[str, Column
         return pa.table({c: told[c] for c in names} | {c: pa.array(x) for c, x in found.items()})
 
     # One round for each length of runs, so that the files of one are gone before the next.  The codes of `meet` are sums of logarithms.
-    sliced, sums = stage(rows.mapInArrow(cut, _SLICE), "slices", drop_shuffles=True), None
+    sliced, sums = stage(rows.mapInArrow(cut, _SLICE), "slices", drop_shuffles=True, large_rows=True), None
     for lengths in [(n,) for n in range(1, depth + 2)]:
         parts = sliced.select("slice", "sizes", "tokens").mapInArrow(asks(lengths), _PART)
         if lengths[0] == 1:

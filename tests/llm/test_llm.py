@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import tempfile
 import zlib
 from collections import Counter
@@ -601,6 +602,24 @@ def test_suffix_tree_leaves_few_files(spark, tmp_path, monkeypatch):
     assert [first[i] for i in range(len(texts))] == pytest.approx([second[i] for i in range(len(texts))])
 
 
+def test_suffix_tree_tasks_have_one_python_step(spark, monkeypatch, capsys):
+    """A task has a worker for each Python step, and workers keep the memory that they took: so no step follows another."""
+    real, most = suffix_tree.stage, []
+
+    def staged(table, *args, **kwargs):
+        table.explain()
+        steps = 0
+        for line in capsys.readouterr().out.splitlines():
+            steps = 0 if re.search(r"Exchange|Union|Scan", line) else steps + bool(re.search(r"(Map|Groups)InArrow", line))
+            most.append(steps)
+        return real(table, *args, **kwargs)
+
+    monkeypatch.setattr(suffix_tree, "stage", staged)
+    docs = docs_of(spark, [" ".join(prose(i, 50, 100)) for i in range(20)])
+    suffix_tree.score(docs, suffix_tree.fit(docs), {"doc_id": F.col("doc_id")})
+    assert max(most) == 1
+
+
 def test_suffix_tree_odd_tables(spark):
     empty = docs_of(spark, []).limit(0)
     model = suffix_tree.fit(empty)
