@@ -422,6 +422,26 @@ def test_nearest_grid(spark, monkeypatch):
     assert found[0] and all(f == found[0] for f in found)
 
 
+def test_nearest_sends_no_vectors_through_the_driver(spark):
+    """A block stands in every column, which Spark's sizes do not show: blocks are shuffled, also if the queries are few and small."""
+    rows = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 11), 1.0]) for i in range(400)], "vec_id long, embedding array<double>").repartition(3)
+    found = nearest.nearest(rows, F.col("vec_id") % 20 == 0)
+    assert found.count() == 20 * 5
+    whole = found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    narrow = nearest.nearest(rows.withColumn("embedding", F.col("embedding").cast("array<float>")), F.col("vec_id") % 20 == 0).collect()
+    assert sorted(map(tuple, narrow)) == sorted(map(tuple, whole))
+
+
+def test_cells_copy_few_vectors():
+    """At any number of shuffle partitions: what is moved is bound by the vectors, but no core stays idle."""
+    for most, cores, queries, candidates in ((600, 6, 20_000, 1_000_000), (10_000, 6, 300_000, 15_000_000), (4, 2, 5, 100)):
+        cells = nearest.cells_for(most, cores, queries, candidates)
+        lines, columns = nearest.grid(cells, queries, candidates)
+        assert min(most, cores) <= cells <= most and columns * queries + lines * candidates <= 3 * candidates
+    assert nearest.cells_for(1000, 50, 100, 100) == 100 and nearest.cells_for(8, 2, 0, 0) == 4
+
+
 # --- op8 ------------------------------------------------------------------------------------------------------------
 
 def test_url_rules_by_brute_force(spark):
