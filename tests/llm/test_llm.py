@@ -321,6 +321,48 @@ def test_latent_cosines_are_those_of_whole_vectors():
     assert np.allclose([whole(p) @ basis @ latent.T for p in passages], want, atol=1e-3)
 
 
+def test_corpus_space_is_that_of_all_passages(spark, monkeypatch):
+    """Against the singular vectors of the whole matrix: no document and no passage is left out, and each word counts once."""
+    monkeypatch.setattr(decontamination, "RANK", 6)
+    monkeypatch.setattr(decontamination, "ROWS", 7)
+    monkeypatch.setattr(decontamination, "OFTEN", 20)
+    rng = np.random.default_rng(2)
+    topics = [[f"t{t}x{i}" for i in range(12)] for t in range(6)]  # each has its own share of the texts; the last is in one text only
+    texts = [" ".join([*rng.choice(topics[t], n), "filler"]) for t, n in [*((i % 5, 20 + 9 * i) for i in range(40)), (5, 1500)]] + [None, "", "filler"]
+    vocabulary = decontamination.Vocabulary(decontamination.w.text_words(pa.array([" ".join(sum(topics, []))]), decontamination.w.not_alphanumeric(), True).hashes())
+    idf = rng.uniform(0.5, 3, 72).astype(np.float32)
+    rows = docs_of(spark, texts).select(F.col("doc_id").alias("id"), "text")
+    pieces = [np.arange(10), np.arange(30, 40)]
+    space = decontamination._corpus_space(decontamination._coded(rows, vocabulary), np.append(np.arange(72), -1), idf, pieces)
+    matrix = [np.bincount(p, minlength=72) for p in pieces]
+    for text in texts:
+        words = (text or "").split()
+        for at in range(0, len(words), decontamination.PASSAGE):
+            hashes = decontamination.w.text_words(pa.array([" ".join(words[at : at + decontamination.PASSAGE])]), decontamination.w.not_alphanumeric(), True).hashes()
+            places = vocabulary.places(hashes)
+            matrix.append(np.bincount(places[places >= 0], minlength=72))
+    leading = np.linalg.svd(np.sqrt(np.array(matrix)) * idf)[2][:6]
+    assert space.shape == (72, 22) and np.allclose(space.T @ space, np.eye(22), atol=1e-4)
+    assert (np.linalg.norm(leading @ space, axis=1) > 0.999).all()
+
+
+def test_decontamination_finds_paraphrases_by_related_words(spark, monkeypatch):
+    """Half of a short item among words that go with it in the corpus: too few of its own words for the cosine of the whole vectors."""
+    monkeypatch.setattr(decontamination, "RANK", 4, raising=False)
+    monkeypatch.setattr(decontamination, "EXTRA", 2, raising=False)
+    rng = random.Random(8)
+    topic = [f"topic{i}" for i in range(60)]
+    items = [(0, " ".join(topic[:10]), topic[8]), (1, " ".join(topic[10:]), "none"), (2, " ".join(prose(77, 150, 3000)), "none")]
+    texts = [" ".join(rng.sample(topic, 24) + prose(i, 40, 3000)) if i % 25 == 0 else " ".join(prose(i, 150, 3000)) for i in range(300)]
+    others = topic[10:]
+    rng.shuffle(others)
+    texts.append(" ".join(prose(500, 64, 3000) + others[:25] + [topic[i] for i in (0, 2, 4, 6, 8)] + others[25:50] + prose(501, 64, 3000)))
+    asked = spark.createDataFrame(items, "item_id long, text string, answer string")
+    found = decontamination.contaminated(docs_of(spark, texts), asked).where("item_id = 0").collect()
+    held = {r.doc_id: r for r in found}
+    assert held[300].kind == "paraphrase" and held[300].lcs == 0.5 and held[300].cosine < decontamination.LEAST_COSINE
+
+
 def test_dense_stretches_by_brute_force(monkeypatch):
     monkeypatch.setattr(decontamination, "WORDS_AT_ONCE", 50)
     rng = random.Random(3)
