@@ -346,17 +346,22 @@ def test_corpus_space_is_that_of_all_passages(spark, monkeypatch):
     assert (np.linalg.norm(leading @ space, axis=1) > 0.999).all()
 
 
-def test_decontamination_finds_paraphrases_by_related_words(spark, monkeypatch):
-    """Half of a short item among words that go with it in the corpus: too few of its own words for the cosine of the whole vectors."""
-    monkeypatch.setattr(decontamination, "RANK", 4, raising=False)
-    monkeypatch.setattr(decontamination, "EXTRA", 2, raising=False)
+def related_words():
+    """Texts and items; the last text has half of the short item 0 among words that go with it in the corpus."""
     rng = random.Random(8)
     topic = [f"topic{i}" for i in range(60)]
     items = [(0, " ".join(topic[:10]), topic[8]), (1, " ".join(topic[10:]), "none"), (2, " ".join(prose(77, 150, 3000)), "none")]
     texts = [" ".join(rng.sample(topic, 24) + prose(i, 40, 3000)) if i % 25 == 0 else " ".join(prose(i, 150, 3000)) for i in range(300)]
     others = topic[10:]
     rng.shuffle(others)
-    texts.append(" ".join(prose(500, 64, 3000) + others[:25] + [topic[i] for i in (0, 2, 4, 6, 8)] + others[25:50] + prose(501, 64, 3000)))
+    return [*texts, " ".join(prose(500, 64, 3000) + others[:25] + [topic[i] for i in (0, 2, 4, 6, 8)] + others[25:50] + prose(501, 64, 3000))], items
+
+
+def test_decontamination_finds_paraphrases_by_related_words(spark, monkeypatch):
+    """Too few of the item's own words for the cosine of the whole vectors."""
+    monkeypatch.setattr(decontamination, "RANK", 4, raising=False)
+    monkeypatch.setattr(decontamination, "EXTRA", 2, raising=False)
+    texts, items = related_words()
     asked = spark.createDataFrame(items, "item_id long, text string, answer string")
     found = decontamination.contaminated(docs_of(spark, texts), asked).where("item_id = 0").collect()
     held = {r.doc_id: r for r in found}
@@ -707,3 +712,15 @@ def test_pipeline(spark):
     empty = docs.limit(0)
     for _, step in corpus_pipeline.STAGES:
         assert step(spark, empty, SF).count() == 0
+
+
+def test_pipeline_takes_out_paraphrases_by_related_words(spark, monkeypatch, tmp_path):
+    """Its stage searches in a space of all documents that came so far, and only what it finds goes."""
+    monkeypatch.setattr(decontamination, "RANK", 4, raising=False)
+    monkeypatch.setattr(decontamination, "EXTRA", 2, raising=False)
+    texts, items = related_words()
+    spark.createDataFrame(items, "item_id long, text string, answer string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = docs_of(spark, texts)
+    kept = {r.doc_id for r in corpus_pipeline.benchmark_out(spark, docs, str(tmp_path)).collect()}
+    found = {r.doc_id for r in decontamination.contaminated(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()}
+    assert 300 not in kept and kept == set(range(301)) - found and len(kept) > 280
